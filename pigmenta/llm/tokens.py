@@ -25,13 +25,21 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A run of other characters with the one space before it, or white space: byte-level BPE never merges across these.
-_CHUNK = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: Texts with these go to the tokenizer whole: rare white space, and what may be a special token.
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
+#: What makes a text go to the tokenizer whole, besides runs of spaces or line breaks: rare white space, control
+#: characters, and what may be a special token.
+_WHOLE = re.compile("[\x00-\x09\x0b-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<[|]")
+#: Bytes that rare white space, control characters and '<' can begin with; without them only spaces and breaks matter.
+_ODD = np.isin(np.arange(256), [*range(10), *range(11, 32), 60, 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+_RUNS = re.compile("  | \n|\n |\n\n|^[ \n]|[ \n]$|^$")
+#: Letters that are one piece of byte-level BPE, and punctuation that is the next one.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)")
+_print = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_rest = iter(range(256, 512))
+#: Byte-level BPE writes each byte as a character: printable ones as themselves, the others from 256 on.
+BYTE_CHARS = {b: b if b in _print else next(_rest) for b in range(256)}
 _workers: dict[str, tuple] = {}
-#: Chunks whose ids a worker keeps; it forgets them all when there are more.
-CACHE = 400_000
+#: Pieces whose ids a worker keeps; it forgets them all when there are more.
+CACHE = 800_000
 FILE = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -40,30 +48,69 @@ def _tokenizer(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        _workers[path] = (tokenizer, {}, tokenizer.encode("\n", add_special_tokens=False).ids)
     return _workers[path]
 
 
-def encode_texts(texts: list[str], path: str, chunked: bool = True) -> list[bytes]:
+def _runs(text: str) -> bool:
+    """Whether spaces or line breaks stand together, or at an end."""
+    return not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+
+
+def _learn(new: list[str], before: str, tokenizer, line: int, known: dict[str, bytes], prefix: bytes, names: list[str]) -> None:
+    """Encodes new pieces: plain words by the model at once, others in one text, a line each.
+
+    The id of a line break stands only between the lines of that text.
+    """
+    tokenize, other = tokenizer.model.tokenize, []
+    for x, name in zip(new, names, strict=True):
+        m = _PLAIN.fullmatch(x)
+        if not m:
+            other.append((x, name))
+            continue
+        word, end = m.groups()
+        key = before + word if end or prefix else None  # shared by all pieces with this word
+        ids = known.get("\0" + key) if key else None
+        if ids is None:
+            ids = np.array([t.id for t in tokenize((before + word).encode().decode("latin-1").translate(BYTE_CHARS))], dtype="<u4").tobytes()
+            if key:
+                known["\0" + key] = ids
+        if end and (tail := known.get("\0" + end)) is None:
+            tail = known["\0" + end] = np.array(tokenizer.encode(end, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        known[name] = prefix + ids + tail if end else prefix + ids
+    for k in range(0, len(other), 200):
+        part = other[k : k + 200]
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join([before + x for x, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = np.flatnonzero(ids == line)
+        raw = ids.tobytes()
+        for (_, name), lo, hi in zip(part, [0, *(cut * 4 + 4).tolist()], [*(cut * 4).tolist(), len(raw)], strict=True):
+            known[name] = prefix + raw[lo:hi]
+
+
+def encode_texts(texts: list[str], path: str, chunked: bool = True, odd: bool = True) -> list[bytes]:
     """The ids of each text as little-endian 32-bit integers.
 
-    Byte-level BPE splits at white space first, so the ids of a text are the ids of its chunks in order, and a chunk
-    that has been seen needs no second encoding.
+    Byte-level BPE first splits before a space or line break between other characters, so the ids of a text are the
+    ids of its pieces (a word with the space or break before it) in order, and a piece that has been seen needs no
+    second encoding. chunked is for such tokenizers alone. odd: whether any text may have bytes of _ODD.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, line = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
+    whole = [not chunked or len(line) != 1 or _runs(x) or (odd and _WHOLE.search(x) is not None) for x in texts]
+    # a space for all spaces, a line break kept at the head of its word; the first word has neither
+    pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
+    new = {x for p in pieces for x in p[1:] if x not in known}
+    heads = [x for x in new if x[0] == "\n"]
+    words = [x for x in new if x[0] != "\n"]
+    _learn(words, " ", tokenizer, line[0], known, b"", words)
+    _learn([x[1:] for x in heads], "", tokenizer, line[0], known, np.array(line, dtype="<u4").tobytes(), heads)
     out = []
-    for text in texts:
-        if not chunked or _WHOLE.search(text):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            continue
-        chunks = _CHUNK.findall(text)
-        new = [x for x in set(chunks) if x not in known]
-        if new:
-            for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, dtype="<u4").tobytes()
-        out.append(b"".join([known[x] for x in chunks]))
+    for x, w, p in zip(texts, whole, pieces, strict=True):
+        start = x if w else p[0]
+        first = np.array(tokenizer.encode(start, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out.append(first if w else first + b"".join(map(known.__getitem__, p[1:])))
     return out
 
 
@@ -73,7 +120,7 @@ def _encoder(path: str, end_id: int, chunked: bool):
         for batch in batches:
             for s in C.slices(batch.column(2), 1 << 20):
                 texts = [x or "" for x in batch.column(2).slice(s.lo, len(s)).to_pylist()]
-                ids = [x + end for x in encode_texts(texts, path, chunked)]
+                ids = [x + end for x in encode_texts(texts, path, chunked, bool(_ODD[s.data].any()))]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
