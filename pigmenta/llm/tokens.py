@@ -30,7 +30,6 @@ from . import common as C
 _WHOLE = re.compile("[\x00-\x09\x0b-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<[|]")
 #: Bytes that rare white space, control characters and '<' can begin with; without them only spaces and breaks matter.
 _ODD = np.isin(np.arange(256), [*range(10), *range(11, 32), 60, 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
-_RUNS = re.compile("  | \n|\n |\n\n|^[ \n]|[ \n]$|^$")
 #: Letters that are one piece of byte-level BPE, and punctuation that is the next one.
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)")
 _print = [*range(33, 127), *range(161, 173), *range(174, 256)]
