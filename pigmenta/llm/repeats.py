@@ -77,11 +77,26 @@ def _by_document(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 # Operator 8
 
-ANCHORS = "k1 long, k2 long, doc long, lo long, hi long, done boolean"
+#: at packs the range lo to hi of starts, below 0 for starts that are known to be repeats: fewer bytes to shuffle.
+ANCHORS = "k1 long, k2 long, doc long, at long"
+_LO, _HI = "if(at < 0, -at - 1, at) div 2147483648", "if(at < 0, -at - 1, at) % 2147483648"
+
+
+def _pack(lo: np.ndarray, hi: np.ndarray, done: bool = False) -> np.ndarray:
+    at = lo * (1 << 31) + hi
+    return -at - 1 if done else at
+
+
+def _known(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document and packed range of what is known to be a repeat; the keys spread what needs no company."""
+    later = np.flatnonzero(done)
+    later = later[np.lexsort((lo[later], doc[later]))]
+    d, a, b = _merged(doc[later], lo[later], hi[later])
+    return C.mix(d.astype(np.uint64) * _U(31) + a.astype(np.uint64)), d, _pack(a, b, True)
 
 
 def _anchors(width: int, q: int):
-    """Rows of anchors: the q-gram, the context of its starts lo to hi, and done for starts known to be repeats."""
+    """Rows of anchors: the q-gram, the context of its starts, and the range of these."""
     span = width - q + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +132,10 @@ def _anchors(width: int, q: int):
                 base, doc = s.offs[doc], ids[s.lo + doc]
                 lo, hi = lo - base, hi - base
                 done = _locally_later((k1, k2), doc, lo)
-                later = np.flatnonzero(done)
-                later = later[np.lexsort((lo[later], doc[later]))]
-                d, a, b = _merged(doc[later], lo[later], hi[later])
-                k = C.mix(d.astype(np.uint64) * _U(31) + a.astype(np.uint64))  # spreads what needs no company
+                k, d, a = _known(doc, lo, hi, done)
                 keep = ~done
-                yield pa.RecordBatch.from_arrays(
-                    [C.signed(np.concatenate([k1[keep], k])), C.signed(np.concatenate([k2[keep], k])), *(pa.array(np.concatenate([x[keep], y])) for x, y in ((doc, d), (lo, a), (hi, b))), pa.array(np.concatenate([done[keep], np.ones(len(d), dtype=bool)]))],
-                    names=["k1", "k2", "doc", "lo", "hi", "done"],
-                )
+                columns = [C.signed(np.concatenate([x[keep], k])) for x in (k1, k2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([doc[keep], d])), pa.array(np.concatenate([_pack(lo, hi)[keep], a]))], names=["k1", "k2", "doc", "at"])
 
     return run
 
@@ -157,8 +167,9 @@ def _starts(width: int, q: int):
                 key = bucket(where)[back]
                 doc = ids[s.lo + doc]
                 done = _locally_later((key,), doc, at)
-                key = np.where(done, C.mix(doc.astype(np.uint64) * _U(31) + at.astype(np.uint64)), key)
-                yield pa.RecordBatch.from_arrays([C.signed(key), pa.array(doc), pa.array(at), pa.array(done)], names=["k1", "doc", "lo", "done"])
+                k, d, a = _known(doc, at, at, done)
+                keep = ~done
+                yield pa.RecordBatch.from_arrays([C.signed(np.concatenate([key[keep], k])), pa.array(np.concatenate([doc[keep], d])), pa.array(np.concatenate([_pack(at, at)[keep], a]))], names=["k1", "doc", "at"])
 
     return run
 
@@ -207,12 +218,12 @@ def repeated_starts(docs: DataFrame, width: int = 100, q: int = 32) -> DataFrame
     texts = _texts(docs)
     anchors = texts.mapInArrow(_anchors(width, q), ANCHORS)
     bucket = Window.partitionBy("k1")
-    within = Window.partitionBy("k1", "k2").orderBy("doc", "lo")
-    refined = anchors.repartition(C.shuffle_partitions(docs.sparkSession), "k1").withColumn("later", F.col("done") | (F.dense_rank().over(within) > 1)).withColumn("shared", F.min("k2").over(bucket) != F.max("k2").over(bucket))
-    refined = C.staged(refined.where("later or shared").select("doc", "lo", "hi", "later"))
-    finest = _by_document(texts, refined.where("not later")).where("los is not null").mapInArrow(_starts(width, q), "k1 long, doc long, lo long, done boolean")
-    same = Window.partitionBy("k1").orderBy("doc", "lo")
-    single = finest.withColumn("later", F.col("done") | (F.dense_rank().over(same) > 1)).where("later").select("doc", "lo", F.col("lo").alias("hi"))
+    within = Window.partitionBy("k1", "k2").orderBy("doc", "at")
+    refined = anchors.repartition(C.shuffle_partitions(docs.sparkSession), "k1").withColumn("later", (F.col("at") < 0) | (F.dense_rank().over(within) > 1)).withColumn("shared", F.min("k2").over(bucket) != F.max("k2").over(bucket))
+    refined = C.staged(refined.where("later or shared").select("doc", F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"), "later"))
+    finest = _by_document(texts, refined.where("not later")).where("los is not null").mapInArrow(_starts(width, q), "k1 long, doc long, at long")
+    same = Window.partitionBy("k1").orderBy("doc", "at")
+    single = finest.withColumn("later", (F.col("at") < 0) | (F.dense_rank().over(same) > 1)).where("later").select("doc", F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"))
     return refined.where("later").select("doc", "lo", "hi").unionByName(single)
 
 
@@ -259,9 +270,10 @@ def _runs(n: int, min_words: int):
                 base = np.searchsorted(doc, doc[i])
                 lo, hi, d = i - base, upto[i] - 1 - base, ids[s.lo + doc[i]]
                 done = _locally_later((k1, k2), d, lo)
-                spread = C.mix(d.astype(np.uint64) * _U(31) + lo.astype(np.uint64))
-                k1, k2 = np.where(done, spread, k1), np.where(done, spread, k2)
-                yield pa.RecordBatch.from_arrays([C.signed(k1), C.signed(k2), pa.array(d), pa.array(lo), pa.array(hi), pa.array(done)], names=["k1", "k2", "doc", "lo", "hi", "done"])
+                k, kd, ka = _known(d, lo, hi, done)
+                keep = ~done
+                columns = [C.signed(np.concatenate([x[keep], k])) for x in (k1, k2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([d[keep], kd])), pa.array(np.concatenate([_pack(lo, hi)[keep], ka]))], names=["k1", "k2", "doc", "at"])
 
     return run
 
@@ -298,6 +310,6 @@ def remove_repeated_sentences(docs: DataFrame, n: int = 2, min_words: int = 16)
     """doc_id, n_sentences, n_removed, n_spans (maximal removed runs) and kept_text of each document."""
     texts = _texts(docs)
     runs = texts.mapInArrow(_runs(n, min_words), ANCHORS)
-    within = Window.partitionBy("k1", "k2").orderBy("doc", "lo")
-    later = runs.withColumn("later", F.col("done") | (F.dense_rank().over(within) > 1)).where("later").select("doc", "lo", "hi")
+    within = Window.partitionBy("k1", "k2").orderBy("doc", "at")
+    later = runs.withColumn("later", (F.col("at") < 0) | (F.dense_rank().over(within) > 1)).where("later").select("doc", F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"))
     return _by_document(texts, later).mapInArrow(_sentence_cuts, "doc_id long, n_sentences long, n_removed long, n_spans long, kept_text string")
