@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,19 +185,21 @@ def _parts(items: DataFrame, max_item_words: int) -> Iterator[list[tuple[str, li
     yield part
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 1_000_000) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 100_000) -> DataFrame:
     """doc_id, n_words, hit_spans (start, end, ... in words) and the items found, of each document."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    out = None
+    passes = []
     for part in _parts(items, max_item_words):
         shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(part, window)))
-        one = texts.mapInArrow(_scanner(shared), SCHEMA)
-        out = one if out is None else out.unionByName(C.staged(one))
-        if out is not one:
-            merged = F.aggregate(F.array_sort(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.size("hit_spans") - 2, F.lit(2)), lambda i: F.struct(F.get("hit_spans", i).alias("a"), F.get("hit_spans", i + 1).alias("b")))))), F.array().cast("array<int>"), _join_span)
-            out = out.withColumn("hit_spans", F.col("hit_spans")).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+        passes.append(texts.mapInArrow(_scanner(shared), SCHEMA))
+    if len(passes) == 1:
+        return passes[0]
+    both = C.staged(reduce(DataFrame.unionByName, passes))
+    starts = F.filter(F.sequence(F.lit(0), F.size("hit_spans")), lambda i: (i % 2 == 0) & (i < F.size("hit_spans")))
+    spans = F.transform(starts, lambda i: F.struct(F.get("hit_spans", i).alias("a"), F.get("hit_spans", i + 1).alias("b")))
+    merged = F.aggregate(F.array_sort(F.flatten(F.collect_list(spans))), F.array().cast("array<int>"), _join_span)
+    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def _join_span(spans, s):
@@ -248,7 +251,7 @@ def _cleaner(shared, column: int, chars: int | None, max_span: int, max_coverage
     return run
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 1, max_coverage: float = 0.5, max_item_words: int = 1_000_000) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 1, max_coverage: float = 0.5, max_item_words: int = 100_000) -> DataFrame:
     """docs, without the hit spans of max_span words or more, and without documents they cover beyond max_coverage.
 
     n_chars, if there, is set anew for all rows. A null text stays null.
