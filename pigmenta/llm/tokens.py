@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ _print = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _rest = iter(range(256, 512))
 #: Byte-level BPE writes each byte as a character: printable ones as themselves, the others from 256 on.
 BYTE_CHARS = {b: b if b in _print else next(_rest) for b in range(256)}
+_TAIL = itemgetter(slice(1, None))
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _workers: dict[str, tuple] = {}
 #: Pieces whose ids a worker keeps; it forgets them all when there are more.
 CACHE = 800_000
@@ -57,26 +62,33 @@ def _runs(text: str) -> bool:
     return not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers; for few ids quicker than an array."""
+    return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else np.array(ids, dtype="<u4").tobytes()
+
+
 def _learn(new: list[str], before: str, tokenizer, line: int, known: dict[str, bytes], prefix: bytes, names: list[str]) -> None:
     """Encodes new pieces: plain words by the model at once, others in one text, a line each.
 
     The id of a line break stands only between the lines of that text.
     """
-    tokenize, other = tokenizer.model.tokenize, []
+    tokenize, other, head = tokenizer.model.tokenize, [], before.translate(BYTE_CHARS)
     for x, name in zip(new, names, strict=True):
-        m = _PLAIN.fullmatch(x)
-        if not m:
+        if x.isascii() and x.isalpha():
+            word, end = x, ""
+        elif m := _PLAIN.fullmatch(x):
+            word, end = m.groups()
+        else:
             other.append((x, name))
             continue
-        word, end = m.groups()
         key = before + word if end or prefix else None  # shared by all pieces with this word
         ids = known.get("\0" + key) if key else None
         if ids is None:
-            ids = np.array([t.id for t in tokenize((before + word).encode().decode("latin-1").translate(BYTE_CHARS))], dtype="<u4").tobytes()
+            ids = _bytes([t.id for t in tokenize(head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))])
             if key:
                 known["\0" + key] = ids
         if end and (tail := known.get("\0" + end)) is None:
-            tail = known["\0" + end] = np.array(tokenizer.encode(end, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            tail = known["\0" + end] = _bytes(tokenizer.encode(end, add_special_tokens=False).ids)
         known[name] = prefix + ids + tail if end else prefix + ids
     for k in range(0, len(other), 200):
         part = other[k : k + 200]
@@ -100,7 +112,7 @@ def encode_texts(texts: list[str], path: str, chunked: bool = True, odd: bool =
     whole = [not chunked or len(line) != 1 or _runs(x) or (odd and _WHOLE.search(x) is not None) for x in texts]
     # a space for all spaces, a line break kept at the head of its word; the first word has neither
     pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
-    new = {x for p in pieces for x in p[1:] if x not in known}
+    new = set(filterfalse(known.__contains__, chain.from_iterable(map(_TAIL, pieces))))
     heads = [x for x in new if x[0] == "\n"]
     words = [x for x in new if x[0] != "\n"]
     _learn(words, " ", tokenizer, line[0], known, b"", words)
@@ -109,7 +121,7 @@ def encode_texts(texts: list[str], path: str, chunked: bool = True, odd: bool =
     for x, w, p in zip(texts, whole, pieces, strict=True):
         start = x if w else p[0]
         first = np.array(tokenizer.encode(start, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out.append(first if w else first + b"".join(map(known.__getitem__, p[1:])))
+        out.append(first if w else first + b"".join(map(known.__getitem__, _TAIL(p))))
     return out
 
 
