@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from . import common as C
 from . import decontaminate, lm, minhash, mixing, pii, quality, repeats, shards, tokens
+from .oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +83,3 @@ QUERIES = {
     "op9_sentences": op9_sentences,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
