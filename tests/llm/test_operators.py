@@ -248,6 +248,41 @@ def test_repeated_sentences(spark, docs):
     assert rows[9].n_removed >= 6 and rows[9].kept_text.endswith(PROSE[3][20:]) and rows[0].kept_text == ""
 
 
+def brute_sentences(texts, n, min_words):
+    """Per text: sentences, removed sentences, removed runs and the kept text, from the rule read plainly."""
+    seen, out = set(), []
+    for text in texts:
+        t = text or ""
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+        ends = [i + 1 for i, w in enumerate(words) if w[0][-1] in ".!?" or i + 1 == len(words) or "\n" in t[w.end() : words[i + 1].start()]]
+        firsts = [0, *ends[:-1]][: len(ends)]
+        gone = [False] * len(ends)
+        for i in range(len(ends)):
+            upto = next((u for u in range(i + n, len(ends) + 1) if ends[u - 1] - firsts[i] >= min_words), None)
+            if upto is None:
+                break
+            run = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w[0]) for w in words[firsts[i] : ends[upto - 1]])
+            if run in seen:
+                gone[i:upto] = [True] * (upto - i)
+            seen.add(run)
+        starts = [*(words[f].start() for f in firsts), len(t)]
+        kept = t[: starts[0]] + "".join(t[starts[i] : starts[i + 1]] for i in range(len(ends)) if not gone[i])
+        out.append((len(ends), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept))
+    return out
+
+
+def test_repeated_sentences_agree_with_brute_force(spark, docs):
+    def got(df, *limits):
+        return {r.doc_id: (r.n_sentences, r.n_removed, r.n_spans, r.kept_text) for r in repeats.remove_repeated_sentences(df, *limits).collect()}
+
+    assert got(docs) == dict(enumerate(brute_sentences(TEXTS, 2, 16)))
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(["a", "B", "b", "é"]) + pick.choice([" ", " ", ". ", "! ", "\n", "\n \n"]) for _ in range(pick.randint(0, 60))) for _ in range(60)] + [None, " ", "\n", "a. b."]
+    for limits in ((2, 4), (3, 1)):
+        brute = brute_sentences(texts, *limits)
+        assert any(x[1] for x in brute) and got(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), *limits) == dict(enumerate(brute))
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs, block_words=4).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
