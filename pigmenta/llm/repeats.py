@@ -12,8 +12,11 @@ string, which equal strings share at the same offset; the starts of one anchor a
 hold anchors. A bucket with one member is finished; members that agree in the whole context of their starts are
 refined in one step; only where contexts differ within a bucket are single starts refined.
 
-Operator 9. Sentences end at a word that ends in . ! or ?, or at the end of a line. Every run of sentences (at least
-n, and at least min_words words) is hashed; sentences that lie in any run that is not the first of its kind go.
+Operator 9. Sentences end at a word that ends in . ! or ?, or at the end of a line. A run has at
+least n sentences and at least min_words words; sentences that lie in any run that is not the first of its kind go. Of
+all runs the shortest from each sentence and the shortest up to each sentence are hashed: a repeated run is covered by
+those within it, and they repeat where it repeats. (Keys are words. A run that repeats only with line breaks elsewhere,
+so with other sentences, is found as far as these shortest runs agree.)
 
 Defined cases: a null or empty text has no bytes and no sentences; strings never cross documents; rows that repeat a
 doc_id are the same document: their equal places are one place, and each row gets the result; null doc_ids order
@@ -264,11 +267,14 @@ def _runs(n: int, min_words: int):
                     continue
                 upto = np.maximum(np.arange(len(first)) + n, np.searchsorted(last, first + min_words) + 1)
                 i = np.flatnonzero(upto <= len(first))
-                i = i[doc[i] == doc[upto[i] - 1]]
-                k1 = C.range_hash(C.prefix(h), first[i], last[upto[i] - 1])
-                k2 = C.mix((last[upto[i] - 1] - first[i]).astype(np.uint64))
+                since = np.minimum(np.arange(len(first)) + 1 - n, np.searchsorted(first, last - min_words, side="right") - 1)
+                e = np.flatnonzero(since >= 0)
+                both = np.unique(np.stack([np.concatenate([i, since[e]]), np.concatenate([upto[i] - 1, e])]), axis=1)
+                i, e = both[:, doc[both[0]] == doc[both[1]]]
+                k1 = C.range_hash(C.prefix(h), first[i], last[e])
+                k2 = C.mix((last[e] - first[i]).astype(np.uint64))
                 base = np.searchsorted(doc, doc[i])
-                lo, hi, d = i - base, upto[i] - 1 - base, ids[s.lo + doc[i]]
+                lo, hi, d = i - base, e - base, ids[s.lo + doc[i]]
                 done = _locally_later((k1, k2), d, lo)
                 k, kd, ka = _known(d, lo, hi, done)
                 keep = ~done
