@@ -4,8 +4,8 @@ Lines are normalised (ASCII lower case, digits as 0, white space collapsed) and
 documents that hold a line are counted; lines above the limits count as boilerplate and are removed; a document of
 which too much is boilerplate is depleted and rejected.
 
-Copies must not condemn a text: documents that agree in their smallest other line hash count as one document for a
-line, so exact and near copies of one text are one, while pages that only share boilerplate are many.
+Copies must not condemn a text: documents with the same set of lines count as one document for a line. Any other
+document that holds a line counts, however many lines it shares with others.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; rows that
 repeat a doc_id are judged together with the sum of their removed words; an empty table gives no rows; other columns
@@ -27,7 +27,7 @@ _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _NORMAL = np.where((np.arange(256) >= 48) & (np.arange(256) <= 57), 48, C.LOWER).astype(np.uint8)
 _U = np.uint64
 
-SCAN = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<int>"
+SCAN = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_set long, line_hash array<long>, line_words array<int>"
 
 
 def _repeated(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -78,14 +78,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (key[1:] != key[:-1]) | (line_doc[1:] != line_doc[:-1])
             size = np.add.reduceat(size, np.flatnonzero(new)) if len(key) else size
             counts = np.bincount(line_doc[new], minlength=n)
+            at = np.concatenate([[0], np.cumsum(counts)])
+            line_set = C.range_hash(C.prefix(key[new].view(np.uint64)), at[:-1], at[1:])
             code_points = s.per_text(C.WORD[s.data] & ((s.data & 0xC0) != 0x80))
             head = batch.slice(s.lo, n)
             yield pa.RecordBatch.from_arrays(
                 [
                     head.column(0), head.column(1), pa.array(np.bincount(doc, minlength=n)), pa.array(code_points), pa.array(s.per_text(_SYMBOL[s.data])),
-                    pa.array(dup), pa.array(repeat), C.to_lists(pa.array(key[new]), counts), C.to_lists(pa.array(size.astype(np.int32)), counts),
+                    pa.array(dup), pa.array(repeat), C.signed(line_set), C.to_lists(pa.array(key[new]), counts), C.to_lists(pa.array(size.astype(np.int32)), counts),
                 ],
-                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"],
+                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "line_hash", "line_words"],
             )
 
 
@@ -96,13 +98,12 @@ def line_quality(docs: DataFrame, host: str = "source", min_documents: int = 20,
     A document is depleted if over max_removed_pct percent of its words are in boilerplate lines.
     """
     scan = C.staged(C.select_texts(docs, F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string")).mapInArrow(_scan, SCAN))
-    other = F.when(F.col("line_hash")[0] == F.col("l.line_hash"), F.try_element_at("line_hash", F.lit(2))).otherwise(F.col("line_hash")[0])
-    lines = scan.select("doc_id", "host", "line_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("doc_id", "host", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"), F.coalesce(other, F.lit(0)).alias("seen_in"))
-    held = lines.select("host", "line", "seen_in").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
+    lines = scan.select("doc_id", "host", "line_set", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("doc_id", "host", "line_set", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
+    held = lines.select("host", "line", "line_set").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
     hosts = scan.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_documents"))
     common = held.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("documents") > share * F.col("host_documents")).select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
     removed = lines.join(common, (F.col("line") == F.col("of_line")) & F.col("host").eqNullSafe(F.col("of_host"))).groupBy(F.col("doc_id").alias("of_doc")).agg(F.sum("words").alias("removed_words"))
-    out = scan.drop("line_hash", "line_words", "host").join(removed, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").drop("of_doc").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = scan.drop("line_set", "line_hash", "line_words", "host").join(removed, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").drop("of_doc").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = 100 * F.col("removed_words") > max_removed_pct * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted)

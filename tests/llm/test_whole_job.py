@@ -3,7 +3,7 @@
 import random
 import re
 
-from pigmenta.llm import repeats
+from pigmenta.llm import quality, repeats
 
 
 def all_runs(texts, n, min_words):
@@ -34,3 +34,14 @@ def test_all_runs_of_sentences_count(spark):
         assert {r.doc_id: r.n_removed for r in repeats.remove_repeated_sentences(docs, *limits).collect()} == {i: len(x) for i, x in enumerate(want)}
     rows = {r.doc_id: r.kept_text for r in repeats.remove_repeated_sentences(docs).collect()}
     assert rows[1] == "it starts. other words follow"
+
+
+def menu_pages(n):
+    menu = "\n".join(f"menu item {chr(97 + i)} with words to click" for i in range(10))
+    return [f"{menu}\nonly page {chr(97 + i // 26)}{chr(97 + i % 26)} says so" for i in range(n)]
+
+
+def test_pages_that_share_many_lines_count_each(spark):
+    rows = spark.createDataFrame([(i, t, "h") for i, t in enumerate(menu_pages(100))], "doc_id long, text string, source string")
+    got = quality.line_quality(rows).collect()
+    assert len(got) == 100 and all(r.removed_words == 70 and r.depleted and not r.kept for r in got)
