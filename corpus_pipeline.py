@@ -17,9 +17,9 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted by boilerplate lines."""
+    """Documents that pass the base rules and aren't depleted by boilerplate lines, without these lines."""
     ship(spark)
-    return quality.reject(docs)
+    return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

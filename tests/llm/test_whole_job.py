@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 from pigmenta.llm import quality, repeats
 
 
@@ -45,3 +46,21 @@ def test_pages_that_share_many_lines_count_each(spark):
     rows = spark.createDataFrame([(i, t, "h") for i, t in enumerate(menu_pages(100))], "doc_id long, text string, source string")
     got = quality.line_quality(rows).collect()
     assert len(got) == 100 and all(r.removed_words == 70 and r.depleted and not r.kept for r in got)
+
+
+def test_boilerplate_lines_leave_the_texts(spark):
+    pick = random.Random(3)
+    own = [" ".join(pick.choice("abcdefghij") + pick.choice("klmnopq") + pick.choice("rstuvw") for _ in range(60)) for _ in range(60)]
+    shapes = ["Shared MENU  line 7\n{}\nlast one here", "{}\n\nlast one here", "é {}\n shared menu line 8\nlast one here\n", "{}"]
+    texts = [shapes[i % 4].format(x) for i, x in enumerate(own)] + ["shared menu line 3\nlast one here\nfew words of its own"]
+    hosts = ["h"] * 61
+    texts += ["shared menu line 1\n" + " ".join(own[0].split()[::-1])]
+    hosts += ["elsewhere"]
+    rows = [(i, t, h, -1, f"x{i}") for i, (t, h) in enumerate(zip(texts, hosts, strict=True))]
+    docs = spark.createDataFrame([*rows, (99, None, None, None, "n")], "doc_id long, text string, source string, n_chars long, more string")
+    bare = {"shared menu line 0", "last one here"}
+    want = ["\n".join(x for x in t.split("\n") if re.sub("[0-9]", "0", " ".join(x.lower().split())) not in bare) for t in texts[:60]]
+    want = {i: (t, len(t), f"x{i}") for i, t in enumerate(want)} | {61: (texts[61], len(texts[61]), "x61")}
+    for made in (quality.clean(docs), corpus_pipeline.quality_rules(spark, docs, "")):
+        assert made.columns == docs.columns
+        assert {r.doc_id: (r.text, r.n_chars, r.more) for r in made.collect()} == want
