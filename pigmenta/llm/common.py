@@ -146,3 +146,10 @@ def signed(x: np.ndarray) -> pa.Array:
 def select_texts(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash with ours."""
     return docs.select(*columns)
+
+
+def read_once(shared):
+    """The value of a broadcast, read by a task without being kept in the worker's memory afterwards."""
+    value = shared.value
+    shared.__dict__.pop("_value", None)
+    return value

@@ -5,12 +5,13 @@ length of the longest match at each word; a match of window words or more, or of
 as hit. The items of a match are found at the automaton's state for the window.
 
 The automaton is broadcast, so its size is checked: benchmarks of over max_item_words words are cut into parts of at
-most that, each part is one pass over the documents, and the passes are merged by document.
+most that. A task reads its texts through one part after the other and joins the spans of each text; what to cut or
+drop is decided once, from the spans of all parts on the text as given.
 
 Words: A-Z in lower case, then runs of digits, letters a-z and characters outside ASCII. Defined cases: a null or empty
 text has no words and no hits; an item without words has no window; items with equal words are hit together, rows that
-repeat an item_id count once; rows that repeat a doc_id are judged each by itself in one pass and merged in several; an
-empty table of documents gives no rows, of items no hits; other columns of the input are ignored.
+repeat an item_id count once; rows that repeat a doc_id are judged each by itself; an empty
+table of documents gives no rows, of items no hits; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -149,23 +149,55 @@ class Automaton:
         return spans, found
 
 
-def _scanner(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = pickle.loads(shared.value)
-        for batch in batches:
-            for s in C.slices(batch.column(1)):
+def _union(a: list[int], b: list[int]) -> list[int]:
+    """Spans that are in one of two lists of spans, with those that touch joined."""
+    out: list[int] = []
+    for lo, hi in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
+        if out and out[-1] >= lo:
+            out[-1] = max(out[-1], hi)
+        else:
+            out += [lo, hi]
+    return out
+
+
+class Parts:
+    """The broadcast parts of the benchmark. Only one is in a task's memory at a time."""
+
+    def __init__(self, shared: list):
+        self.shared = shared
+        self.only: Automaton | None = None
+
+    def _automata(self) -> Iterator[Automaton]:
+        if len(self.shared) > 1:
+            yield from (pickle.loads(C.read_once(x)) for x in self.shared)
+        else:
+            self.only = self.only or pickle.loads(self.shared[0].value)
+            yield self.only
+
+    def scan(self, texts: pa.Array) -> tuple[list[int], list[list[int]], list[set[str]]]:
+        """Of each text: its words, its hit spans and the items that occur."""
+        n, spans, items = [0] * len(texts), [[] for _ in range(len(texts))], [set() for _ in range(len(texts))]
+        for k, automaton in enumerate(self._automata()):
+            for s in C.slices(texts):
                 raw = s.data.tobytes().translate(NORMAL)
-                n, spans, items = [], [], []
-                for lo, hi in zip(s.offs[:-1].tolist(), s.offs[1:].tolist(), strict=True):
+                for i, (lo, hi) in enumerate(zip(s.offs[:-1].tolist(), s.offs[1:].tolist(), strict=True), s.lo):
                     words = raw[lo:hi].split()
-                    a, b = automaton.scan(words)
-                    n.append(len(words))
-                    spans.append(a)
-                    items.append(sorted(b))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.lo, len(s)), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hit_spans", "items"],
-                )
+                    n[i] = len(words)
+                    found, names = automaton.scan(words)
+                    spans[i] = _union(spans[i], found) if k and found else spans[i] if k else found
+                    items[i] |= names
+        return n, spans, items
+
+
+def _scanner(shared: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(shared)
+        for batch in batches:
+            n, spans, items = parts.scan(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                names=["doc_id", "n_words", "hit_spans", "items"],
+            )
 
     return run
 
@@ -185,28 +217,16 @@ def _parts(items: DataFrame, max_item_words: int) -> Iterator[list[tuple[str, li
     yield part
 
 
+def _shared(docs: DataFrame, items: DataFrame, window: int, max_item_words: int) -> list:
+    """The automata of the parts, broadcast."""
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(pickle.dumps(Automaton(part, window))) for part in _parts(items, max_item_words)]
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 100_000) -> DataFrame:
     """doc_id, n_words, hit_spans (start, end, ... in words) and the items found, of each document."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spark = docs.sparkSession
-    passes = []
-    for part in _parts(items, max_item_words):
-        shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(part, window)))
-        passes.append(texts.mapInArrow(_scanner(shared), SCHEMA))
-    if len(passes) == 1:
-        return passes[0]
-    both = C.staged(reduce(DataFrame.unionByName, passes))
-    starts = F.filter(F.sequence(F.lit(0), F.size("hit_spans")), lambda i: (i % 2 == 0) & (i < F.size("hit_spans")))
-    spans = F.transform(starts, lambda i: F.struct(F.get("hit_spans", i).alias("a"), F.get("hit_spans", i + 1).alias("b")))
-    merged = F.aggregate(F.array_sort(F.flatten(F.collect_list(spans))), F.array().cast("array<int>"), _join_span)
-    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-
-def _join_span(spans, s):
-    """Appends a span to sorted spans, or lengthens the last one if they touch."""
-    touches = (F.size(spans) > 0) & (F.element_at(spans, -1) >= s["a"])
-    longer = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.greatest(F.element_at(spans, -1), s["b"])))
-    return F.when(touches, longer).otherwise(F.concat(spans, F.array(s["a"], s["b"])))
+    return texts.mapInArrow(_scanner(_shared(docs, items, window, max_item_words)), SCHEMA)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -220,14 +240,15 @@ def items_digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _cleaner(shared, column: int, chars: int | None, max_span: int, max_coverage: float):
+def _cleaner(shared: list, column: int, chars: int | None, max_span: int, max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = pickle.loads(shared.value)
+        parts = Parts(shared)
         for batch in batches:
             texts, keep = batch.column(column).to_pylist(), []
+            _, found, _ = parts.scan(batch.column(column))
             for i, text in enumerate(texts):
                 raw = (text or "").encode()
-                spans, _ = automaton.scan(raw.translate(NORMAL).split())
+                spans = found[i]
                 cut = [(a, b) for a, b in zip(spans[::2], spans[1::2], strict=True) if b - a >= max_span]
                 if not cut:
                     keep.append(True)
@@ -256,10 +277,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
 
     n_chars, if there, is set anew for all rows. A null text stays null.
     """
-    spark = docs.sparkSession
     names = docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
-    for k, part in enumerate(_parts(items, max_item_words)):
-        shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(part, window)))
-        docs = (C.staged(docs) if k else docs).mapInArrow(_cleaner(shared, names.index("text"), chars, max_span, max_coverage), docs.schema)
-    return docs
+    shared = _shared(docs, items, window, max_item_words)
+    return docs.mapInArrow(_cleaner(shared, names.index("text"), chars, max_span, max_coverage), docs.schema)

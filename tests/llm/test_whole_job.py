@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from pigmenta.llm import quality, repeats
+from pigmenta.llm import decontaminate, quality, repeats
 
 
 def all_runs(texts, n, min_words):
@@ -64,3 +64,16 @@ def test_boilerplate_lines_leave_the_texts(spark):
     for made in (quality.clean(docs), corpus_pipeline.quality_rules(spark, docs, "")):
         assert made.columns == docs.columns
         assert {r.doc_id: (r.text, r.n_chars, r.more) for r in made.collect()} == want
+
+
+def test_spans_of_all_parts_are_cut_at_once(spark):
+    w = [f"w{i}" for i in range(100)]
+    items = [(1, " ".join(w[:30])), (2, " ".join(w[40:70])), (3, " ".join(w[75:87])), (4, " ".join(w[80:92]))]
+    texts = [" ".join(w[:30] + ["x"] * 40 + w[40:70]), " ".join(["y"] * 50 + w[75:92] + ["z"] * 20), "nothing of it", None]
+    want = {1: " ".join(["y"] * 50) + "  " + " ".join(["z"] * 20), 2: texts[2], 3: None}
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for most in (5, 60, 100_000):
+        rows = decontaminate.remove_spans(docs, benchmark, max_item_words=most).collect()
+        assert {r.doc_id: r.text for r in rows} == want
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
