@@ -9,8 +9,9 @@ probing (n-gram, 1), (n-gram, 2) ... until one is missing. A word's probability
 with all counts from the filters, so it is never 0.
 
 Everything is counted over all training documents. N-grams travel as 64-bit hashes in packed blocks, by bucket, so the
-shuffle has few rows. The filters are broadcast, so their size is bounded by filter_bytes: if the n-grams need more
-at bits_per_key, the lowest level that fits is the first one kept, separately for words and for pairs.
+shuffle has few rows. A filter grows with its n-grams (bits_per_key each) and keeps all levels at every size. It is cut
+by n-gram hash into parts of at most filter_bytes, which are broadcast; the driver and each task hold one at a time, and
+tasks with several parts probe all n-grams of a large slice of text in one part after the other.
 
 The base score needs exact counts. Words with over 1 / heavy of all tokens (at most `heavy` words) are broadcast; the
 occurrences of all others are sent to their word's bucket, where they are counted and their logarithms go back to the
@@ -142,11 +143,11 @@ def _summed(table: pa.Table) -> pa.Table:
 class Filter:
     """A log-frequency Bloom filter in equal blocks, one for each bucket of hashes."""
 
-    def __init__(self, bits: int, block_bits: int, least: int, data: bytearray | bytes):
-        self.bits, self.block_bits, self.least, self.data = bits, block_bits, least, data
+    def __init__(self, bits: int, block_bits: int, least: int, data: bytearray | bytes, first: int = 0):
+        self.bits, self.block_bits, self.least, self.data, self.first = bits, block_bits, least, data, first
 
     def _places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        base = _bucket_of(h, self.bits) * self.block_bits
+        base = (_bucket_of(h, self.bits) - self.first) * self.block_bits
         x = C.mix(h + _U(level * 0x51ED2701A3B5C7D9 % (1 << 64)))
         for _ in range(PROBES):
             x = C.mix(x + _U(0x9E3779B97F4A7C15))
@@ -173,6 +174,39 @@ class Filter:
         return np.where(level > 0, np.exp2(level - 1) * 1.5 - 0.5, 0.0)
 
 
+class Parted(Filter):
+    """A filter in parts of `each` blocks, as broadcasts by number; a part without n-grams is left out."""
+
+    def __init__(self, bits: int, block_bits: int, least: int, each: int, shared: dict):
+        super().__init__(bits, block_bits, least, b"")
+        self.each, self.shared = each, shared
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), dtype=np.int64)
+        part = _bucket_of(h, self.bits) // self.each
+        order = np.argsort(part, kind="stable")
+        for k, shared in self.shared.items():
+            at = order[slice(*np.searchsorted(part[order], [k, k + 1]))] if len(self.shared) > 1 else np.flatnonzero(part == k)
+            data = shared.value if len(self.shared) == 1 else C.read_once(shared)
+            out[at] = Filter(self.bits, self.block_bits, self.least, data, k * self.each).levels(h[at])
+        return out
+
+
+def _joined(plans: dict[int, tuple[int, int, int]], each: dict[int, int]):
+    """The blocks of one part as one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+        (bits, block, _), first = plans[kind], part * each[kind]
+        n = block // 8
+        data = bytearray(n * min(each[kind], (1 << bits) - first))
+        for b, one in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), strict=True):
+            data[(b - first) * n : (b - first + 1) * n] = one
+        return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([bytes(data)], pa.binary())})
+
+    return run
+
+
 def _block_of(plans: dict[int, tuple[int, int, int]]):
     """Of each counted bucket, the block of its kind's filter."""
 
@@ -195,20 +229,16 @@ def _block_of(plans: dict[int, tuple[int, int, int]]):
 
 
 def _plan(levels: np.ndarray, buckets: int, bits_per_key: int, max_bytes: int) -> tuple[int, int]:
-    """Bits of a block, and the least level kept, for a kind's histogram of levels."""
-    counts = np.asarray(levels, dtype=np.int64)
-    for least in range(1, LEVELS):
-        keys = int((counts[least:] * np.arange(1, LEVELS - least + 1)).sum())
-        if keys * bits_per_key <= max_bytes * 8:
-            break
+    """Bits of a block, and the least level kept: always 1, as what is over max_bytes goes to further parts."""
+    keys = int((np.asarray(levels, dtype=np.int64) * np.arange(len(levels))).sum())
     block = max(64, -(-keys * bits_per_key // buckets))
-    return -(-block // 8) * 8, least
+    return -(-block // 8) * 8, 1
 
 
 class Model:
-    """What scoring tasks get: the filters, the heavy words with their exact counts, and totals."""
+    """What scoring tasks get: the filters (set by the task, as they are broadcasts of their own), the heavy words with their exact counts, and totals."""
 
-    def __init__(self, words: Filter, pairs: Filter, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, documents: int, weight: float):
+    def __init__(self, words: Filter | None, pairs: Filter | None, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, documents: int, weight: float):
         self.words, self.pairs, self.heavy, self.heavy_counts = words, pairs, heavy, heavy_counts
         self.tokens, self.distinct, self.documents, self.weight = tokens, distinct, documents, weight
 
@@ -226,15 +256,17 @@ class Model:
 ROUTED = "bucket long, hashes binary, docs binary, times binary, learn binary, doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def _score(shared, buckets: int, folds: int, held: int):
+def _score(shared, filters: dict[int, Parted], buckets: int, folds: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
+        m.words, m.pairs = filters[0], filters[1]
+        limit = 1 << 20 if max(len(f.shared) for f in filters.values()) <= 1 else 1 << 24
         logs = np.log10(m.heavy_counts + 1.0)
         schema = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("hashes", "docs", "times", "learn")), *((x, pa.int64()) for x in ("doc_id", "n_tokens", "n_known")), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy()
             given = batch.column(0).to_pylist()
-            for s in C.slices(batch.column(1), 1 << 20):
+            for s in C.slices(batch.column(1), limit):
                 h, before, of = _tokens(s)
                 n = len(s)
                 pair = _pair(before, h)
@@ -324,19 +356,21 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, weight: float = 0.5, h
     sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("distinct_keys").alias("distinct_keys"), F.array(*[F.sum(F.get("levels", F.lit(i))) for i in range(LEVELS)]).alias("levels")).collect()}
     tokens, distinct = (sums[0].tokens, sums[0].distinct_keys) if 0 in sums else (0, 0)
     plans = {k: (bits, *_plan(sums[k].levels if k in sums else [0] * LEVELS, 1 << bits, bits_per_key, filter_bytes)) for k in (0, 1)}
-    filters = {k: Filter(b, block, least, bytearray(block // 8 << b)) for k, (b, block, least) in plans.items()}
-    for r in counted.select("kind", "bucket", "hashes", "counts").mapInArrow(_block_of(plans), "kind int, bucket int, block binary").toLocalIterator():
-        n = plans[r.kind][1] // 8
-        filters[r.kind].data[r.bucket * n : (r.bucket + 1) * n] = r.block
+    each = {k: max(1, filter_bytes // (block // 8)) for k, (_, block, _) in plans.items()}
+    filters = {k: Parted(b, block, least, each[k], {}) for k, (b, block, least) in plans.items()}
+    blocks = counted.select("kind", "bucket", "hashes", "counts").mapInArrow(_block_of(plans), "kind int, bucket int, block binary")
+    part = F.expr(f"bucket div if(kind = 0, {each[0]}, {each[1]})").cast("int")
+    for r in blocks.withColumn("part", part).groupBy("kind", "part").applyInArrow(_joined(plans, each), "kind int, part int, data binary").toLocalIterator():
+        filters[r.kind].shared[r.part] = spark.sparkContext.broadcast(bytes(r.data))
     rows = counted.where("kind = 0").select("hashes", "counts").mapInArrow(_heavy(tokens / heavy), "hash long, n long").collect()
     top = np.array([(r.hash, r.n) for r in rows], dtype=np.int64).reshape(-1, 2)
     keys = top[:, 0].view(np.uint64) if len(top) else np.zeros(0, dtype=np.uint64)
     order = np.argsort(keys)
     end = [r for r in counted.where(F.col("kind") == 0).where(F.col("bucket") == int(_bucket_of(np.array([END]), bits)[0])).select("hashes", "counts").mapInArrow(_count_of(int(END)), "n long").collect()]
-    model = Model(filters[0], filters[1], np.ascontiguousarray(keys[order]), top[order, 1] if len(top) else np.zeros(0, dtype=np.int64), tokens, distinct, sum(r.n for r in end), weight)
+    model = Model(None, None, np.ascontiguousarray(keys[order]), top[order, 1] if len(top) else np.zeros(0, dtype=np.int64), tokens, distinct, sum(r.n for r in end), weight)
     shared = spark.sparkContext.broadcast(model)
     buckets = max(C.shuffle_partitions(spark), tokens // 2_000_000, 1)
-    routed = texts.mapInArrow(_score(shared, buckets, folds, held), ROUTED)
+    routed = texts.mapInArrow(_score(shared, filters, buckets, folds, held), ROUTED)
     sums = routed.groupBy("bucket").applyInArrow(_rare(buckets), "home long, rows binary").groupBy("home").applyInArrow(_added, PARTIAL)
     out = F.crc32(F.coalesce(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id").cast("string")), F.lit("")).cast("binary")) % folds == held
     return sums.select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tokens + distinct + 1)))).alias("base_score"), "score")

@@ -3,8 +3,10 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
-from pigmenta.llm import decontaminate, quality, repeats
+from pigmenta.llm import decontaminate, lm, quality, repeats
 
 
 def all_runs(texts, n, min_words):
@@ -77,3 +79,13 @@ def test_spans_of_all_parts_are_cut_at_once(spark):
         rows = decontaminate.remove_spans(docs, benchmark, max_item_words=most).collect()
         assert {r.doc_id: r.text for r in rows} == want
         assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
+def test_a_filter_over_its_bound_keeps_all_counts(spark):
+    pick = random.Random(4)
+    rows = [(i, " ".join(f"w{pick.randrange(300)}" for _ in range(pick.randint(0, 200)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs).collect()}
+    for bound in (1, 1000):
+        got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs, filter_bytes=bound).collect()}
+        assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i]) for i in whole)
