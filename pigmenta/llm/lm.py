@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -192,21 +193,6 @@ class Parted(Filter):
         return out
 
 
-def _joined(plans: dict[int, tuple[int, int, int]], each: dict[int, int]):
-    """The blocks of one part as one row."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
-        (bits, block, _), first = plans[kind], part * each[kind]
-        n = block // 8
-        data = bytearray(n * min(each[kind], (1 << bits) - first))
-        for b, one in zip(table["bucket"].to_pylist(), table["block"].to_pylist(), strict=True):
-            data[(b - first) * n : (b - first + 1) * n] = one
-        return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([bytes(data)], pa.binary())})
-
-    return run
-
-
 def _block_of(plans: dict[int, tuple[int, int, int]]):
     """Of each counted bucket, the block of its kind's filter."""
 
@@ -260,7 +246,7 @@ def _score(shared, filters: dict[int, Parted], buckets: int, folds: int, held: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         m.words, m.pairs = filters[0], filters[1]
-        limit = 1 << 20 if max(len(f.shared) for f in filters.values()) <= 1 else 1 << 24
+        limit = 1 << 20 if max(len(f.shared) for f in filters.values()) <= 1 else 1 << 21
         logs = np.log10(m.heavy_counts + 1.0)
         schema = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("hashes", "docs", "times", "learn")), *((x, pa.int64()) for x in ("doc_id", "n_tokens", "n_known")), ("base", pa.float64()), ("score", pa.float64())])
         for batch in batches:
@@ -360,8 +346,14 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, weight: float = 0.5, h
     filters = {k: Parted(b, block, least, each[k], {}) for k, (b, block, least) in plans.items()}
     blocks = counted.select("kind", "bucket", "hashes", "counts").mapInArrow(_block_of(plans), "kind int, bucket int, block binary")
     part = F.expr(f"bucket div if(kind = 0, {each[0]}, {each[1]})").cast("int")
-    for r in blocks.withColumn("part", part).groupBy("kind", "part").applyInArrow(_joined(plans, each), "kind int, part int, data binary").toLocalIterator():
-        filters[r.kind].shared[r.part] = spark.sparkContext.broadcast(bytes(r.data))
+    ordered = blocks.withColumn("part", part).repartition(C.shuffle_partitions(spark), "kind", "part").sortWithinPartitions("kind", "bucket")
+    for (kind, k), rows in groupby(ordered.toLocalIterator(), key=lambda r: (r.kind, r.part)):
+        (b, block, _), first = plans[kind], k * each[kind]
+        n = block // 8
+        data = bytearray(n * min(each[kind], (1 << b) - first))
+        for r in rows:
+            data[(r.bucket - first) * n : (r.bucket - first + 1) * n] = r.block
+        filters[kind].shared[k] = spark.sparkContext.broadcast(bytes(data))
     rows = counted.where("kind = 0").select("hashes", "counts").mapInArrow(_heavy(tokens / heavy), "hash long, n long").collect()
     top = np.array([(r.hash, r.n) for r in rows], dtype=np.int64).reshape(-1, 2)
     keys = top[:, 0].view(np.uint64) if len(top) else np.zeros(0, dtype=np.uint64)
