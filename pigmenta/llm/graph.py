@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, follows the hooks twice, and contracts the links; the links
     shrink until none is left, in about as many rounds as the logarithm of the longest path. Rounds are staged tables,
-    and minima are taken before shuffles, so a node with very many links is no hot spot.
+    each deleted when the next is there. Minima are taken before shuffles; in the joins a node with very many links has
+    its rows on one side and one row on the other, which adaptive execution splits (spark.sql.adaptive.skewJoin).
     """
     edges = C.staged(links.select("a", "b").where("a <> b").distinct())
     known = None
@@ -28,7 +29,9 @@ def components(links: DataFrame) -> DataFrame:
             known = hook.select("id", F.col("to").alias("component"))
         else:
             up = hook.select(F.col("id").alias("component"), "to")
-            known = C.staged(known.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+            before, known = known, C.staged(known.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+            C.drop(before)
         moved = edges.join(hook.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(hook.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
-        edges = C.staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, edges = edges, C.staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        C.drop(before)
     return known if known is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

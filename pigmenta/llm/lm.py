@@ -52,7 +52,7 @@ def held_out(doc_id: int | None, folds: int, held: int) -> bool:
 def _tokens(s: C.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, hash of the one before, and text of each token of a slice."""
     start, end, doc = s.words()
-    h = C.range_hash(C.prefix(C.ALPHABET[C.LOWER[s.data]]), start, end)
+    h = C.hash_bytes(s.lower(), start, end, C.SEEDS[0])[0]
     n = len(s)
     out = np.full(len(h) + n, END, dtype=np.uint64)
     at = np.arange(len(h)) + doc
@@ -66,7 +66,7 @@ def _tokens(s: C.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return C.mix(before * _U(0x9E3779B97F4A7C15) + word)
+    return C.chain(before, word)
 
 
 def _bucket_of(h: np.ndarray, bits: int) -> np.ndarray:

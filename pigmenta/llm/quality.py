@@ -27,7 +27,6 @@ from . import common as C
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _NORMAL = np.where((np.arange(256) >= 48) & (np.arange(256) <= 57), 48, C.LOWER).astype(np.uint8)
-_U = np.uint64
 
 SCAN = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_set long, line_hash array<long>, line_words array<int>"
 
@@ -36,7 +35,7 @@ def _repeated(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Per text, the words that lie in a 3-word window found twice or more in it."""
     if len(h) < 3:
         return np.zeros(n, dtype=np.int64)
-    key = C.mix(h[:-2] * _U(3) + C.mix(h[1:-1] * _U(5) + C.mix(h[2:] + doc[:-2].astype(np.uint64) * _U(0x9E3779B97F4A7C15))))
+    key = C.chain(doc[:-2].astype(np.uint64), h[:-2], h[1:-1], h[2:])
     at = np.flatnonzero(doc[:-2] == doc[2:])
     key = key[at]
     order = np.argsort(key, kind="stable")
@@ -63,8 +62,8 @@ def _lines(s: C.Slice, start: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _keys(s: C.Slice, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The hash of each line's normalised words."""
-    normal = C.range_hash(C.prefix(C.ALPHABET[_NORMAL[s.data]]), start, end)
-    return C.range_hash(C.prefix(normal), first, last).view(np.int64)
+    normal = C.hash_bytes(C.eights(_NORMAL[s.data]), start, end, C.SEEDS[0])[0]
+    return C.hash_runs(normal, first, last, C.SEEDS[0])[0].view(np.int64)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +71,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in C.slices(batch.column(2)):
             n = len(s)
             start, end, doc = s.words()
-            sums = C.prefix(C.ALPHABET[s.data])
-            repeat = _repeated(C.range_hash(sums, start, end), doc, n)
+            eights = C.eights(s.data)
+            repeat = _repeated(C.hash_bytes(eights, start, end, C.SEEDS[0])[0], doc, n)
             line_doc, lo, hi, first, last = _lines(s, start)
-            exact = C.range_hash(sums, lo, hi) ^ C.mix(line_doc.astype(np.uint64))
+            exact = C.chain(line_doc.astype(np.uint64), C.hash_bytes(eights, lo, hi, C.SEEDS[0])[0])
             distinct = np.bincount(line_doc[np.unique(exact, return_index=True)[1]], minlength=n)
             dup = np.bincount(line_doc, minlength=n) - distinct
             key = _keys(s, start, end, first, last)
@@ -86,7 +85,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.add.reduceat(size, np.flatnonzero(new)) if len(key) else size
             counts = np.bincount(line_doc[new], minlength=n)
             at = np.concatenate([[0], np.cumsum(counts)])
-            line_set = C.range_hash(C.prefix(key[new].view(np.uint64)), at[:-1], at[1:])
+            line_set = C.hash_runs(key[new].view(np.uint64), at[:-1], at[1:], C.SEEDS[0])[0]
             code_points = s.per_text(C.WORD[s.data] & ((s.data & 0xC0) != 0x80))
             head = batch.slice(s.lo, n)
             yield pa.RecordBatch.from_arrays(
@@ -99,7 +98,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scanned(docs: DataFrame, host: str) -> DataFrame:
-    return C.staged(C.select_texts(docs, F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string")).mapInArrow(_scan, SCAN))
+    C.bounded(docs.sparkSession)
+    return C.staged(docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string")).mapInArrow(_scan, SCAN))
 
 
 def _boilerplate(scan: DataFrame, min_documents: int, share: float) -> DataFrame:

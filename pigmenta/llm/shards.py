@@ -72,8 +72,7 @@ def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
 
     One range shuffle; then only the count of each partition, a row a partition, is summed.
     """
-    n = C.shuffle_partitions(rows.sparkSession)
-    ranged = C.staged(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = C.staged(rows.repartitionByRange(C.ranges(rows), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -13,6 +13,7 @@ the hash of their text; an empty table gives files without rows; null doc_ids co
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -20,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import chain, filterfalse
 from operator import itemgetter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +43,13 @@ _rest = iter(range(256, 512))
 BYTE_CHARS = {b: b if b in _print else next(_rest) for b in range(256)}
 _TAIL = itemgetter(slice(1, None))
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
-_workers: dict[str, tuple] = {}
-#: Pieces whose ids a worker keeps; it forgets them all when there are more.
-CACHE = 800_000
+#: The encoder of this worker, by the digest of its tokenizer: one at a time.
+_worker: dict[str, Encoder] = {}
+#: Bytes of pieces and ids that make a generation of an encoder's memory, some overhead of each piece included.
+GENERATION_BYTES, PIECE_BYTES = 24 << 20, 200
 FILE = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _workers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _workers[path] = (tokenizer, {}, tokenizer.encode("\n", add_special_tokens=False).ids)
-    return _workers[path]
-
-
 def _runs(text: str) -> bool:
     """Whether spaces or line breaks stand together, or at an end."""
     return not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
@@ -67,71 +60,103 @@ def _bytes(ids: list[int]) -> bytes:
     return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else np.array(ids, dtype="<u4").tobytes()
 
 
-def _learn(new: list[str], before: str, tokenizer, line: int, known: dict[str, bytes], prefix: bytes, names: list[str]) -> None:
-    """Encodes new pieces: plain words by the model at once, others in one text, a line each.
+class Encoder:
+    """A tokenizer that remembers the ids of pieces of text.
 
-    The id of a line break stands only between the lines of that text.
-    """
-    tokenize, other, head = tokenizer.model.tokenize, [], before.translate(BYTE_CHARS)
-    for x, name in zip(new, names, strict=True):
-        if x.isascii() and x.isalpha():
-            word, end = x, ""
-        elif m := _PLAIN.fullmatch(x):
-            word, end = m.groups()
-        else:
-            other.append((x, name))
-            continue
-        key = before + word if end or prefix else None  # shared by all pieces with this word
-        ids = known.get("\0" + key) if key else None
-        if ids is None:
-            ids = _bytes([t.id for t in tokenize(head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))])
-            if key:
-                known["\0" + key] = ids
-        if end and (tail := known.get("\0" + end)) is None:
-            tail = known["\0" + end] = _bytes(tokenizer.encode(end, add_special_tokens=False).ids)
-        known[name] = prefix + ids + tail if end else prefix + ids
-    for k in range(0, len(other), 200):
-        part = other[k : k + 200]
-        ids = np.array(tokenizer.encode_batch_fast(["\n".join([before + x for x, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-        cut = np.flatnonzero(ids == line)
-        raw = ids.tobytes()
-        for (_, name), lo, hi in zip(part, [0, *(cut * 4 + 4).tolist()], [*(cut * 4).tolist(), len(raw)], strict=True):
-            known[name] = prefix + raw[lo:hi]
-
-
-def encode_texts(texts: list[str], path: str, chunked: bool = True, odd: bool = True) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
-
-    Byte-level BPE first splits before a space or line break between other characters, so the ids of a text are the
-    ids of its pieces (a word with the space or break before it) in order, and a piece that has been seen needs no
-    second encoding. chunked is for such tokenizers alone. odd: whether any text may have bytes of _ODD.
+    Its memory is bounded in bytes: there are two generations of pieces, and when the younger one is full, the older is
+    forgotten and the younger takes its place. A piece that is asked for again moves to the younger one.
     """
-    tokenizer, known, line = _tokenizer(path)
-    if len(known) > CACHE:
-        known.clear()
-    whole = [not chunked or len(line) != 1 or _runs(x) or (odd and _WHOLE.search(x) is not None) for x in texts]
-    # a space for all spaces, a line break kept at the head of its word; the first word has neither
-    pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
-    new = set(filterfalse(known.__contains__, chain.from_iterable(map(_TAIL, pieces))))
-    heads = [x for x in new if x[0] == "\n"]
-    words = [x for x in new if x[0] != "\n"]
-    _learn(words, " ", tokenizer, line[0], known, b"", words)
-    _learn([x[1:] for x in heads], "", tokenizer, line[0], known, np.array(line, dtype="<u4").tobytes(), heads)
-    out = []
-    for x, w, p in zip(texts, whole, pieces, strict=True):
-        start = x if w else p[0]
-        first = np.array(tokenizer.encode(start, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out.append(first if w else first + b"".join(map(known.__getitem__, _TAIL(p))))
-    return out
-
-
-def _encoder(path: str, end_id: int, chunked: bool):
+
+    def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(model)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def _put(self, name: str, ids: bytes) -> bytes:
+        self.known[name] = ids
+        self.size += len(name) + len(ids) + PIECE_BYTES
+        return ids
+
+    def _get(self, name: str) -> bytes | None:
+        ids = self.known.get(name)
+        if ids is None and (ids := self.older.get(name)) is not None:
+            self._put(name, ids)
+        return ids
+
+    def _learn(self, new: list[str], before: str, prefix: bytes, names: list[str]) -> None:
+        """Encodes new pieces: plain words by the model at once, others in one text, a line each.
+
+        The id of a line break stands only between the lines of that text.
+        """
+        tokenizer, get, put = self.tokenizer, self._get, self._put
+        tokenize, other, head = tokenizer.model.tokenize, [], before.translate(BYTE_CHARS)
+        for x, name in zip(new, names, strict=True):
+            if x.isascii() and x.isalpha():
+                word, end = x, ""
+            elif m := _PLAIN.fullmatch(x):
+                word, end = m.groups()
+            else:
+                other.append((x, name))
+                continue
+            key = "\0" + before + word if end or prefix else None  # shared by all pieces with this word
+            ids = get(key) if key else None
+            if ids is None:
+                ids = _bytes([t.id for t in tokenize(head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))])
+                if key:
+                    put(key, ids)
+            if end and (tail := get("\0" + end)) is None:
+                tail = put("\0" + end, _bytes(tokenizer.encode(end, add_special_tokens=False).ids))
+            put(name, prefix + ids + tail if end else prefix + ids)
+        for k in range(0, len(other), 200):
+            part = other[k : k + 200]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join([before + x for x, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(ids == self.line[0])
+            raw = ids.tobytes()
+            for (_, name), lo, hi in zip(part, [0, *(cut * 4 + 4).tolist()], [*(cut * 4).tolist(), len(raw)], strict=True):
+                put(name, prefix + raw[lo:hi])
+
+    def encode(self, texts: list[str], chunked: bool = True, odd: bool = True) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers.
+
+        Byte-level BPE first splits before a space or line break between other characters, so the ids of a text are
+        the ids of its pieces (a word with the space or break before it) in order, and a piece that has been seen needs
+        no second encoding. chunked is for such tokenizers alone. odd: whether any text may have bytes of _ODD.
+        """
+        if self.size > GENERATION_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
+        known, line = self.known, self.line
+        whole = [not chunked or len(line) != 1 or _runs(x) or (odd and _WHOLE.search(x) is not None) for x in texts]
+        # a space for all spaces, a line break kept at the head of its word; the first word has neither
+        pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
+        new = [x for x in set(filterfalse(known.__contains__, chain.from_iterable(map(_TAIL, pieces)))) if self._get(x) is None]
+        heads = [x for x in new if x[0] == "\n"]
+        words = [x for x in new if x[0] != "\n"]
+        self._learn(words, " ", b"", words)
+        self._learn([x[1:] for x in heads], "", np.array(line, dtype="<u4").tobytes(), heads)
+        out = []
+        for x, w, p in zip(texts, whole, pieces, strict=True):
+            start = x if w else p[0]
+            first = np.array(self.tokenizer.encode(start, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out.append(first if w else first + b"".join(map(known.__getitem__, _TAIL(p))))
+        return out
+
+
+def _encoder(shared, digest: str, end_id: int, chunked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if digest not in _worker:
+            _worker.clear()
+            _worker[digest] = Encoder(C.read_once(shared))
+        encoder = _worker[digest]
         before, end = 0, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for s in C.slices(batch.column(2), 1 << 20):
                 texts = [x or "" for x in batch.column(2).slice(s.lo, len(s)).to_pylist()]
-                ids = [x + end for x in encode_texts(texts, path, chunked, bool(_ODD[s.data].any()))]
+                ids = [x + end for x in encoder.encode(texts, chunked, bool(_ODD[s.data].any()))]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
@@ -143,12 +168,19 @@ def _encoder(path: str, end_id: int, chunked: bool):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, chunked: bool = True) -> None:
-    """Writes the token files of docs in ascending doc_id order. encoding: 'dictionary' or 'delta'."""
+    """Writes the token files of docs in ascending doc_id order. encoding: 'dictionary' or 'delta'.
+
+    tokenizer: the path of a tokenizer's file on the driver, which sends its content, some megabytes, to the tasks.
+    """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding must be dictionary or delta, not {encoding}")
-    n = C.shuffle_partitions(docs.sparkSession)
-    ordered = C.select_texts(docs, F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_encoder(tokenizer, end_id, chunked), FILE)
+    spark = docs.sparkSession
+    C.bounded(spark)
+    model = Path(tokenizer).read_text(encoding="utf-8")
+    coder = _encoder(spark.sparkContext.broadcast(model), hashlib.sha256(model.encode()).hexdigest(), end_id, chunked)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = texts.repartitionByRange(C.ranges(texts), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(coder, FILE)
     (
         rows.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.dictionary.page.size", 1 << 20).option("parquet.column.index.enabled", "true").parquet(path)

@@ -83,7 +83,7 @@ def test_pieces_equal_whole_texts():
     t = Tokenizer.from_file(str(tokenizer_path()))
     parts = ["a", "Bc", "é", " ", "\n", "'s", "1", "23", ".", ",", "  ", "\t", "日", "ж", "<|endoftext|>", "!", "_", "🙂", "\r", "\xa0"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(2000)]
-    got = tokens.encode_texts(texts, str(tokenizer_path()))
+    got = tokens.Encoder(open(tokenizer_path(), encoding="utf-8").read()).encode(texts)
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -126,8 +126,10 @@ def test_estimates_are_corrected_for_chance():
     a, b = rng.integers(0, 1 << 62, 1000, dtype=np.uint64), rng.integers(0, 1 << 62, 1000, dtype=np.uint64)
     both = np.concatenate([a, b])
     x, y = np.concatenate([a, both[1000:1250]]), np.concatenate([a, both[1250:1500]])  # 1000 of 1500
-    low = [(minhash.C.mix(minhash.minima(s, np.array([0]), 1000)) & np.uint64(255)) for s in (x, y)]
-    assert minhash.estimate((low[0] == low[1]).sum(), 1000) == pytest.approx(2 / 3, abs=0.06)
+    low = [minhash.C.mix(minhash.minima(s, np.array([0]), 1000)) for s in (x, y)]
+    agree = minhash.agreeing(*map(minhash.packed, low), 1000)
+    assert agree.tolist() == [np.count_nonzero(low[0] % np.uint64(256) == low[1] % np.uint64(256))]
+    assert minhash.estimate(agree, 1000)[0] == pytest.approx(2 / 3, abs=0.06)
 
 
 def test_personal_data(docs):
@@ -249,7 +251,7 @@ def test_repeated_sentences(spark, docs):
 
 
 def brute_sentences(texts, n, min_words):
-    """Per text: sentences, removed sentences, removed runs and the kept text, from the rule read plainly."""
+    """Per text: sentences, removed sentences, removed runs and the kept text, from all runs of sentences."""
     seen, out = set(), []
     for text in texts:
         t = text or ""
@@ -257,14 +259,14 @@ def brute_sentences(texts, n, min_words):
         ends = [i + 1 for i, w in enumerate(words) if w[0][-1] in ".!?" or i + 1 == len(words) or "\n" in t[w.end() : words[i + 1].start()]]
         firsts = [0, *ends[:-1]][: len(ends)]
         gone = [False] * len(ends)
+        sentences = [tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w[0]) for w in words[a:b]) for a, b in zip(firsts, ends, strict=True)]
         for i in range(len(ends)):
-            upto = next((u for u in range(i + n, len(ends) + 1) if ends[u - 1] - firsts[i] >= min_words), None)
-            if upto is None:
-                break
-            run = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w[0]) for w in words[firsts[i] : ends[upto - 1]])
-            if run in seen:
-                gone[i:upto] = [True] * (upto - i)
-            seen.add(run)
+            for upto in range(i + n, len(ends) + 1):
+                if ends[upto - 1] - firsts[i] >= min_words:
+                    run = tuple(sentences[i:upto])
+                    if run in seen:
+                        gone[i:upto] = [True] * (upto - i)
+                    seen.add(run)
         starts = [*(words[f].start() for f in firsts), len(t)]
         kept = t[: starts[0]] + "".join(t[starts[i] : starts[i + 1]] for i in range(len(ends)) if not gone[i])
         out.append((len(ends), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), kept))
