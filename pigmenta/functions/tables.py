@@ -10,13 +10,25 @@ from . import color
 MOST_COLORS = 256
 # Palettes of common machines and themes.
 PALETTES = {
-    "Game Boy (DMG)": "#0f380f #306230 #8bac0f #9bbc0f",
-    "1-bit Mono": "#000000 #ffffff",
-    "PICO-8": "#000000 #1d2b53 #7e2553 #008751 #ab5236 #5f574f #c2c3c7 #fff1e8 #ff004d #ffa300 #ffec27 #00e436 #29adff #83769c #ff77a8 #ffccaa",
-    "Sweetie 16": "#1a1c2c #5d275d #b13e53 #ef7d57 #ffcd75 #a7f070 #38b764 #257179 #29366f #3b5dc9 #41a6f6 #73eff7 #f4f4f4 #94b0c2 #566c86 #333c57",
-    "CGA 16": "#000000 #0000aa #00aa00 #00aaaa #aa0000 #aa00aa #aa5500 #aaaaaa #555555 #5555ff #55ff55 #55ffff #ff5555 #ff55ff #ffff55 #ffffff",
-    "Solarized": "#002b36 #073642 #586e75 #657b83 #839496 #93a1a1 #eee8d5 #fdf6e3 #b58900 #cb4b16 #dc322f #d33682 #6c71c4 #268bd2 #2aa198 #859900",
-}
+    "Game Boy (DMG)": ["#0f380f", "#306230", "#8bac0f", "#9bbc0f"],
+    "1-bit Mono": ["#000000", "#ffffff"],
+    "PICO-8": [
+        "#000000", "#1d2b53", "#7e2553", "#008751", "#ab5236", "#5f574f", "#c2c3c7", "#fff1e8",
+        "#ff004d", "#ffa300", "#ffec27", "#00e436", "#29adff", "#83769c", "#ff77a8", "#ffccaa",
+    ],
+    "Sweetie 16": [
+        "#1a1c2c", "#5d275d", "#b13e53", "#ef7d57", "#ffcd75", "#a7f070", "#38b764", "#257179",
+        "#29366f", "#3b5dc9", "#41a6f6", "#73eff7", "#f4f4f4", "#94b0c2", "#566c86", "#333c57",
+    ],
+    "CGA 16": [
+        "#000000", "#0000aa", "#00aa00", "#00aaaa", "#aa0000", "#aa00aa", "#aa5500", "#aaaaaa",
+        "#555555", "#5555ff", "#55ff55", "#55ffff", "#ff5555", "#ff55ff", "#ffff55", "#ffffff",
+    ],
+    "Solarized": [
+        "#002b36", "#073642", "#586e75", "#657b83", "#839496", "#93a1a1", "#eee8d5", "#fdf6e3",
+        "#b58900", "#cb4b16", "#dc322f", "#d33682", "#6c71c4", "#268bd2", "#2aa198", "#859900",
+    ],
+}
 # Built-in presets; each has only the settings that it changes.
 PRESETS = {
     ("b-cel", "Clean cel art"): {"pm-metric": "oklab", "pm-dither": "none", "pm-denoise": "1", "pm-speck": "12", "pm-tolerance": "60", "pm-smooth-stipple": "true"},
@@ -58,7 +70,7 @@ def palette(spark: SparkSession, colors: list[str] | str) -> DataFrame:
         elif colors == "Web Safe 216":
             rows = web_safe(spark)
         else:
-            return palette(spark, PALETTES[colors].split())
+            return palette(spark, PALETTES[colors])
     else:
         rows = spark.createDataFrame(list(enumerate(colors)), "idx int, hex string")
     rgb = color.from_hex(F.col("hex"))
@@ -73,7 +85,7 @@ def rgb_list(colors: list[str] | str) -> list[tuple[int, int, int]]:
             return [(v, v, v) for v in (int(i * 255 / (n - 1) + 0.5) for i in range(n))]
         if colors == "Web Safe 216":
             return [(i // 36 * 51, i // 6 % 6 * 51, i % 6 * 51) for i in range(216)]
-        colors = PALETTES[colors].split()
+        colors = PALETTES[colors]
     out = []
     for c in colors:
         h = c.strip().removeprefix("#")

@@ -48,8 +48,61 @@ def distinct_colors(palette: DataFrame, most: int = tables.MOST_COLORS) -> DataF
 
 def append_colors(palette: DataFrame, more: DataFrame) -> DataFrame:
     """palette, then what is new in more, capped."""
-    both = palette.select("palette_id", "idx", "hex").unionByName(more.select("palette_id", (F.col("idx") + 100_000).alias("idx"), "hex"))
-    return distinct_colors(both)
+    parts = [p.select("palette_id", F.struct(F.lit(k).alias("part"), F.col("idx").alias("i")).alias("idx"), "hex") for k, p in enumerate((palette, more))]
+    return distinct_colors(parts[0].unionByName(parts[1]))
+
+
+def set_palette(palette: DataFrame, touched: Column | None = None) -> DataFrame:
+    """distinct_colors of a palette, with the outline colour it brings: its darkest, or null where one was chosen."""
+    rows = distinct_colors(palette)
+    outline = darkest(rows).withColumnRenamed("hex", "outline")
+    out = rows.join(outline, "palette_id")
+    return out if touched is None else out.withColumn("outline", F.when(~touched, F.col("outline")))
+
+
+def edit_color(palette: DataFrame, place: int, hex_color: str) -> DataFrame:
+    """The colour at a place changed; what isn't a colour changes nothing."""
+    new = color.normal_hex(F.lit(hex_color))
+    return palette.withColumn("hex", F.when((F.col("idx") == place) & new.isNotNull(), new).otherwise(F.col("hex")))
+
+
+def delete_color(palette: DataFrame, place: int) -> DataFrame:
+    """The colour at a place taken out, and later ones moved up."""
+    return palette.where(F.col("idx") != place).withColumn("idx", F.when(F.col("idx") > place, F.col("idx") - 1).otherwise(F.col("idx")))
+
+
+def add_color(palette: DataFrame, first: str = "#888888") -> DataFrame:
+    """The last colour once more at the end, or first into an empty palette; a full palette stays. Repeats are meant."""
+    ids = palette.groupBy("palette_id").agg(F.max(F.struct("idx", "hex")).alias("l"), F.count("hex").alias("n")).where(F.col("n") < tables.MOST_COLORS)
+    more = ids.select("palette_id", (F.coalesce("l.idx", F.lit(-1)) + 1).cast("int").alias("idx"), F.coalesce("l.hex", F.lit(first)).alias("hex"))
+    return palette.where("hex is not null").select("palette_id", "idx", "hex").unionByName(more)
+
+
+def clear_colors(palette: DataFrame, palette_id: str) -> DataFrame:
+    """palette without the colours of one."""
+    return palette.where(F.col("palette_id") != palette_id)
+
+
+def pick_into(palette: DataFrame, picked: DataFrame) -> DataFrame:
+    """palette with the colours of picked(hex) at the end of each palette that lacks them and isn't full."""
+    sizes = palette.groupBy("palette_id").agg(F.max("idx").alias("last"), F.count("*").alias("n")).where(F.col("n") < tables.MOST_COLORS)
+    more = sizes.join(F.broadcast(picked.select("hex").distinct()))
+    more = more.join(palette.select("palette_id", "hex"), ["palette_id", "hex"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("palette_id").orderBy("hex"))
+    more = more.withColumn("k", place).where(F.col("n") + F.col("k") <= tables.MOST_COLORS)
+    return palette.select("palette_id", "idx", "hex").unionByName(more.select("palette_id", (F.col("last") + F.col("k")).cast("int").alias("idx"), "hex"))
+
+
+def in_palette(rows: DataFrame, palette: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows(palette_id, hex, ...) whose colour is in their palette, or isn't."""
+    own = palette.select("palette_id", color.normal_hex(F.col("hex")).alias("_h"), F.col("palette_id").alias("_p"))
+    same = (rows["palette_id"] == F.col("_p")) & (color.normal_hex(rows["hex"]) == F.col("_h"))
+    return rows.join(own.select("_p", "_h"), same, "left_semi" if inside else "left_anti")
+
+
+def strips(library: DataFrame, most: int = 8) -> DataFrame:
+    """palette_id and the first colours of each, for a list."""
+    return as_arrays(library.where(F.col("idx") < most))
 
 
 def move_color(palette: DataFrame, start: int, end: int) -> DataFrame:

@@ -1,17 +1,21 @@
 """Operators on pixels(image_id, y, x, r, g, b, a): tone, dither, matching, denoising, resampling.
 
-All but the error-diffusion dither are Column expressions or windows within an image, so pixels of different images
-never meet, and matching needs no shuffle at all: a palette has at most 256 colours and is a literal.
+Tone, dither and resampling are Column expressions, denoising is windows within an image, so pixels of different images
+never meet. Matching needs no shuffle: Arrow batches are compared with the palette, which has at most 256 colours. It is
+an operator of its own in the plan and not an expression, so that no later filter makes Spark search twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import color, tables
 
@@ -113,6 +117,41 @@ def nearest(colors: list[str] | str, metric: str = "srgb", r: Column | None = No
     return (F.array_min(F.transform(entries, key)) % 256).cast("int")
 
 
+def nearest_levels(levels: np.ndarray, colors: list[str] | str, metric: str = "srgb") -> np.ndarray:
+    """nearest() for rows of whole levels r, g, b; one pass over the rows for each colour."""
+    rgb = np.array(tables.rgb_list(colors), dtype=np.int64)
+    at, table = (_oklab_table(levels.astype(float)), _oklab_table(rgb.astype(float))) if metric == "oklab" else (levels, rgb)
+    out, least = np.zeros(len(levels), dtype=np.int32), np.full(len(levels), np.inf)
+    for i, entry in enumerate(table):
+        d0, d1, d2 = (at[:, k] - entry[k] for k in range(3))
+        if metric == "redmean":
+            s = levels[:, 0] + entry[0]
+            d = (1024 + s) * d0 * d0 + 2048 * d1 * d1 + (1534 - s) * d2 * d2
+        else:
+            d = d0 * d0 + d1 * d1 + d2 * d2
+        near = d < least
+        out[near], least[near] = i, d[near]
+    return out
+
+
+def _matcher(colors: list[str] | str, metric: str, r: int, g: int, b: int, a: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alpha = batch.column(a).fill_null(0).to_numpy(zero_copy_only=False)
+            shown = alpha > 0
+            levels = np.stack([np.clip(batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)[shown], 0, 255).astype(np.int64) for c in (r, g, b)], axis=1)
+            idx = np.zeros(len(batch), dtype=np.int32)
+            idx[shown] = nearest_levels(levels, colors, metric)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(idx, mask=~shown)], names=[*batch.schema.names, "idx"])
+
+    return run
+
+
+def _matched(pixels: DataFrame, colors: list[str] | str, metric: str) -> DataFrame:
+    at = [pixels.columns.index(c) for c in "rgba"]
+    return pixels.mapInArrow(_matcher(colors, metric, *at), StructType([*pixels.schema.fields, StructField("idx", IntegerType())]))
+
+
 def match(pixels: DataFrame, colors: list[str] | str, metric: str = "srgb", mode: str = "exact") -> DataFrame:
     """pixels with idx, null where transparent.
 
@@ -123,9 +162,9 @@ def match(pixels: DataFrame, colors: list[str] | str, metric: str = "srgb", mode
         cell = (F.shiftright(levels[0], 1) * 16384 + F.shiftright(levels[1], 1) * 128 + F.shiftright(levels[2], 1)).alias("_cell")
         shown = pixels.where("a > 0").select("*", cell)
         first = shown.groupBy("image_id", "_cell").agg(F.min_by(F.struct(*[v.alias(c) for v, c in zip(levels, "rgb", strict=True)]), F.struct("y", "x")).alias("f"))
-        first = first.select("image_id", "_cell", nearest(colors, metric, *[F.col(f"f.{c}") for c in "rgb"]).alias("idx"))
+        first = _matched(first.select("image_id", "_cell", "f.*", F.lit(255).alias("a")), colors, metric).select("image_id", "_cell", "idx")
         return pixels.withColumn("_cell", F.when(F.col("a") > 0, cell)).join(first, ["image_id", "_cell"], "left").drop("_cell")
-    return pixels.withColumn("idx", F.when(F.col("a") > 0, nearest(colors, metric)))
+    return _matched(pixels, colors, metric)
 
 
 def paint(mapped: DataFrame, colors: list[str] | str) -> DataFrame:
@@ -259,5 +298,5 @@ def sample(pixels: DataFrame, images: DataFrame, most: int = SAMPLES) -> DataFra
 
 
 def pick(pixels: DataFrame, image_id: int, y: int, x: int) -> DataFrame:
-    """The colour of one pixel; no row if it is transparent or outside."""
+    """The colour of one pixel; no row if it is transparent or outside. palettes.pick_into puts it in a palette."""
     return pixels.where((F.col("image_id") == image_id) & (F.col("y") == y) & (F.col("x") == x) & (F.col("a") > 0)).select(color.to_hex(*[F.col(c) for c in "rgb"]).alias("hex"))

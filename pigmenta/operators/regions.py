@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, tables
@@ -137,15 +137,18 @@ def absorb(label: np.ndarray, idx: np.ndarray, most: int, tolerance: float, dist
     return new, np.where((label >= 0) & (new != label), np.append(color_of, -1)[new], idx)
 
 
-def absorb_small(labels: DataFrame, colors: list[str] | str, most: int, tolerance: float) -> DataFrame:
-    """image_id, y, x, idx, label after absorption. It is sequential within an image, so an image is one group."""
+def absorb_small(labels: DataFrame, colors: list[str] | str, most: int | Column, tolerance: float) -> DataFrame:
+    """image_id, y, x, idx, label after absorption. It is sequential within an image, so an image is one group.
+
+    most: the largest area that is absorbed; a column if images differ in it.
+    """
     dist = distances(colors)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v, y, x = grid(pdf, ["idx", "label"], -1)
         v = v.astype(int)
         if (v[..., 1] >= 0).any():
-            label, idx = absorb(v[..., 1], v[..., 0], most, tolerance, dist)
+            label, idx = absorb(v[..., 1], v[..., 0], int(pdf["most"].iloc[0]), tolerance, dist)
         else:
             idx, label = v[..., 0], v[..., 1]
         idx, label = idx[y, x], label[y, x]
@@ -154,10 +157,11 @@ def absorb_small(labels: DataFrame, colors: list[str] | str, most: int, toleranc
             out[name] = pd.Series(k, index=pdf.index).astype("Int32").mask(k < 0)
         return out
 
-    return labels.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, idx int, label int")
+    rows = labels.select(*POS, "idx", "label", (most if isinstance(most, Column) else F.lit(most)).alias("most"))
+    return rows.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, idx int, label int")
 
 
-def outlines(labels: DataFrame, width: int = 1, least_area: int = 0) -> DataFrame:
+def outlines(labels: DataFrame, width: int = 1, least_area: int | Column = 0) -> DataFrame:
     """labels with edge: each border between regions marks its upper or left pixel, or the opaque one.
 
     A border counts if both regions have least_area or are transparent; marks then grow width - 1 times over opaque
@@ -166,9 +170,9 @@ def outlines(labels: DataFrame, width: int = 1, least_area: int = 0) -> DataFram
     row = Window.partitionBy("image_id", "y").orderBy("x")
     column = Window.partitionBy("image_id", "x").orderBy("y")
     rows = labels
-    if least_area:
-        areas = region_table(labels).select("image_id", "label", (F.col("area") >= least_area).alias("_big"))
-        rows = rows.join(areas, ["image_id", "label"], "left").withColumn("_big", F.coalesce("_big", F.lit(True)))
+    if isinstance(least_area, Column) or least_area:
+        areas = region_table(labels).select("image_id", "label", F.col("area").alias("_area"))
+        rows = rows.join(areas, ["image_id", "label"], "left").withColumn("_big", F.coalesce(F.col("_area") >= least_area, F.lit(True))).drop("_area")
     else:
         rows = rows.withColumn("_big", F.lit(True))
     one = F.struct(F.coalesce("label", F.lit(-1)).alias("l"), F.col("_big").alias("big"))

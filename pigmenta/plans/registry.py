@@ -7,6 +7,7 @@ orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ def raster_pixels(spark: SparkSession, sf_dir: str, flat: bool = False) -> DataF
     x, y = (k % 50).cast("int"), F.expr("cast((o_orderkey % 1500) div 50 as int)")
     r, g = color.clamp(x * 5 + c % 17 - 8, 0, 255), color.clamp(y * 8 + c % 13 - 6, 0, 255)
     b = F.expr("cast((o_orderkey % 50) div 10 as int)") * 50 if flat else c % 256
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 1500").alias("image_id"), y.alias("y"), x.alias("x"), *[v.cast("int").alias(n) for v, n in ((r, "r"), (g, "g"), (b, "b"))], F.when(c % 23 == 0, 0).otherwise(255).alias("a"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, F.expr("o_orderkey div 1500"))  # one small file: deal its images out
+    return orders.select(F.expr("o_orderkey div 1500").alias("image_id"), y.alias("y"), x.alias("x"), *[v.cast("int").alias(n) for v, n in ((r, "r"), (g, "g"), (b, "b"))], F.when(c % 23 == 0, 0).otherwise(255).alias("a"))
 
 
 def raster_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,12 +247,12 @@ def theory_palette(spark, sf_dir):
 
 
 def _built_in(spark: SparkSession) -> DataFrame:
-    rows = [(name, i, h) for name, colors in tables.PALETTES.items() for i, h in enumerate(colors.split())]
+    rows = [(name, i, h) for name, colors in tables.PALETTES.items() for i, h in enumerate(colors)]
     return spark.createDataFrame(rows, "palette_id string, idx int, hex string")
 
 
 def _built_in_sql() -> str:
-    rows = ", ".join(f"('{n}', {i}, '{h}')" for n, c in tables.PALETTES.items() for i, h in enumerate(c.split()))
+    rows = ", ".join(f"('{n}', {i}, '{h}')" for n, c in tables.PALETTES.items() for i, h in enumerate(c))
     part = lambda k: f"(instr('0123456789abcdef', hex[{k}]) - 1) * 16 + instr('0123456789abcdef', hex[{k + 1}]) - 1"
     return f"lib(palette_id, idx, hex) AS (VALUES {rows}), rgb AS (SELECT *, {part(2)} AS r, {part(4)} AS g, {part(6)} AS b FROM lib)"
 
@@ -321,10 +324,66 @@ def export_names(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", palettes.file_name(F.col("p_name"), F.col("p_brand"), "png").alias("file"))
 
 
-@_register()
+_DEFAULTS = ", ".join(f"('{k}', '{v}')" for k, v in pipeline.Options().settings().items())
+_PRESETS = ", ".join(f"('{i}', '{k}', '{v}')" for (i, _), s in tables.PRESETS.items() for k, v in s.items())
+
+
+@_register(f"WITH base(setting, value) AS (VALUES {_DEFAULTS}), own(id, setting, value) AS (VALUES {_PRESETS}) SELECT p.id, b.setting, coalesce(o.value, b.value) AS value FROM (SELECT DISTINCT id FROM own) p CROSS JOIN base b LEFT JOIN own o ON o.id = p.id AND o.setting = b.setting")
 def layered_presets(spark, sf_dir):
-    base = F.create_map(*[F.lit(v) for k in presets.SETTINGS for v in (k, "0")])
-    return tables.presets(spark).select("id", F.explode(presets.layered(base, F.col("settings"))).alias("setting", "value"))
+    rows = [presets.applied(tables.presets(spark), i, pipeline.Options().settings()).select(F.lit(i).alias("id"), F.explode("settings").alias("setting", "value")) for i, _ in tables.PRESETS]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@_register(_mapped(SWEETIE).replace("WITH ", "WITH RECURSIVE ", 1) + f", {_NEAR}, reach(i, j) AS (SELECT idx, idx FROM pal UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j WHERE n.d <= 0.15), becomes AS (SELECT i, min(j) AS j FROM reach GROUP BY i) SELECT image_id, j AS idx, count(*) AS n, sum(y * 50 + x)::BIGINT AS places FROM mapped JOIN becomes ON i = idx GROUP BY image_id, j")
+def merge_colors(spark, sf_dir):
+    return _usage(regions.merge_colors(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), SWEETIE), SWEETIE, 0.15))
+
+
+_SIZES = "w0 AS (SELECT p_partkey AS image_id, 100 + p_partkey % 4000 AS width, 1 + p_size * 60 AS height FROM part), f AS (SELECT image_id, greatest(1, floor(width / 2::DOUBLE + 0.5)) AS fw, greatest(1, floor(height / 2::DOUBLE + 0.5)) AS fh FROM w0), k AS (SELECT *, CASE WHEN greatest(fw, fh) > 1200 THEN 1200 / greatest(fw, fh) ELSE 1.0::DOUBLE END AS k FROM f), s AS (SELECT image_id, greatest(1, floor(fw * k + 0.5)) * greatest(1, floor(fh * k + 0.5)) / (fw * fh) AS scale FROM k)"
+
+
+@_register(f"WITH {_SIZES} SELECT image_id, round(scale, 9) AS scale, greatest(1, floor(24 * scale + 0.5))::INT AS area FROM s")
+def preview_areas(spark, sf_dir):
+    """Of images of all sizes, the share of the full work size in a preview, and an area of 24 pixels in it."""
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), (F.lit(100) + F.col("p_partkey") % 4000).alias("width"), (F.lit(1) + F.col("p_size") * 60).alias("height"))
+    scales = pipeline.area_scales(sizes, 2, pipeline.PREVIEW)
+    return scales.select("image_id", F.round("scale", 9).alias("scale"), pipeline.scaled_area(24, F.col("scale")).alias("area"))
+
+
+_BACKUP_SQL = """WITH old AS (SELECT s_suppkey AS ord, s_name AS name, s_nationkey::VARCHAR AS v FROM supplier WHERE s_suppkey % 2 = 0),
+  given AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 15 = 0 THEN '  ' ELSE upper(s_name) END AS name, (s_nationkey + 100)::VARCHAR AS v FROM supplier WHERE s_suppkey % 3 = 0),
+  new AS (SELECT * FROM given WHERE trim(name) <> '')
+  SELECT o.name, coalesce(n.v, o.v) AS speck, CASE WHEN n.v IS NULL THEN 'kept' ELSE 'updated' END AS status FROM old o LEFT JOIN new n ON lower(n.name) = lower(o.name)
+  UNION ALL SELECT name, v, 'added' FROM new WHERE lower(name) NOT IN (SELECT lower(name) FROM old)"""
+
+
+@_register(_BACKUP_SQL)
+def import_backup(spark, sf_dir):
+    """Presets saved under suppliers' names, after the import of a backup that has other values for some."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    old = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.create_map(F.lit("pm-speck"), F.col("s_nationkey").cast("string")).alias("settings"), F.lit(None).cast("struct<name:string,colors:array<string>>").alias("palette"), F.lit(False).alias("outline_touched"))
+    item = F.struct(F.when(F.col("s_suppkey") % 15 == 0, "  ").otherwise(F.upper("s_name")).alias("name"), F.struct((F.col("s_nationkey") + 100).alias("pm-speck"), F.lit("x").alias("unknown")).alias("settings"))
+    text = s.where("s_suppkey % 3 = 0").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("v")))).alias("all")).select(F.to_json(F.struct(F.transform("all", lambda x: x["v"]).alias("presets"))).alias("json"))
+    none = spark.createDataFrame([], "ord long, id string, name string, colors array<string>")
+    merged, _ = presets.import_backup(old, none, text)
+    return merged.select("name", F.element_at("settings", "pm-speck").alias("speck"), "status")
+
+
+@_register(f"WITH {_built_in_sql()} SELECT palette_id, string_agg(hex, ',' ORDER BY idx) AS colors FROM lib WHERE idx < 8 GROUP BY palette_id")
+def palette_strips(spark, sf_dir):
+    return palettes.strips(_built_in(spark)).select("palette_id", F.array_join("colors", ",").alias("colors"))
+
+
+@_register(f"WITH {_built_in_sql()}, {_px()}, one AS (SELECT '#' || lower(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0')) AS hex FROM px WHERE image_id = 0 AND y = 3 AND x = 4 AND a > 0), ends AS (SELECT palette_id, max(idx) AS last FROM lib GROUP BY palette_id) SELECT palette_id, idx, hex FROM lib UNION ALL SELECT e.palette_id, last + 1, o.hex FROM ends e CROSS JOIN one o WHERE NOT EXISTS (SELECT 1 FROM lib l WHERE l.palette_id = e.palette_id AND l.hex = o.hex)")
+def pick_into_palettes(spark, sf_dir):
+    return palettes.pick_into(_built_in(spark), raster.pick(raster_pixels(spark, sf_dir), 0, 3, 4))
+
+
+@_register(f"WITH {_built_in_sql()}, asked AS (SELECT 'CGA 16' AS palette_id, hex FROM lib WHERE palette_id <> 'CGA 16') SELECT palette_id, hex, count(*) AS n FROM asked a WHERE EXISTS (SELECT 1 FROM lib l WHERE l.palette_id = a.palette_id AND l.hex = a.hex) GROUP BY ALL")
+def palette_members(spark, sf_dir):
+    """Colours of other palettes that one palette has too."""
+    asked = _built_in(spark).where("palette_id <> 'CGA 16'").select(F.lit("CGA 16").alias("palette_id"), F.upper("hex").alias("hex"))
+    return palettes.in_palette(asked, _built_in(spark)).groupBy("palette_id", F.lower("hex").alias("hex")).agg(F.count("*").alias("n"))
 
 
 @_register()

@@ -1,4 +1,7 @@
-"""Palette files: text formats told apart by content, Adobe colour tables, backups."""
+"""Palette files: text formats told apart by content, Adobe colour tables, backups.
+
+The patterns of lines and headers are fixed by the file formats.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import color, tables
 
-#: Marks a backup file.
-BACKUP = "palette-mapper-data"
-
-
 def _triple(m: Column, groups: tuple[int, int, int], pattern: str) -> Column:
     return color.to_hex(*[F.regexp_extract(m, pattern, g).cast("int") for g in groups])
 
 
+# Three numbers that begin a line, and three that are all of it.
 _INTS = r"^\s*(\d{1,3})\s+(\d{1,3})\s+(\d{1,3})"
 _LINE = r"^\s*(\d{1,3})[\s,]+(\d{1,3})[\s,]+(\d{1,3})\s*$"
 
@@ -65,17 +65,35 @@ def parse_act(content: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), one))).otherwise(F.array().cast("array<string>"))
 
 
-def is_backup(text: Column) -> Column:
+def is_backup(text: Column, marker: str | None = None) -> Column:
+    """Whether a JSON text has a list of presets or of palettes, and the format that marker names, if one is given."""
     both = F.coalesce(F.get_json_object(text, "$.presets"), F.get_json_object(text, "$.palettes"))
-    return F.coalesce((F.get_json_object(text, "$.format") == BACKUP) & both.startswith("["), F.lit(False))
+    marked = F.get_json_object(text, "$.format") == marker if marker else F.get_json_object(text, "$.format").isNotNull()
+    return F.coalesce(marked & both.startswith("["), F.lit(False))
+
+
+def kind_of(path: Column, text: Column | None = None, marker: str | None = None) -> Column:
+    """How a file is read: image, act, backup or text. A text that was pasted has no path and is text."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    kind = F.when(low.rlike(r"\.(png|jpe?g|gif|bmp|webp)$"), "image").when(low.endswith(".act"), "act")
+    return (kind if text is None else kind.when(is_backup(text, marker), "backup")).otherwise("text")
 
 
-def read_palettes(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind (act, backup or text), name and colors of the palette files of a folder."""
+def pasted(texts: DataFrame) -> DataFrame:
+    """name and colors of the pasted texts(text) in which there are two colours at least."""
+    parsed = parse_text(F.col("text"), F.lit("Pasted"))
+    return texts.select(parsed.alias("p")).select("p.*").where(F.size("colors") >= 2)
+
+
+def read_palettes(spark: SparkSession, path: str, marker: str | None = None) -> DataFrame:
+    """path, kind (act, backup or text), name, colors and, of backups, the text of the palette files of a folder.
+
+    operators.presets.read_backup makes presets and palettes of a backup's text. Images are left out.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     act, text = F.lower("path").endswith(".act"), F.decode("content", "UTF-8")
     name = F.regexp_extract("path", "[^/]*$", 0)
     parsed = parse_text(text, name)
-    kind = F.when(act, "act").when(is_backup(text), "backup").otherwise("text")
-    out = files.select("path", kind.alias("kind"), F.when(act, F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(parsed["name"]).alias("name"), F.when(act, parse_act(F.col("content"))).otherwise(parsed["colors"]).alias("colors"))
+    kind = kind_of(F.col("path"), text, marker)
+    out = files.where(kind != "image").select("path", kind.alias("kind"), F.when(kind == "backup", text).alias("text"), F.when(act, F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(parsed["name"]).alias("name"), F.when(act, parse_act(F.col("content"))).otherwise(parsed["colors"]).alias("colors"))
     return out.withColumn("colors", F.when(F.col("kind") == "backup", F.array().cast("array<string>")).otherwise(F.col("colors")))

@@ -1,3 +1,5 @@
+import dataclasses
+import json
 import math
 import struct
 
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 from pigmenta.functions import color, tables
 from pigmenta.operators import extract, palettes, presets, raster, regions
 from pigmenta.plans import pipeline
-from pigmenta.sources import images, palettes as files
+from pigmenta.sources import images, store
+from pigmenta.sources import palettes as files
 
 PX = "image_id long, y int, x int, r int, g int, b int, a int"
 
@@ -160,7 +163,7 @@ def test_merging_keeps_the_first_colour():
 
 
 def test_sorting_is_a_permutation_and_separates_greys_from_vivid(spark):
-    colors = tables.PALETTES["Sweetie 16"].split()
+    colors = tables.PALETTES["Sweetie 16"]
     rows = spark.createDataFrame([("s", i, c) for i, c in enumerate(colors)], "palette_id string, idx int, hex string")
     got = [r.hex for r in palettes.sort_into_ramps(rows).orderBy("place").collect()]
     assert sorted(got) == sorted(colors)
@@ -241,3 +244,111 @@ def test_rendered_pixels_are_palette_colours_with_hard_alpha(spark):
 def test_bayer_and_spacing():
     assert tables.bayer(4)[:4] == [0, 8, 2, 10] and sorted(tables.bayer(8)) == list(range(64))
     assert raster.mean_spacing(["#000000", "#ffffff"]) == pytest.approx(math.sqrt(3) * 255)
+
+
+def test_a_backup_read_back_is_what_was_saved(spark):
+    colors = "ord int, id string, name string, settings map<string,string>, palette struct<name:string,colors:array<string>>, outline_touched boolean"
+    saved = spark.createDataFrame([(0, "s1", "One", {"pm-speck": "3"}, ("p", ["#010203"]), True), (1, "b-x", "Built in", {"pm-speck": "1"}, None, False)], colors)
+    library = spark.createDataFrame([(0, "p1", "Mine", ["#aabbcc", "#112233"])], "ord int, id string, name string, colors array<string>")
+    now = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    text = presets.backup(saved, library, "marked", now)
+    body = json.loads(text.first().json)
+    assert body["format"] == "marked" and body["exported"] == "2024-05-06T07:08:09.000Z" and [p["id"] for p in body["presets"]] == ["s1"]
+    assert text.select(files.is_backup(F.col("json"), "marked").alias("a"), files.is_backup(F.col("json"), "other").alias("b")).first() == (True, False)
+    one, two = presets.import_backup(saved.limit(0), library.limit(0), text, now)
+    assert [(r.name, r.settings, r.palette.asDict(), r.outline_touched, r.status) for r in one.collect()] == [("One", {"pm-speck": "3"}, {"name": "p", "colors": ["#010203"]}, True, "added")]
+    assert [(r.name, r.colors) for r in two.collect()] == [("Mine", ["#aabbcc", "#112233"])]
+    assert presets.backup(saved.where("false"), library.where("false"), "marked", now).count() == 0
+    assert spark.range(1).select(presets.backup_name("x", now)).first()[0] == "x-2024-05-06.json"
+
+
+def test_imported_rows_are_cleaned(spark):
+    items = [{"name": "  Good  ", "settings": {"pm-speck": 3, "pm-smooth": True, "pm-metric": "oklab", "pm-gamma": None, "pm-pixel": [1], "else": "1"}, "palette": {"name": "", "colors": ["0f0", "no", 7]}, "outlineColorTouched": 1}, {"name": 5, "settings": {"pm-speck": "1"}}, {"name": "none", "settings": {}}, "text", None, {"name": "Plain", "settings": {"pm-speck": "9"}, "palette": {"colors": []}}]
+    texts = spark.createDataFrame([(json.dumps(items),), ("no json",), ('{"other": 1}',), (None,)], "json string")
+    raw, more = presets.read_backup(texts)
+    assert raw.count() == 6 and more.count() == 0
+    got = {r.name: r for r in presets.clean_presets(raw).collect()}
+    assert got.keys() == {"Good", "Plain"}
+    assert got["Good"].settings == {"pm-speck": "3", "pm-smooth": "true", "pm-metric": "oklab"} and got["Good"].outline_touched and not got["Plain"].outline_touched
+    assert got["Good"].palette.asDict() == {"name": "Untitled", "colors": ["#00ff00"]} and got["Plain"].palette is None
+
+
+def test_saving_and_applying_presets(spark):
+    shape = "ord int, id string, name string, settings map<string,string>, palette struct<name:string,colors:array<string>>, outline_touched boolean"
+    rows = spark.createDataFrame([(0, "a", "One", {"pm-speck": "3"}, None, False)], shape)
+    change = spark.createDataFrame([("ONE", {"pm-speck": "4"}, None, True)], shape.removeprefix("ord int, id string, "))
+    after = presets.save(rows, change, presets.PRESET_VALUES)
+    assert [(r.id, r.name, r.settings) for r in after.collect()] == [("a", "One", {"pm-speck": "4"})]
+    more = presets.save(after, change.withColumn("name", F.lit("Two")), presets.PRESET_VALUES).orderBy("ord").collect()
+    assert [r.name for r in more] == ["Two", "One"] and more[0].id.startswith("s")
+    defaults = pipeline.Options().settings()
+    row = presets.applied(after, "a", defaults).first()
+    o = pipeline.Options.of(row.settings)
+    assert o.speck == 4 and o.dither == "none" and row.outline_touched and pipeline.Options.of(o.settings()) == o
+    assert set(defaults) == set(presets.SETTINGS)
+    told = lambda active, current: presets.note(after, active, current, defaults).first().note
+    assert told(None, defaults) == "Defaults" and told(None, o.settings()) == "Custom"
+    assert told("a", o.settings()) == "One" and told("a", defaults) == "One · modified"
+    assert presets.delete_by_id(after, "a").count() == 0
+
+
+def test_library_edits(spark):
+    shape = "ord int, id string, name string, colors array<string>"
+    library = spark.createDataFrame([(0, "p1", "Mine", ["#010101"]), (1, "p2", "Other", ["#020202"])], shape)
+    one = spark.createDataFrame([(" New name ", ["#030303"])], "name string, colors array<string>")
+    over = {r.id: (r.name, r.colors) for r in presets.save_palette(library, one, "p2").collect()}
+    assert over == {"p1": ("Mine", ["#010101"]), "p2": ("New name", ["#030303"])}
+    put = presets.save_palette(library, presets.duplicate(one), None).orderBy("ord").collect()
+    assert [r.name for r in put] == ["New name  copy", "Mine", "Other"] and put[0].ord == -1
+    rows = spark.createDataFrame([("p", 0, "#010101"), ("p", 1, "#020202"), ("p", 2, "#030303")], "palette_id string, idx int, hex string")
+    hexes = lambda df: [r.hex for r in df.orderBy("idx").collect()]
+    assert hexes(palettes.edit_color(rows, 1, "FFF")) == ["#010101", "#ffffff", "#030303"] and hexes(palettes.edit_color(rows, 1, "no")) == hexes(rows)
+    assert hexes(palettes.delete_color(rows, 0)) == ["#020202", "#030303"] and hexes(palettes.add_color(rows)) == [*hexes(rows), "#030303"]
+    assert palettes.clear_colors(rows, "p").count() == 0
+    full = spark.createDataFrame([("f", i, f"#0000{i:02x}") for i in range(256)], "palette_id string, idx int, hex string")
+    picked = spark.createDataFrame([("#020202",)], "hex string")
+    assert palettes.add_color(full).count() == 256 and palettes.pick_into(full, picked).count() == 256
+    assert palettes.pick_into(rows, picked).count() == 3 and palettes.pick_into(rows, spark.createDataFrame([("#0a0a0a",)], "hex string")).orderBy("idx").collect()[-1].idx == 3
+    assert palettes.in_palette(rows, rows.where("idx = 1")).count() == 1 and palettes.in_palette(rows, rows.where("idx = 1"), inside=False).count() == 2
+    assert {r.outline for r in palettes.set_palette(rows).collect()} == {"#010101"} and {r.outline for r in palettes.set_palette(rows, F.lit(True)).collect()} == {None}
+
+
+def test_kinds_of_input(spark):
+    rows = spark.createDataFrame([("a.PNG", ""), ("b.act", ""), ("c.json", '{"format": "m", "presets": []}'), (None, "#112233 #445566"), ("x.txt", "#112233")], "path string, text string")
+    assert [r.k for r in rows.select(files.kind_of(F.col("path"), F.col("text")).alias("k")).collect()] == ["image", "act", "backup", "text", "text"]
+    assert [r.colors for r in files.pasted(rows.where("text like '#%'")).collect()] == [["#112233", "#445566"]]
+
+
+def test_kept_tables_and_picture_files(spark, tmp_path):
+    rows = spark.createDataFrame([("p", ["#010101"])], "name string, colors array<string>")
+    assert store.kept(spark, str(tmp_path), store.CURRENT) is None
+    assert store.keep(rows, str(tmp_path), store.CURRENT) and store.kept(spark, str(tmp_path), store.CURRENT).collect() == rows.collect()
+    assert not store.keep(rows, "nothing://here", store.CURRENT)
+    image = [[(1, 2, 3, 255), (4, 5, 6, 0)]]
+    names = spark.createDataFrame([(0, "My Photo", "PICO-8")], "image_id long, source string, palette string")
+    store.write_pngs(pixels(spark, image), names, str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")] == ["my-photo_pico-8.png"]
+    assert images.to_pixels(images.read_images(spark, str(tmp_path / "out"))).where("a = 255").first().r == 1
+
+
+def test_previews_scale_areas_by_image(spark):
+    size = spark.createDataFrame([(0, 100, 100), (1, 4000, 4000)], "image_id long, width int, height int")
+    assert {r.image_id: round(r.scale, 2) for r in pipeline.area_scales(size, 1, 1200).collect()} == {0: 1.0, 1: 0.09}
+    image = [[(0, 0, 0, 255)] * 6 for _ in range(6)]
+    image[2][2] = image[2][3] = (255, 255, 255, 255)
+    both = pixels(spark, image).unionByName(pixels(spark, image).withColumn("image_id", F.lit(1).cast("long")))
+    sizes = spark.createDataFrame([(0, 6, 6), (1, 6, 6)], "image_id long, width int, height int")
+    o = pipeline.Options(metric="srgb", speck=2, tolerance=100.0, outline=True, outline_min=30)
+    full = pipeline.export(both, sizes, ["#000000", "#ffffff"], o)
+    small = pipeline.export(both, sizes, ["#000000", "#ffffff"], dataclasses.replace(o, export_full=False))
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, small.collect())) and full.where("r > 0").count() == 0
+    found = pipeline.extract_colors(both, sizes, 2)
+    assert sorted((r.palette_id, r.hex) for r in found.collect()) == [(k, h) for k in (0, 1) for h in ("#000000", "#ffffff")]
+    onto = spark.createDataFrame([(0, 0, "#00ff00")], "palette_id long, idx int, hex string")
+    assert [r.hex for r in pipeline.extract_colors(both, sizes, 2, onto=onto).where("palette_id = 0").orderBy("idx").collect()][0] == "#00ff00"
+
+
+def test_a_filter_does_not_search_twice(spark):
+    rows = raster.match(raster.opaque(pixels(spark, [[(1, 2, 3, 255)]])), "PICO-8").where("idx is not null").groupBy("idx").count()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "transform(" not in plan
