@@ -85,7 +85,8 @@ def test_a_filter_over_its_bound_keeps_all_counts(spark):
     pick = random.Random(4)
     rows = [(i, " ".join(f"w{pick.randrange(300)}" for _ in range(pick.randint(0, 200)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    whole = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs).collect()}
-    for bound in (1, 1000):
-        got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs, filter_bytes=bound).collect()}
+    score = lambda **options: {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score(docs, **options).collect()}
+    by_heavy = {heavy: score(heavy=heavy) for heavy in (20, 100_000)}
+    for bound, most, heavy in ((1, 1000, 100_000), (1000, 1000, 100_000), (1, 4, 100_000), (1000, 0, 20)):
+        got, whole = score(filter_bytes=bound, max_parts=most, heavy=heavy), by_heavy[heavy]
         assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i]) for i in whole)
