@@ -65,7 +65,7 @@ def _given(at: str) -> str:
 
 OP10 = f"""
 WITH counted AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size, md5('1:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size, md5('1:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS key FROM documents),
 sized AS (SELECT *, ('0x' || substr(key, 1, 12))::BIGINT % greatest(1, (count(*) OVER () + 499) // 500) AS shard FROM counted),
 weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight

@@ -87,13 +87,15 @@ def _by_document(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 # Operator 8
 
-#: at packs the range lo to hi of starts, below 0 for starts that are known to be repeats: fewer bytes to shuffle.
+#: at packs the range of starts, the first in the low half and how many follow in the high one; it is below 0 for starts
+#: that are known to be repeats. Mostly zeros, so few bytes to shuffle.
 ANCHORS = "k1 long, k2 long, k3 long, doc long, at long, wide boolean"
-_LO, _HI = "if(at < 0, -at - 1, at) div 2147483648", "if(at < 0, -at - 1, at) % 2147483648"
+_LO = "if(at < 0, -at - 1, at) & 4294967295"
+_HI = f"({_LO}) + shiftright(if(at < 0, -at - 1, at), 32)"
 
 
 def _pack(lo: np.ndarray, hi: np.ndarray, done: bool = False) -> np.ndarray:
-    at = lo * (1 << 31) + hi
+    at = lo + ((hi - lo) << 32)
     return -at - 1 if done else at
 
 
@@ -257,27 +259,27 @@ def _byte_texts(width: int):
     return run
 
 
-def repeated_starts(docs: DataFrame, width: int = 100, q: int = 32) -> DataFrame:
+def repeated_starts(docs: DataFrame, width: int = 100, q: int = 48) -> DataFrame:
     """doc, lo and hi: ranges of starts whose string of width bytes also starts earlier. q is from 8 to width / 2."""
     C.bounded(docs.sparkSession)
     texts = _texts(docs)
     anchors = texts.mapInArrow(_anchors(width, q), ANCHORS)
     bucket = Window.partitionBy("k1")
-    within = Window.partitionBy("k1", "k2", "k3").orderBy("doc", "at")
+    within = Window.partitionBy("k1", "k2", "k3").orderBy("doc", F.expr(_LO))
     refined = anchors.repartition(C.shuffle_partitions(docs.sparkSession), "k1").withColumn("later", (F.col("at") < 0) | (F.dense_rank().over(within) > 1)).withColumn("shared", F.col("wide") | (F.min("k2").over(bucket) != F.max("k2").over(bucket)))
     refined = C.staged(refined.where("later or shared").select("doc", F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"), "later"))
     finest = _by_document(texts, refined.where("not later")).where("los is not null").mapInArrow(_starts(width), "k1 long, k2 long, doc long, at long")
-    same = Window.partitionBy("k1", "k2").orderBy("doc", "at")
+    same = Window.partitionBy("k1", "k2").orderBy("doc", F.expr(_LO))
     single = finest.withColumn("later", (F.col("at") < 0) | (F.dense_rank().over(same) > 1)).where("later").select("doc", F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"))
     return refined.where("later").select("doc", "lo", "hi").unionByName(single)
 
 
-def repeated_bytes(docs: DataFrame, width: int = 100, q: int = 32) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = 100, q: int = 48) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     return _by_document(_texts(docs), repeated_starts(docs, width, q)).mapInArrow(_byte_digests(width), BYTES)
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 100, q: int = 32) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 100, q: int = 48) -> DataFrame:
     """doc_id and kept: the bytes that stay."""
     return _by_document(_texts(docs), repeated_starts(docs, width, q)).mapInArrow(_byte_texts(width), "doc_id long, kept binary")
 
@@ -363,6 +365,6 @@ def remove_repeated_sentences(docs: DataFrame, n: int = 2, min_words: int = 16)
     C.bounded(docs.sparkSession)
     texts = _texts(docs)
     runs = texts.mapInArrow(_runs(n, min_words), "k1 long, k2 long, doc long, at long")
-    within = Window.partitionBy("k1", "k2").orderBy("doc", "at")
+    within = Window.partitionBy("k1", "k2").orderBy("doc", F.expr(_LO))
     later = runs.withColumn("later", (F.col("at") < 0) | (F.dense_rank().over(within) > 1)).where("later").select("doc", F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"))
     return _by_document(texts, later).mapInArrow(_sentence_cuts, "doc_id long, n_sentences long, n_removed long, n_spans long, kept_text string")
