@@ -4,8 +4,9 @@ The automaton reads the normalised words of all items. Tasks stream the words of
 length of the longest match at each word; a match of window words or more, or of a whole shorter item, marks its words
 as hit. The items of a match are found at the automaton's state for the window.
 
-The automaton is broadcast, so its size is checked: benchmarks of over max_item_words words are cut into parts of at
-most that. A task reads its texts through one part after the other and joins the spans of each text; what to cut or
+The automaton is broadcast, so its size is checked: the items of a benchmark of over max_item_words words are dealt by
+hash to parts of about that. Tasks build the automata of the parts and stage them; the driver hands them on one at a
+time. A scanning task reads its texts through one part after the other and joins the spans of each text; what to cut or
 drop is decided once, from the spans of all parts on the text as given.
 
 Words: A-Z in lower case, then runs of digits, letters a-z and characters outside ASCII. Defined cases: a null or empty
@@ -202,25 +203,28 @@ def _scanner(shared: list):
     return run
 
 
-def _parts(items: DataFrame, max_item_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, in parts of at most max_item_words words each, or one item."""
-    part: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        words = words_of(row.text)
-        if part and size + len(words) > max_item_words:
-            yield part
-            part, size = [], 0
-        part.append((row.item_id if row.item_id is not None else "", words))
-        size += len(words)
-    yield part
+def _builder(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        part = sorted((name or "", words_of(text)) for name, text in zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+        return pa.table({"part": table["part"][:1], "automaton": pa.array([pickle.dumps(Automaton(part, window))], pa.binary())})
+
+    return run
+
+
+#: Words as words_of() has them, for counting.
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _shared(docs: DataFrame, items: DataFrame, window: int, max_item_words: int) -> list:
-    """The automata of the parts, broadcast."""
+    """The automata of the parts, broadcast. The driver has one at a time."""
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(pickle.dumps(Automaton(part, window))) for part in _parts(items, max_item_words)]
+    C.bounded(docs.sparkSession)
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    words = rows.agg(F.sum(F.regexp_count("text", F.lit(_WORDS)))).first()[0] or 0
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-words // max_item_words)))).cast("int")
+    built = C.staged(rows.withColumn("part", part).groupBy("part").applyInArrow(_builder(window), "part int, automaton binary"))
+    shared = [context.broadcast(bytes(row.automaton)) for row in built.orderBy("part").toLocalIterator()]
+    return shared or [context.broadcast(pickle.dumps(Automaton([], window)))]
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 100_000) -> DataFrame:

@@ -8,10 +8,11 @@ all of them once or more, and the rest of it picks blocks at even seeded steps.
 its words, by arithmetic on its place, so no block becomes a row.
 
 Sizes of shards follow the data, so a window never holds more than some shard_rows documents, whatever the sources.
+There is a row a source in the table of targets, which one task makes; it is staged, and Spark broadcasts it by its size.
 
 Defined cases: a null or empty text has size 0 and gives 0 words; a null source is a source, last in order; rows that
-repeat a doc_id are documents of their own; an empty table gives no rows; other columns are ignored by mix() and kept by
-take().
+repeat a doc_id are documents of their own, in one shard; those with a null doc_id are dealt by their text; an empty
+table gives no rows; other columns are ignored by mix() and kept by take().
 """
 
 from __future__ import annotations
@@ -83,27 +84,29 @@ def _given(at: str, block_words: int) -> str:
 
 def _placed(docs: DataFrame, sized: DataFrame, block_words: int, shard_rows: int, seed: int, weights: tuple[int, ...], share_pct: int, max_repeat: int) -> DataFrame:
     """sized(doc_id, source, size, key, ...) with target, taken and what take() needs to know of the cell."""
-    targets = source_targets(sized, weights, share_pct, max_repeat)
+    targets = C.staged(source_targets(sized, weights, share_pct, max_repeat))
     shards = max(1, -(-sized.count() // shard_rows))
     sized = sized.withColumn("shard", F.conv(F.substring("key", 1, 12), 16, 10).cast("long") % shards)
     cells = sized.groupBy("shard", "source").agg(F.sum("size").alias("words"))
-    cells = cells.join(F.broadcast(targets.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    cells = cells.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     cells = cells.withColumn("blocks", F.expr(f"(words + {block_words - 1}) div {block_words}")).withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0))
     quotas = shard_quotas(cells.select("shard", "source", "blocks", "share"), block_words)
     passes = F.expr("case when blocks > 0 then quota div blocks else 0 end")
     rest = F.expr("case when blocks > 0 then quota % blocks else 0 end")
     offset = F.conv(F.substring(_seed(F.concat_ws(":", F.col("shard"), F.coalesce("source", F.lit("-"))), seed), 1, 8), 16, 10).cast("long")
     quotas = quotas.select(F.col("shard").alias("_shard"), F.col("source").alias("_source"), F.greatest("blocks", F.lit(1)).alias("blocks"), passes.alias("passes"), rest.alias("rest"), (offset % F.greatest("blocks", F.lit(1))).alias("offset"))
-    stream = Window.partitionBy("shard", "source").orderBy("key", "doc_id", "size")
+    stream = Window.partitionBy("shard", "source").orderBy("key", "doc_id", "size", "tie")
     rows = sized.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
     rows = rows.join(quotas, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_shard", "_source")
     rows = rows.withColumn("taken", F.expr(f"passes * size + {_given('end', block_words)} - {_given('begin', block_words)}"))
-    return rows.join(F.broadcast(targets.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
-def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    return C.staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _seed(F.col("doc_id"), seed).alias("key"), *more))
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORDS)).cast("long")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.encode(text, "UTF-8"))))
+    return C.staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _seed(name, seed).alias("key"), F.xxhash64(text).alias("tie"), *more))
 
 
 def mix(docs: DataFrame, block_words: int = 16, shard_rows: int = 500, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_repeat: int = 2) -> DataFrame:
@@ -115,15 +118,12 @@ def mix(docs: DataFrame, block_words: int = 16, shard_rows: int = 500, seed: int
 def take(docs: DataFrame, block_words: int = 64, shard_rows: int = 500, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_repeat: int = 2) -> DataFrame:
     """The mixed documents, with the columns of docs: whole copies for full passes, and the words in picked blocks.
 
-    A partly picked document keeps its picked words, joined by single spaces; n_chars, if there, is set anew. Rows that
-    agree in doc_id, source and size are taken alike, each as much as the first of them.
+    A partly picked document keeps its picked words, joined by single spaces; n_chars, if there, is set anew.
     """
-    rows = _placed(docs, _sized(docs, seed), block_words, shard_rows, seed, weights, share_pct, max_repeat)
-    places = rows.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "begin", "blocks", "passes", "rest", "offset", "taken").dropDuplicates(["_id", "_of", "_size"])
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    both = docs.withColumn("_words", size).join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_of")) & (F.col("_words") == F.col("_size")))
+    sized = _sized(docs, seed, F.struct(*docs.columns).alias("given"))
+    rows = _placed(docs, sized, block_words, shard_rows, seed, weights, share_pct, max_repeat).where("taken > 0").withColumn("text", F.col("given.text").cast("string"))
     picked = F.expr(f"array_join(filter(regexp_extract_all(text, '{WORDS}', 0), (w, i) -> {_given('(begin + i + 1)', block_words)} - {_given('(begin + i)', block_words)} > 0), ' ')".replace("\\", "\\\\"))
-    copies = F.expr("case when passes > 0 then sequence(1, int(passes)) else array() end || case when taken > passes * _size then array(0) else array() end")
-    both = both.withColumn("_copy", F.explode(copies)).withColumn("_text", F.when(F.col("_copy") == 0, F.when(F.col("taken") - F.col("passes") * F.col("_size") == F.col("_size"), F.col("text")).otherwise(picked)).otherwise(F.col("text")))
-    out = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return both.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    copies = F.expr("case when passes > 0 then sequence(1, int(passes)) else array() end || case when taken > passes * size then array(0) else array() end")
+    rows = rows.withColumn("copy", F.explode(copies)).withColumn("words", F.when((F.col("copy") > 0) | (F.col("taken") - F.col("passes") * F.col("size") == F.col("size")), F.col("text")).otherwise(picked))
+    out = {"text": F.col("words")} | ({"n_chars": F.length("words").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return rows.select(*[out.get(c, F.col("given")[c]).alias(c) for c in docs.columns])
