@@ -6,6 +6,30 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+OP1 = f"""
+WITH texts AS (SELECT doc_id, source AS host, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+split AS (SELECT doc_id, host, unnest(string_split(s, chr(10))) AS line FROM texts),
+worded AS (SELECT doc_id, host, line, regexp_extract_all(line, '{_WORDS}') AS w FROM split),
+lines AS (
+  SELECT doc_id, host, line, len(w) AS words, regexp_replace(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS key
+  FROM worded WHERE len(w) > 0),
+doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+sets AS (SELECT doc_id, string_agg(DISTINCT key, chr(10) ORDER BY key) AS line_set FROM lines GROUP BY doc_id),
+held AS (SELECT host, key, count(DISTINCT line_set) AS documents FROM lines JOIN sets USING (doc_id) GROUP BY host, key HAVING count(DISTINCT line_set) > 20),
+hosts AS (SELECT host, count(*) AS host_documents FROM texts GROUP BY host),
+common AS (SELECT h.host, key FROM held h JOIN hosts o ON h.host IS NOT DISTINCT FROM o.host WHERE documents > 0.005 * host_documents),
+removed AS (SELECT doc_id, sum(words) AS removed_words FROM lines l JOIN common c ON l.key = c.key AND l.host IS NOT DISTINCT FROM c.host GROUP BY doc_id),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) > 2),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM starts),
+repeats AS (SELECT doc_id, count(DISTINCT word) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM windows WHERE times > 1) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(s, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM texts LEFT JOIN doubled USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * removed_words > 60 * n_words AS depleted FROM counted)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM judged
+"""
+
 OP3 = f"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
 sets AS (
@@ -58,6 +82,39 @@ FROM texts JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
 """
 
 
+_SPACE = r"[\x20\x09-\x0D]*"
+
+OP9 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '{_SPACE}{_WORDS}') AS k FROM documents),
+tokens AS (SELECT doc_id, unnest(range(1, len(k) + 1)) AS i, unnest(k) AS token FROM texts),
+parts AS (SELECT doc_id, i, token, regexp_extract(token, '^{_SPACE}') AS lead, regexp_extract(token, '{_WORDS}') AS word FROM tokens),
+ended AS (
+  SELECT *, (regexp_matches(word, '[.!?]$') OR coalesce(contains(lead(lead) OVER o, chr(10)), true))::INT AS final FROM parts WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, coalesce(sum(final) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS n FROM ended),
+sentences AS (
+  SELECT doc_id, n, count(*) AS words, min(i) AS first, arg_min(lead, i) AS lead, translate(string_agg(word, ' ' ORDER BY i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS said,
+    substr(string_agg(token, '' ORDER BY i), length(arg_min(lead, i)) + 1) AS body
+  FROM numbered GROUP BY doc_id, n),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM sentences),
+pairs AS (
+  SELECT a.doc_id, a.n AS a, b.n AS b FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n + 1 AND a.n + 15
+  WHERE b.upto - a.upto + a.words >= 16),
+runs AS (SELECT doc_id, a, min(b) AS b FROM pairs GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM pairs GROUP BY doc_id, b),
+keyed AS (SELECT r.doc_id, a, b, md5(string_agg(said, chr(10) ORDER BY n)) AS run FROM runs r JOIN sentences s ON s.doc_id = r.doc_id AND s.n BETWEEN a AND b GROUP BY r.doc_id, a, b),
+later AS (SELECT doc_id, a, b FROM keyed QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS n FROM later),
+marked AS (
+  SELECT s.*, g.n IS NOT NULL AS out, coalesce(lag(g.n IS NOT NULL) OVER o, false) AS before_out, coalesce(lead(s.lead) OVER o, regexp_extract(t.s, '{_SPACE}$')) AS after
+  FROM sentences s JOIN texts t USING (doc_id) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.n = s.n WINDOW o AS (PARTITION BY s.doc_id ORDER BY s.n)),
+made AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT before_out) AS n_spans,
+    arg_min(lead, n) || coalesce(string_agg(body || after, '' ORDER BY n) FILTER (NOT out), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, s)) AS kept_sha256
+FROM texts LEFT JOIN made USING (doc_id)
+"""
+
+
 def _given(at: str) -> str:
     j = f"({at} // 16)"
     return f"((({j} + shift) * rest // blocks - shift * rest // blocks) * 16 + (({j} + 1 + shift) * rest // blocks - ({j} + shift) * rest // blocks) * ({at} % 16))"
@@ -99,4 +156,4 @@ SELECT p.doc_id, p.size, t.source_size, t.target, (passes * size + {_given("upto
 FROM placed p JOIN shared q ON p.shard = q.shard AND p.source IS NOT DISTINCT FROM q.source JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op3_minhash": OP3, "op5_decontamination": OP5, "op8_suffixes": OP8, "op10_mixing": OP10}
+ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10}
