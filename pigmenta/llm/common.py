@@ -67,6 +67,17 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has such columns already, in any case."""
+    own = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

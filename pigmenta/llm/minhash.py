@@ -258,5 +258,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, pct: int = 80, bands: int | Non
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns: of each component, the one with the smallest doc_id."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_kept_id")).distinct()
-    return docs.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("_kept_id"), "left_semi")
+    (name,) = C.unused(docs, "kept")
+    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(name)).distinct()
+    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col(name), "left_semi")

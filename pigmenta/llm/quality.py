@@ -132,8 +132,9 @@ def line_quality(docs: DataFrame, host: str = "source", min_documents: int = 20,
 
 def reject(docs: DataFrame, **options) -> DataFrame:
     """The documents that line_quality keeps, with all their columns."""
-    verdict = line_quality(docs, **options).groupBy(F.col("doc_id").alias("_of_doc")).agg(F.bool_and("kept").alias("_kept"))
-    return docs.join(verdict.where("_kept"), F.col("doc_id").eqNullSafe(F.col("_of_doc")), "left_semi")
+    of, kept = C.unused(docs, "of", "kept")
+    verdict = line_quality(docs, **options).groupBy(F.col("doc_id").alias(of)).agg(F.bool_and("kept").alias(kept))
+    return docs.join(verdict.where(F.col(kept)), docs["doc_id"].cast("long").eqNullSafe(F.col(of)), "left_semi")
 
 
 def _cutter(column: int, chars: int | None):
@@ -175,8 +176,9 @@ def clean(docs: DataFrame, host: str = "source", min_documents: int = 20, share:
     """
     scan = _scanned(docs, host)
     removed = _boilerplate(scan, min_documents, share).groupBy("of_doc").agg(F.sum("words").alias("removed_words"), F.collect_set(F.struct("host", "line")).alias("cuts"))
-    verdict = _judged(scan, removed, max_removed_pct).groupBy(F.col("doc_id").alias("_of_doc")).agg(F.bool_and("kept").alias("_kept"), F.first("cuts", ignorenulls=True).alias("_cuts"))
-    rows = docs.join(verdict.where("_kept"), F.col("doc_id").eqNullSafe(F.col("_of_doc"))).drop("_of_doc", "_kept")
-    here = F.filter("_cuts", lambda x: x["host"].eqNullSafe(F.col(host).cast("string")))
-    rows = rows.withColumn("_cuts", F.transform(here, lambda x: x["line"]))
+    of, kept, cuts = C.unused(docs, "of", "kept", "cuts")
+    verdict = _judged(scan, removed, max_removed_pct).groupBy(F.col("doc_id").alias(of)).agg(F.bool_and("kept").alias(kept), F.first("cuts", ignorenulls=True).alias(cuts))
+    rows = docs.join(verdict.where(F.col(kept)), docs["doc_id"].cast("long").eqNullSafe(F.col(of))).drop(of, kept)
+    here = F.filter(cuts, lambda x: x["host"].eqNullSafe(F.col(host).cast("string")))
+    rows = rows.withColumn(cuts, F.transform(here, lambda x: x["line"]))
     return rows.mapInArrow(_cutter(docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None), docs.schema)
