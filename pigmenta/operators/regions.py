@@ -5,6 +5,8 @@ idx is null where a pixel is transparent. Regions are numbered per image in the
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,70 +97,63 @@ def region_table(labels: DataFrame) -> DataFrame:
     return labels.where("label is not null").groupBy("image_id", "label").agg(F.first("idx").alias("idx"), F.count("*").alias("area"))
 
 
-def absorb(label: np.ndarray, idx: np.ndarray, most: int, tolerance: float, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Small regions join the neighbour with the longest common border if its colour is near.
+def _absorptions(regions: pd.DataFrame, dist: np.ndarray, tolerance: float) -> dict[int, int]:
+    """Which regions of an image become part of which, from regions(label, idx, area, most, met).
 
-    Smallest first, areas live; a region that has grown is left alone; of equal borders, the one that first got there
-    in row order counts; a region's border is that of its own first pixels.
+    met: the neighbours that the pixels of a small region meet, in row order, one entry a contact. Small regions are
+    taken by size, areas grow as they are joined, and one that has grown beyond most stays.
     """
-    h, w = label.shape
-    n = int(label.max()) + 1
-    area = np.bincount(label[label >= 0], minlength=n)
-    color_of = np.zeros(n, dtype=int)
-    color_of[label[label >= 0]] = idx[label >= 0]
-    up = list(range(n))
-
-    def root(a: int) -> int:
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    flat = label.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    first = np.searchsorted(flat[order], np.arange(n + 1))
-    for one in sorted(np.flatnonzero(area <= most).tolist(), key=lambda k: area[k]):
-        if root(one) != one or area[one] > most:
+    color_of = dict(zip(regions["label"], regions["idx"], strict=True))
+    area = dict(zip(regions["label"], regions["area"], strict=True))
+    joined: dict[int, int] = {}
+
+    def now(label: int) -> int:
+        while label in joined:
+            label = joined[label]
+        return label
+
+    for r in regions[regions["area"] <= regions["most"]].sort_values(["area", "label"], kind="stable").itertuples():
+        if r.label in joined or area[r.label] > r.most or r.met is None:
+            continue
+        met = [x for x in map(now, r.met) if x != r.label]
+        if not met:
             continue
-        border: dict[int, int] = {}
-        best, longest = -1, 0
-        for p in order[first[one] : first[one + 1]].tolist():
-            y, x = divmod(p, w)
-            for q, ok in ((p - 1, x > 0), (p + 1, x < w - 1), (p - w, y > 0), (p + w, y < h - 1)):
-                if ok and flat[q] >= 0 and (to := root(int(flat[q]))) != one:
-                    border[to] = border.get(to, 0) + 1
-                    if border[to] > longest:
-                        best, longest = to, border[to]
-        if best >= 0 and dist[color_of[one], color_of[best]] <= tolerance:
-            up[one] = best
-            area[best] += area[one]
-    to = np.array([root(k) for k in range(n)] + [-1])
-    new = to[label]
-    return new, np.where((label >= 0) & (new != label), np.append(color_of, -1)[new], idx)
+        contacts = Counter(met)
+        longest = max(contacts.values())
+        # of equal borders the one that is complete first
+        last = {x: i for i, x in enumerate(met)}
+        best = min((x for x, n in contacts.items() if n == longest), key=last.__getitem__)
+        if dist[color_of[r.label], color_of[best]] <= tolerance:
+            joined[r.label] = best
+            area[best] += area[r.label]
+    return {label: now(label) for label in joined}
 
 
 def absorb_small(labels: DataFrame, colors: list[str] | str, most: int | Column, tolerance: float) -> DataFrame:
-    """image_id, y, x, idx, label after absorption. It is sequential within an image, so an image is one group.
+    """image_id, y, x, idx, label: small regions join the neighbour of the longest common border if its colour is near.
 
-    most: the largest area that is absorbed; a column if images differ in it.
+    most: the largest area that is absorbed; a column if images differ in it. Areas and the contacts of small regions
+    are gathered by Spark; only the order in which regions join is followed image by image, on a row a region.
     """
     dist = distances(colors)
+    rows = labels.select(*POS, "idx", "label", (most if isinstance(most, Column) else F.lit(most)).alias("most"))
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    sides = F.array(F.lag("label").over(row), F.lead("label").over(row), F.lag("label").over(column), F.lead("label").over(column))
+    met = F.filter("sides", lambda s: s.isNotNull() & (s != F.col("label")))
+    areas = rows.where("label is not null").groupBy("image_id", "label").agg(F.first("idx").alias("idx"), F.first("most").alias("most"), F.count("*").alias("area"))
+    border = rows.withColumn("sides", sides).where("label is not null").select("image_id", "label", "y", "x", met.alias("met")).where(F.size("met") > 0)
+    small = areas.where("area <= most").select("image_id", "label")
+    met = border.join(small, ["image_id", "label"], "left_semi").groupBy("image_id", "label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "met"))), lambda p: p["met"])).alias("met"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, y, x = grid(pdf, ["idx", "label"], -1)
-        v = v.astype(int)
-        if (v[..., 1] >= 0).any():
-            label, idx = absorb(v[..., 1], v[..., 0], int(pdf["most"].iloc[0]), tolerance, dist)
-        else:
-            idx, label = v[..., 0], v[..., 1]
-        idx, label = idx[y, x], label[y, x]
-        out = pdf[POS].copy()
-        for name, k in (("idx", idx), ("label", label)):
-            out[name] = pd.Series(k, index=pdf.index).astype("Int32").mask(k < 0)
-        return out
+        to = _absorptions(pdf, dist, tolerance)
+        color_of = dict(zip(pdf["label"], pdf["idx"], strict=True))
+        return pd.DataFrame({"image_id": pd.Series([pdf["image_id"].iloc[0]] * len(to), dtype="int64"), "label": pd.Series(list(to), dtype="int32"), "to": pd.Series(list(to.values()), dtype="int32"), "color": pd.Series([color_of[x] for x in to.values()], dtype="int32")})
 
-    rows = labels.select(*POS, "idx", "label", (most if isinstance(most, Column) else F.lit(most)).alias("most"))
-    return rows.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, idx int, label int")
+    changes = areas.join(met, ["image_id", "label"], "left").groupBy("image_id").applyInPandas(run, "image_id long, label int, to int, color int")
+    out = rows.join(changes, ["image_id", "label"], "left")
+    return out.select(*POS, F.coalesce("color", "idx").alias("idx"), F.coalesce("to", "label").alias("label"))
 
 
 def outlines(labels: DataFrame, width: int = 1, least_area: int | Column = 0) -> DataFrame:

@@ -257,7 +257,17 @@ def _built_in_sql() -> str:
     return f"lib(palette_id, idx, hex) AS (VALUES {rows}), rgb AS (SELECT *, {part(2)} AS r, {part(4)} AS g, {part(6)} AS b FROM lib)"
 
 
-@_register()
+@_register(f"""WITH {_built_in_sql()}, lch AS (SELECT palette_id, idx, hex, ll AS l, sqrt(la * la + lb * lb) AS c, degrees(atan2(lb, la)) AS t FROM {_lab('rgb')}),
+      hued AS (SELECT *, CASE WHEN t < 0 THEN t + 360 ELSE t END AS h FROM lch WHERE c >= {color.NEUTRAL_CHROMA}),
+      gaps AS (SELECT *, row_number() OVER w AS n, coalesce(lead(h) OVER w, min(h) OVER (PARTITION BY palette_id) + 360) - h AS gap FROM hued WINDOW w AS (PARTITION BY palette_id ORDER BY h, idx)),
+      cut AS (SELECT palette_id, arg_max(n, {{'g': gap, 'n': -n}}) AS cut FROM gaps GROUP BY palette_id),
+      turned AS (SELECT g.*, CASE WHEN n > cut THEN n ELSE n + 512 END AS turn FROM gaps g JOIN cut USING (palette_id)),
+      opened AS (SELECT *, CASE WHEN lag(gap) OVER (PARTITION BY palette_id ORDER BY turn) > {palettes.HUE_GAP} THEN 1 ELSE 0 END AS opens FROM turned),
+      families AS (SELECT *, sum(opens) OVER (PARTITION BY palette_id ORDER BY turn) AS family FROM opened),
+      means AS (SELECT palette_id, family, count(*) AS size, degrees(atan2(sum(sin(radians(h))), sum(cos(radians(h))))) AS m FROM families GROUP BY ALL),
+      steps AS (SELECT f.*, CASE WHEN m < 0 THEN m + 360 ELSE m END AS mean, CASE WHEN size >= 3 AND c - lag(c) OVER (PARTITION BY palette_id, family ORDER BY c, turn) > {palettes.CHROMA_GAP} THEN 1 ELSE 0 END AS step FROM families f JOIN means USING (palette_id, family)),
+      ramps AS (SELECT palette_id, idx, hex, 1 AS k, mean, sum(step) OVER (PARTITION BY palette_id, family ORDER BY c, turn) AS ramp, l FROM steps UNION ALL SELECT palette_id, idx, hex, 0, 0, 0, l FROM lch WHERE c < {color.NEUTRAL_CHROMA})
+      SELECT palette_id, idx, hex, row_number() OVER (PARTITION BY palette_id ORDER BY k, mean, ramp, l, idx) - 1 AS place FROM ramps""")
 def sort_ramps(spark, sf_dir):
     return palettes.sort_into_ramps(_built_in(spark))
 
