@@ -19,7 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 from operator import itemgetter
 from pathlib import Path
 
@@ -46,7 +46,7 @@ _PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The encoder of this worker, by the digest of its tokenizer: one at a time.
 _worker: dict[str, Encoder] = {}
 #: Bytes of pieces and ids that make a generation of an encoder's memory, some overhead of each piece included.
-GENERATION_BYTES, PIECE_BYTES = 24 << 20, 200
+GENERATION_BYTES, PIECE_BYTES = 64 << 20, 200
 FILE = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -133,18 +133,31 @@ class Encoder:
         whole = [not chunked or len(line) != 1 or _runs(x) or (odd and _WHOLE.search(x) is not None) for x in texts]
         # a space for all spaces, a line break kept at the head of its word; the first word has neither
         pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
-        new = [x for x in set(filterfalse(known.__contains__, chain.from_iterable(map(_TAIL, pieces)))) if self._get(x) is None]
+        flat = list(chain.from_iterable(map(_TAIL, pieces)))
+        ids = list(map(known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = [x for x in {flat[i] for i in missing} if self._get(x) is None]
         heads = [x for x in new if x[0] == "\n"]
         words = [x for x in new if x[0] != "\n"]
         self._learn(words, " ", b"", words)
         self._learn([x[1:] for x in heads], "", np.array(line, dtype="<u4").tobytes(), heads)
-        out = []
+        for i in missing:
+            ids[i] = known[flat[i]]
+        out, at = [], 0
         for x, w, p in zip(texts, whole, pieces, strict=True):
-            start = x if w else p[0]
-            first = np.array(self.tokenizer.encode(start, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            out.append(first if w else first + b"".join(map(known.__getitem__, _TAIL(p))))
+            if w:
+                out.append(self._plain(x))
+                continue
+            first = self._get("\1" + p[0])
+            if first is None:
+                first = self._put("\1" + p[0], self._plain(p[0]))
+            out.append(first + b"".join(ids[at : at + len(p) - 1]))
+            at += len(p) - 1
         return out
 
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
 def _encoder(shared, digest: str, end_id: int, chunked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
