@@ -44,7 +44,7 @@ _U = np.uint64
 END, START = _U(0x0123456789ABCDEF), _U(0x0F1E2D3C4B5A6978)
 _NO_ID = -(1 << 63)
 #: Tokens that a task gathers before it counts them.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 PROBES = 7
 LEVELS = 40
 #: Stands for the start of a text where a word's level is asked for.
@@ -293,7 +293,7 @@ def _score(shared, filters: dict[int, Parted], route: bool, buckets: int, folds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         words, pairs = filters[0], filters[1]
-        limit = 1 << 20 if max(len(f.shared) for f in filters.values()) <= 1 else C.BATCH_BYTES
+        limit = 1 << 20 if max(len(f.shared) for f in filters.values()) <= 1 else C.BATCH_BYTES // 2
         logs = np.log10(m.words.n + 1.0)
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy()
@@ -434,7 +434,7 @@ def _broadcast_parts(ordered: DataFrame, plans: dict[int, tuple[int, int, int]],
     return shared
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, weight: float = 0.4, heavy: int = 100_000, bits_per_key: int = 20, filter_bytes: int = 16 << 20, max_parts: int = 16) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, weight: float = 0.4, heavy: int = 100_000, bits_per_key: int = 16, filter_bytes: int = 8 << 20, max_parts: int = 32) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document.
 
     weight: of word pairs, picked on a slice of training texts.
