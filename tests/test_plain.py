@@ -170,3 +170,87 @@ def test_ramps_are_permutations_and_distinct_colours_keep_order(spark):
     rows = spark.createDataFrame([("p", i, h) for i, h in enumerate(tables.PALETTES["CGA 16"] * 2)], "palette_id string, idx int, hex string")
     assert [r.hex for r in palettes.distinct_colors(rows).orderBy("idx").collect()] == tables.PALETTES["CGA 16"]
     assert sorted(r.place for r in palettes.sort_into_ramps(rows).collect()) == list(range(32)) and rows.select(F.countDistinct("hex")).first()[0] == 16
+
+
+def chroma_hue(lab):
+    return math.hypot(lab[1], lab[2]), math.degrees(math.atan2(lab[2], lab[1])) % 360
+
+
+def hues_of(labs, want):
+    """The strongest hues by a smoothed wheel of 72 bins, and the chroma of ramps."""
+    wheel, n = [0.0] * 72, 0
+    for lab in labs:
+        c, h = chroma_hue(lab)
+        if c >= color.NEUTRAL_CHROMA:
+            wheel[int(h / 360 * 72) % 72] += c
+            n += 1
+    if not n:
+        return [], 0.11
+    peak = min(0.22, max(0.06, sum(wheel) / n * 1.9))
+    wheel = [wheel[i - 1] / 4 + wheel[i] / 2 + wheel[(i + 1) % 72] / 4 for i in range(72)]
+    out = []
+    while len(out) < want and max(wheel) > 0:
+        top = wheel.index(max(wheel))
+        near = [(top + d) % 72 for d in range(-2, 3)]
+        x, y = (sum(f(math.radians((k + 0.5) * 5)) * wheel[k] for k in near) for f in (math.cos, math.sin))
+        out.append(math.degrees(math.atan2(y, x)) % 360)
+        for k in range(72):
+            if min((k - top) % 72, (top - k) % 72) <= 4:
+                wheel[k] = 0.0
+    return out, peak
+
+
+def step_of(a, b):
+    d = math.fmod(b - a, 360)
+    return d - 360 if d > 180 else d + 360 if d < -180 else d
+
+
+def fitted(light, c, h):
+    """The colour at this lightness and hue with as much of the chroma as sRGB holds."""
+    raw = lambda c: [255 * (v * 12.92 if v <= 0.0031308 else 1.055 * max(v, 0) ** (1 / 2.4) - 0.055) for v in [sum(m * v for m, v in zip(row, [sum(m * v for m, v in zip(r, [light, math.cos(math.radians(h)) * c, math.sin(math.radians(h)) * c], strict=True)) ** 3 for r in color.LAB_TO_LMS], strict=True)) for row in color.LMS_TO_LINEAR]]
+    inside = lambda v: all(0.001 < x < 254.999 for x in v)
+    if not inside(raw(c)):
+        lo, hi = 0.0, c
+        for _ in range(16):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if inside(raw(mid)) else (lo, mid)
+        c = lo
+    return hex_of([min(255.0, max(0.0, v)) for v in raw(c)])
+
+
+def ramps(rgb, count, scheme, shift):
+    labs = [lab_of(p) for p in rgb]
+    lo, hi = min(v[0] for v in labs), max(v[0] for v in labs)
+    if hi - lo < 0.25:
+        lo, hi = max(0, lo - 0.15), min(1, hi + 0.15)
+    wanted = min(9, max(2, int(count / 6 + 0.5)))
+    angles = tables.HARMONIES[scheme]
+    found, peak = hues_of(labs, 1 if angles else max(1, wanted - 1))
+    if angles:
+        plan = [((found or [0])[0] + angles[i % len(angles)] + i // len(angles) * (0 if scheme == "monochrome" else 12)) % 360 for i in range(max(1, wanted - 1))]
+    else:
+        plan = found or [0.0]
+    plan = [h for i, h in enumerate(plan) if not any(abs(step_of(p, h)) < 5 for p in plan[:i])]
+    steps = max(3, count // (len(plan) + 1))
+    rest = count - steps * (len(plan) + 1)
+    out = []
+    for k, hue in enumerate([0.0, *plan]):
+        n = steps + (k < rest)
+        for i in range(n):
+            t = 0.5 if n == 1 else i / (n - 1)
+            floor = color.SHADOW_CHROMA + (color.HIGHLIGHT_CHROMA - color.SHADOW_CHROMA) * t
+            c = (0 if k == 0 else peak) * (floor + (1 - floor) * max(math.sin(t * math.pi), 0) ** color.SHOULDER)
+            drift = (t - 0.5) * 2
+            h = hue + step_of(hue, color.SHADOW_HUE if drift < 0 else color.HIGHLIGHT_HUE) * abs(drift) * color.MOST_DRIFT / 180 * (0 if k == 0 else shift)
+            out.append(fitted(lo + (hi - lo) * t, c, h))
+    return list(dict.fromkeys(out))[:count]
+
+
+@pytest.mark.parametrize(("scheme", "count", "shift"), [("auto", 30, 1.0), ("triadic", 24, 1.0), ("monochrome", 16, 0.5), ("analogous", 40, 0.0)])
+def test_ramps_by_theory(spark, scheme, count, shift):
+    rng = random.Random(count)
+    images = [[[(*(rng.choice([20, 90, 160, 230]) + rng.randint(-9, 9) for _ in range(3)), 255) for _ in range(9)] for _ in range(6)], [[(90, 90, 90, 255)] * 9] * 6]
+    size = spark.createDataFrame([(k, 9, 6) for k in range(2)], "image_id long, width int, height int")
+    rows = extract.theory_palette(raster.sample(frame(spark, images), size), count, scheme, shift).collect()
+    for k, image in enumerate(images):
+        assert [r.hex for r in sorted(rows, key=lambda r: r.idx) if r.palette_id == k] == ramps([p[:3] for row in image for p in row], count, scheme, shift)
