@@ -64,6 +64,38 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM texts t LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_64 = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """The finaliser of common.mix in whole numbers of 128 bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"(xor({x}, {x} // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT % {_64})"
+    return f"xor({x}, {x} // {1 << 31}::UHUGEINT)"
+
+
+OP6 = f"""
+WITH RECURSIVE entries AS (
+  SELECT k, list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS entry FROM range(256) t(k)),
+crc_table AS (SELECT list(entry ORDER BY k) AS crcs FROM entries),
+raw AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+sized AS (
+  SELECT doc_id, len(b)::BIGINT + 1 AS size, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM raw CROSS JOIN crc_table),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS n FROM sized),
+halves AS (SELECT count(*) AS total, 1::BIGINT << greatest(1, (length(bin(greatest(count(*), 2) - 1)) + 1) // 2) AS half FROM numbered),
+seeds AS (SELECT i, (i::UHUGEINT * 11400714819323198485::UHUGEINT + 1::UHUGEINT) % {_64} AS x FROM range(1, 5) t(i)),
+keys AS (SELECT i, {_mixed("x")} AS key FROM seeds),
+walk(n, step, l, r, place) AS (
+  SELECT n, 0::BIGINT, (n // half)::UHUGEINT, (n % half)::UHUGEINT, NULL::BIGINT FROM numbered CROSS JOIN halves
+  UNION ALL
+  SELECT n, step + 1, nl, nr, CASE WHEN (step + 1) % 4 = 0 THEN (nl * half::UHUGEINT + nr)::BIGINT END FROM (
+    SELECT n, step, half, r AS nl, xor(l, {_mixed("x")} % half::UHUGEINT) AS nr FROM (
+      SELECT n, step, half, l, r, (r + key) % {_64} AS x FROM walk CROSS JOIN halves JOIN keys ON i = step % 4 + 1 WHERE place IS NULL OR place >= total) y) z),
+placed AS (SELECT n, place FROM walk CROSS JOIN halves WHERE place < total)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % 16)::INT AS shard, (place // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM numbered JOIN placed USING (n)
+"""
+
 OP8 = """
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 starts AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM texts),
@@ -156,4 +188,4 @@ SELECT p.doc_id, p.size, t.source_size, t.target, (passes * size + {_given("upto
 FROM placed p JOIN shared q ON p.shard = q.shard AND p.source IS NOT DISTINCT FROM q.source JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10}
+ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10}
