@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, tables
-from .raster import POS, _oklab_table, grid
+from .raster import POS, _oklab_table
 
 MOST_DISTANCE = 0.4
 
@@ -61,35 +61,42 @@ def merge_colors(mapped: DataFrame, colors: list[str] | str, threshold: float) -
     return mapped.withColumn("idx", F.when(F.col("idx").isNotNull(), F.get(F.array(*[F.lit(v) for v in to]), F.coalesce("idx", F.lit(0)))))
 
 
-def _labels(idx: np.ndarray) -> np.ndarray:
-    """4-connected regions of equal number, -1 where it is negative, by repeated minima along runs."""
-    h, w = idx.shape
-    label = np.where(idx >= 0, np.arange(h * w).reshape(h, w), -1)
-    while True:
-        old = label
-        for turn in (lambda a: a, lambda a: a.T):
-            a, v = turn(label), turn(idx)
-            cut = np.ones(a.shape, dtype=bool)
-            cut[:, 1:] = v[:, 1:] != v[:, :-1]
-            run = np.cumsum(cut.reshape(-1)) - 1
-            least = np.full(run[-1] + 1, h * w)
-            np.minimum.at(least, run, a.reshape(-1))
-            label = turn(least[run].reshape(a.shape))
-        if (old == label).all():
-            break
-    names = np.unique(label[label >= 0])
-    return np.where(label >= 0, np.searchsorted(names, label), -1)
+def _roots(edges: pd.DataFrame) -> pd.DataFrame:
+    """The first run of what each run is connected to, from pairs of touching runs of an image."""
+    up: dict[int, int] = {}
 
+    def root(a: int) -> int:
+        while up.setdefault(a, a) != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
 
-def label_regions(mapped: DataFrame) -> DataFrame:
-    """image_id, y, x, idx, label; label is null where transparent. An image is one group."""
+    for a, b in zip(edges["run"].tolist(), edges["above"].tolist(), strict=True):
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    runs = list(up)
+    return pd.DataFrame({"image_id": pd.Series([edges["image_id"].iloc[0]] * len(runs), dtype="int64"), "run": runs, "root": [root(a) for a in runs]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, y, x = grid(pdf, ["idx"], -1)
-        label = _labels(v[..., 0].astype(int))[y, x]
-        return pdf[[*POS, "idx"]].assign(idx=pdf["idx"].astype("Int32"), label=pd.Series(label, index=pdf.index).astype("Int32").mask(label < 0))
 
-    return mapped.select(*POS, "idx").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, idx int, label int")
+def label_regions(mapped: DataFrame) -> DataFrame:
+    """image_id, y, x, idx, label: 4-connected regions in the order of their first pixels; null where transparent.
+
+    Rows are cut into runs of one colour by windows; only pairs of runs that touch are gathered image by image, and
+    joined there. A run is named by the place of its first pixel, a region by its first run.
+    """
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    starts = F.col("idx").isNotNull() & ~F.col("idx").eqNullSafe(F.lag("idx").over(row))
+    rows = mapped.select(*POS, "idx").withColumn("_start", starts)
+    head = F.last(F.when(F.col("_start"), F.col("x")), ignorenulls=True).over(row)
+    rows = rows.withColumn("run", F.when(F.col("idx").isNotNull(), F.shiftleft(F.col("y").cast("long"), 32) + head)).drop("_start")
+    above = F.lag(F.struct("idx", "run")).over(column)
+    touch = rows.withColumn("_above", above).where(F.col("_above.idx") == F.col("idx")).select("image_id", "run", F.col("_above.run").alias("above")).distinct()
+    roots = touch.groupBy("image_id").applyInPandas(_roots, "image_id long, run long, root long")
+    first = rows.where((F.col("run") == F.shiftleft(F.col("y").cast("long"), 32) + F.col("x"))).select("image_id", "run")
+    named = first.join(roots, ["image_id", "run"], "left").withColumn("root", F.coalesce("root", "run"))
+    named = named.select("image_id", "run", (F.dense_rank().over(Window.partitionBy("image_id").orderBy("root")) - 1).alias("label"))
+    return rows.join(named, ["image_id", "run"], "left").select(*POS, "idx", "label")
 
 
 def region_table(labels: DataFrame) -> DataFrame:
