@@ -237,7 +237,7 @@ def _links(texts: DataFrame, classes: DataFrame, n: int, pct: int, block_rows: i
     return links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, pct: int = 80, bands: int | None = None, rows: int = ROWS, block_rows: int = 500) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, pct: int = 80, bands: int | None = None, rows: int = ROWS, block_rows: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document: n words a shingle, links from pct percent on.
 
     bands: as many as bands_for() says, unless given.
