@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Parts that what hooks to one node is dealt to.
+SALTS = 8
+
 
 def components(links: DataFrame) -> DataFrame:
     """id and component of every id in links(a, b); a component is named by its smallest id.
@@ -14,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, follows the hooks twice, and contracts the links; the links
     shrink until none is left, in about as many rounds as the logarithm of the longest path. Rounds are staged tables,
     each deleted when the next is there. Minima are taken before shuffles; in the joins a node with very many links has
-    its rows on one side and one row on the other, which adaptive execution splits (spark.sql.adaptive.skewJoin).
+    its rows on one side and one row on the other. Those that follow hooks are salted; beyond that, adaptive execution
+    splits them (spark.sql.adaptive.skewJoin).
     """
     edges = C.staged(links.select("a", "b").where("a <> b").distinct())
     known = None
@@ -22,8 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("to"))
         for _ in range(2):
-            up = hook.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            hook = hook.join(up, "to").select("id", F.col("top").alias("to"))
+            up = hook.select(F.col("id").alias("to"), F.col("to").alias("top"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            hook = hook.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(up, ["to", "salt"]).select("id", F.col("top").alias("to"))
         hook = C.staged(hook)
         if known is None:
             known = hook.select("id", F.col("to").alias("component"))
