@@ -91,10 +91,12 @@ class Encoder:
     def _learn(self, new: list[str], before: str, prefix: bytes, names: list[str]) -> None:
         """Encodes new pieces: plain words by the model at once, others in one text, a line each.
 
-        The id of a line break stands only between the lines of that text.
+        The id of a line break stands only between the lines of that text. The ids of a word are shared by all pieces
+        that have it: after a space under the word itself, which is such a piece, else under a name of its own.
         """
-        tokenizer, get, put = self.tokenizer, self._get, self._put
+        tokenizer, known, get, put = self.tokenizer, self.known, self._get, self._put
         tokenize, other, head = tokenizer.model.tokenize, [], before.translate(BYTE_CHARS)
+        own = "" if before == " " else "\0"
         for x, name in zip(new, names, strict=True):
             if x.isascii() and x.isalpha():
                 word, end = x, ""
@@ -103,15 +105,16 @@ class Encoder:
             else:
                 other.append((x, name))
                 continue
-            key = "\0" + before + word if end or prefix else None  # shared by all pieces with this word
-            ids = get(key) if key else None
+            key = own + word
+            ids = known.get(key) if word is x and not own else get(key)
             if ids is None:
-                ids = _bytes([t.id for t in tokenize(head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))])
-                if key:
-                    put(key, ids)
-            if end and (tail := get("\0" + end)) is None:
-                tail = put("\0" + end, _bytes(tokenizer.encode(end, add_special_tokens=False).ids))
-            put(name, prefix + ids + tail if end else prefix + ids)
+                ids = put(key, _bytes([t.id for t in tokenize(head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))]))
+            if end:
+                if (tail := get("\0" + end)) is None:
+                    tail = put("\0" + end, _bytes(tokenizer.encode(end, add_special_tokens=False).ids))
+                put(name, prefix + ids + tail)
+            elif own:
+                put(name, prefix + ids)
         for k in range(0, len(other), 200):
             part = other[k : k + 200]
             ids = np.array(tokenizer.encode_batch_fast(["\n".join([before + x for x, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -134,15 +137,17 @@ class Encoder:
         # a space for all spaces, a line break kept at the head of its word; the first word has neither
         pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
         flat = list(chain.from_iterable(map(_TAIL, pieces)))
-        ids = list(map(known.get, flat))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        new = [x for x in {flat[i] for i in missing} if self._get(x) is None]
+        older, new = self.older, []
+        for x in set(flat).difference(known):
+            if (ids := older.get(x)) is not None:
+                self._put(x, ids)
+            else:
+                new.append(x)
         heads = [x for x in new if x[0] == "\n"]
         words = [x for x in new if x[0] != "\n"]
         self._learn(words, " ", b"", words)
         self._learn([x[1:] for x in heads], "", np.array(line, dtype="<u4").tobytes(), heads)
-        for i in missing:
-            ids[i] = known[flat[i]]
+        ids = list(map(known.__getitem__, flat))
         out, at = [], 0
         for x, w, p in zip(texts, whole, pieces, strict=True):
             if w:
