@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import BASE, NOTICES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -188,4 +190,42 @@ SELECT p.doc_id, p.size, t.source_size, t.target, (passes * size + {_given("upto
 FROM placed p JOIN shared q ON p.shard = q.shard AND p.source IS NOT DISTINCT FROM q.source JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10}
+
+def _values(rows: list[tuple]) -> str:
+    said = lambda x: "[" + ", ".join(map(said, x)) + "]" if isinstance(x, list) else "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(said, row)) + ")" for row in rows)
+
+
+OP13 = f"""
+WITH notices AS (SELECT *, len(string_split(said, ' ')) AS words FROM (VALUES {_values([(k, *notice) for k, notice in enumerate(NOTICES)])}) t(k, label, said, phrases)),
+posts AS (SELECT k, unnest(string_split(said, ' ')) AS word, unnest(range(words)) AS q FROM notices),
+texts AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts),
+own AS (SELECT * FROM places WHERE word IN (SELECT word FROM posts)),
+counts AS (SELECT word, count(DISTINCT doc_id) AS n FROM own GROUP BY word),
+ranked AS (SELECT k, p.word, row_number() OVER (PARTITION BY k ORDER BY coalesce(n, 0), p.word) AS r FROM (SELECT DISTINCT k, word FROM posts) p LEFT JOIN counts USING (word)),
+rare AS (SELECT k, word FROM ranked WHERE r <= 6),
+needs AS (SELECT k, (count(*) + 1) // 2 AS need FROM rare GROUP BY k),
+asked AS (SELECT doc_id, k, need FROM (SELECT DISTINCT doc_id, word FROM own) JOIN rare USING (word) JOIN needs USING (k) GROUP BY doc_id, k, need HAVING count(*) >= need),
+begins AS (SELECT DISTINCT doc_id, k, need, i - q AS b FROM asked JOIN rare USING (k) JOIN own USING (doc_id, word) JOIN posts USING (k, word)),
+stand AS (
+  SELECT DISTINCT s.doc_id, s.k, need, b, p.q, p.word, r.word IS NOT NULL AS votes
+  FROM begins s JOIN posts p USING (k) JOIN own o ON o.doc_id = s.doc_id AND o.word = p.word AND o.i BETWEEN b + q - 2 AND b + q + 2 LEFT JOIN rare r ON r.k = s.k AND r.word = p.word),
+shares AS (SELECT doc_id, k, b, count(*) AS standing FROM stand GROUP BY doc_id, k, b, need HAVING count(DISTINCT word) FILTER (votes) >= need),
+windows AS (
+  SELECT doc_id, label, phrases, standing / words AS share, ' ' || array_to_string(w[greatest(b - 2, 0) + 1 : b + words + 2], ' ') || ' ' AS near
+  FROM shares JOIN notices USING (k) JOIN texts USING (doc_id)),
+found AS (SELECT doc_id, label, share FROM windows WHERE len(list_filter(phrases, lambda f: NOT contains(near, ' ' || f || ' '))) = 0),
+base AS (
+  SELECT doc_id, b[1] AS label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)
+  CROSS JOIN (SELECT unnest([{", ".join(f"['{label}', '{phrase}']" for phrase, label in BASE)}]) AS b)
+  WHERE array_to_string(w[i : i + len(string_split(b[2], ' ')) - 1], ' ') = b[2]),
+based AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM found) GROUP BY doc_id),
+scored AS (SELECT doc_id, max(share) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(coalesce(score, 0.0::DOUBLE), CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS score
+FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN scored USING (doc_id)
+"""
+
+ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10, "op13_licenses": OP13}
