@@ -228,4 +228,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN scored USING (doc_id)
 """
 
-ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10, "op13_licenses": OP13}
+OP12 = f"""
+WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+spoken AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS p, k FROM starts CROSS JOIN range(1, 4) r(k) WHERE i + k - 1 <= len(w)),
+totals AS MATERIALIZED (SELECT lang, count(*) AS n FROM spoken WHERE k = 1 GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, p, any_value(k) AS words, count(*) AS f FROM spoken GROUP BY lang, p HAVING count(*) >= 10),
+candidates AS MATERIALIZED (SELECT lang, p, string_split(p, ' ') AS w, f AS a FROM counts WHERE words > 1),
+parted AS MATERIALIZED (
+  SELECT lang, p, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : len(w)], ' ') AS rest FROM candidates CROSS JOIN range(1, 3) s(k) WHERE k < len(w)),
+cuts AS (
+  SELECT c.lang, c.p, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM parted c JOIN counts l ON l.lang = c.lang AND l.p = first JOIN counts r ON r.lang = c.lang AND r.p = rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+held AS (SELECT lang, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS p, a FROM candidates WHERE len(w) = 3),
+most AS (SELECT lang, p, max(a) AS longer FROM held GROUP BY lang, p),
+kept AS (SELECT t.lang, t.p AS phrase, a, l, r, score FROM lowest t LEFT JOIN most m ON m.lang = t.lang AND m.p = t.p WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10, "op12_phrases": OP12, "op13_licenses": OP13}
