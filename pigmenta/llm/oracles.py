@@ -228,6 +228,58 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM texts LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN scored USING (doc_id)
 """
 
+_CRC_TABLE = """entries AS (
+  SELECT k, list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS entry FROM range(256) t(k)),
+crc_table AS (SELECT list(entry ORDER BY k) AS crcs FROM entries)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL: the crc32 of a text's bytes, given crcs of _CRC_TABLE."""
+    b = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {b}), lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1])), 4294967295)"
+
+
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations CROSS JOIN crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed),
+turns AS MATERIALIZED (
+  SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '{_WORDS}') THEN 'b' WHEN seen THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault
+  FROM again),
+ways(s, t, audit, cost, needs, inserted, reroled) AS (VALUES
+  (0, 0, 'D', 4, NULL, NULL, NULL), (1, 1, 'D', 4, NULL, NULL, NULL), (2, 2, 'D', 4, NULL, NULL, NULL), (3, 3, 'D', 4, NULL, NULL, NULL), (0, 1, 'K', 0, 's', NULL, NULL),
+  (0, 2, 'K', 0, 'u', NULL, NULL), (1, 2, 'K', 0, 'u', NULL, NULL), (3, 2, 'K', 0, 'u', NULL, NULL), (2, 2, 'IK', 3, 'u', 'assistant:', NULL),
+  (2, 3, 'K', 0, 'a', NULL, NULL), (0, 3, 'IK', 3, 'a', 'user:', NULL), (1, 3, 'IK', 3, 'a', 'user:', NULL), (3, 3, 'IK', 3, 'a', 'user:', NULL),
+  (0, 2, 'R', 3, NULL, NULL, 'user'), (1, 2, 'R', 3, NULL, NULL, 'user'), (3, 2, 'R', 3, NULL, NULL, 'user'), (2, 2, 'IR', 6, NULL, 'assistant:', 'user'),
+  (2, 3, 'R', 3, NULL, NULL, 'assistant'), (0, 3, 'IR', 6, NULL, 'user:', 'assistant'), (1, 3, 'IR', 6, NULL, 'user:', 'assistant'), (3, 3, 'IR', 6, NULL, 'user:', 'assistant')),
+steps(conv_id, i, state, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, struct_pack(cost := 0::BIGINT, audit := '', said := '') FROM conversations
+  UNION ALL
+  SELECT p.conv_id, f.i, w.t, min(struct_pack(
+    cost := p.best.cost + w.cost + CASE WHEN w.audit <> 'D' AND fault = 't' THEN 3 ELSE 0 END, audit := p.best.audit || w.audit,
+    said := p.best.said || coalesce(chr(10) || inserted, '') || CASE WHEN w.audit = 'D' THEN '' ELSE chr(10) || coalesce(reroled, role) || ':' || text END))
+  FROM steps p JOIN turns f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1 JOIN ways w ON w.s = p.state AND (w.audit = 'D' OR fault NOT IN ('b', 'd')) AND (needs IS NULL OR needs = c)
+  GROUP BY p.conv_id, f.i, w.t),
+counted AS (
+  SELECT k.conv_id, count(i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN turns ON k.conv_id IS NOT DISTINCT FROM turns.conv_id GROUP BY k.conv_id),
+ended AS (
+  SELECT s.conv_id, min(struct_pack(cost := best.cost + [0, 6, 3, 0][state + 1], audit := best.audit || ['', 'II', 'I', ''][state + 1],
+    said := best.said || ['', chr(10) || 'user:' || chr(10) || 'assistant:', chr(10) || 'assistant:', ''][state + 1])) AS best
+  FROM steps s JOIN counted n ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND i = rows GROUP BY s.conv_id)
+SELECT n.conv_id, gaps, blank, duplicate, truncated, illegal, best.cost::BIGINT AS cost, best.audit AS audit, sha256(substr(best.said, 2)) AS repaired_sha256
+FROM counted n JOIN ended e ON n.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 OP12 = f"""
 WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
@@ -249,4 +301,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
-ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10, "op12_phrases": OP12, "op13_licenses": OP13}
+ORACLES = {"op1_quality": OP1, "op3_minhash": OP3, "op5_decontamination": OP5, "op6_shards": OP6, "op8_suffixes": OP8, "op9_sentences": OP9, "op10_mixing": OP10, "op11_conversations": OP11, "op12_phrases": OP12, "op13_licenses": OP13}

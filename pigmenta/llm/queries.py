@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import common as C
-from . import decontaminate, licenses, lm, minhash, mixing, phrases, pii, quality, repeats, shards, tokens
+from . import conversations, decontaminate, licenses, lm, minhash, mixing, phrases, pii, quality, repeats, shards, tokens
 from .oracles import ORACLES as ORACLES
 
 
@@ -71,6 +71,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_sentences": op9_sentences,
     "op10_mixing": op10_mixing,
+    "op11_conversations": op11_conversations,
     "op12_phrases": op12_phrases,
     "op13_licenses": op13_licenses,
 }
