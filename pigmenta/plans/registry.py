@@ -196,7 +196,26 @@ def outline_pixels(spark, sf_dir):
     return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.sum((F.col("y") * 50 + F.col("x")).cast("long")).alias("places"))
 
 
-@_register()
+@_register(_labels_sql() + f""", {_NEAR}, near_rows AS (SELECT i, list(d <= 0.2 ORDER BY j) AS ok FROM near GROUP BY i), close AS (SELECT list(ok ORDER BY i) AS ok FROM near_rows),
+      areas AS (SELECT image_id, label, min(idx) AS idx, count(*) AS area FROM labels WHERE label IS NOT NULL GROUP BY image_id, label),
+      sides AS (SELECT a.image_id, a.label, b.label AS other, (a.y * 50 + a.x) * 4 + CASE WHEN b.x < a.x THEN 0 WHEN b.x > a.x THEN 1 WHEN b.y < a.y THEN 2 ELSE 3 END AS place
+        FROM labels a JOIN labels b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)) WHERE a.label <> b.label),
+      contacts AS (SELECT image_id, label, other, count(*) AS n, max(place) AS last FROM sides GROUP BY image_id, label, other),
+      met AS (SELECT image_id, label, list({{'other': other, 'n': n, 'last': last}}) AS met FROM contacts GROUP BY image_id, label),
+      turns AS MATERIALIZED (SELECT a.image_id, a.label, coalesce(met, []) AS met, row_number() OVER (PARTITION BY a.image_id ORDER BY area, a.label) AS k FROM areas a LEFT JOIN met USING (image_id, label) WHERE area <= 8),
+      at_turn(image_id, k, root, area, idx) AS (
+        SELECT image_id, 0::BIGINT, list(label::BIGINT ORDER BY label), list(area::BIGINT ORDER BY label), list(idx ORDER BY label) FROM areas GROUP BY image_id
+        UNION ALL
+        SELECT image_id, k, CASE WHEN joins THEN list_transform(root, lambda x: CASE WHEN x = label THEN best ELSE x END) ELSE root END,
+          CASE WHEN joins THEN list_transform(area, lambda v, i: CASE WHEN i = best + 1 THEN v + area[label + 1] ELSE v END) ELSE area END, idx
+        FROM (
+          SELECT *, coalesce(area[label + 1] <= 8 AND ok[idx[label + 1] + 1][idx[best + 1] + 1], false) AS joins FROM (
+            SELECT image_id, k, root, area, idx, label, ok, list_sort(list_transform(ends, lambda e: {{'n': -list_sum(list_transform(list_filter(met, lambda m: root[m.other + 1] = e), lambda m: m.n)), 'last': list_max(list_transform(list_filter(met, lambda m: root[m.other + 1] = e), lambda m: m.last)), 'e': e}}))[1].e AS best FROM (
+              SELECT s.image_id, t.k, root, area, idx, t.label, met, ok, list_filter(list_distinct(list_transform(met, lambda m: root[m.other + 1])), lambda e: e <> t.label) AS ends
+              FROM at_turn s JOIN turns t ON t.image_id = s.image_id AND t.k = s.k + 1 CROSS JOIN close) a) b) c),
+      ended AS (SELECT image_id, root, idx FROM at_turn QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k DESC) = 1),
+      became AS (SELECT image_id, unnest(range(len(root))) AS label, unnest(root) AS root, idx FROM ended)
+      SELECT l.image_id, b.root AS label, any_value(b.idx[b.root + 1]) AS idx, count(*) AS area FROM labels l JOIN became b ON b.image_id = l.image_id AND b.label = l.label GROUP BY l.image_id, b.root""")
 def absorb_regions(spark, sf_dir):
     rows = regions.absorb_small(_labels(spark, sf_dir), SWEETIE, 8, 0.2)
     return rows.where("label is not null").groupBy("image_id", "label").agg(F.first("idx").alias("idx"), F.count("*").alias("area"))
