@@ -1,14 +1,19 @@
 """Operator 10, mixing sources to target weights: Sainte-Lague apportionment, in DataFrame operations alone.
 
 The words to take are shared by weight; a source's target stops at max_repeat times its size and the excess goes to the
-others by weight. The documents are dealt to seeded shards. In each shard, blocks of block_words words are allocated to
-the sources by highest quotients target / (2 * seats + 1): integer quotas for each shard and source. Within a shard the
-documents of a source are laid end to end in a seeded order and cut into such blocks; a quota of over all blocks takes
-all of them once or more, and the rest of it picks blocks at even seeded steps. What a document gives is the sum over
-its words, by arithmetic on its place, so no block becomes a row.
+others by weight. Blocks of equally many words are allocated to the sources by highest quotients target / (2 * seats + 1),
+down to the quotient that is worth half a block; the house is as many seats as that gives. A block has block_words words,
+or fewer, so that the smallest target has some `finest` of them and no source is far from its target.
+
+The documents are dealt to seeded shards. The documents of a source are laid end to end, shard by shard and in a seeded
+order within each, and cut into such blocks once over the whole source, so that only its last block is shorter. A quota
+of over all blocks takes all of them once or more, and the rest of it picks blocks at even seeded steps. Each shard's
+quota is the difference of two whole numbers at its ends, so what rounding leaves is carried to the next shard, and what
+a document gives is the sum over its words, by arithmetic on its place: no block becomes a row.
 
 Sizes of shards follow the data, so a window never holds more than some shard_rows documents, whatever the sources.
-There is a row a source in the table of targets, which one task makes; it is staged, and Spark broadcasts it by its size.
+Where a shard begins in a source is summed up in two steps, over groups of shards and within them. There is a row a
+source in the table of targets, which one task makes; it is staged, and Spark broadcasts it by its size.
 
 Defined cases: a null or empty text has size 0 and gives 0 words; a null source is a source, last in order; rows that
 repeat a doc_id are documents of their own, in one shard; those with a null doc_id are dealt by their text; an empty
@@ -48,26 +53,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_p
     return by.select("source", "source_size", target.alias("target"))
 
 
-def shard_quotas(cells: DataFrame, block_words: int) -> DataFrame:
-    """Adds quota to cells(shard, source, blocks, share): the blocks of the cell that the mix takes.
+def seats(targets: DataFrame, block_words: int, finest: int = 16) -> tuple[DataFrame, int]:
+    """targets(source, source_size, target) with blocks and quota, the seats of each source, and the words of a block."""
+    least = targets.where("target > 0").agg(F.min("target")).first()[0]
+    words = max(1, min(block_words, int((least or 0) // finest)))
+    blocks = F.expr(f"(source_size + {words - 1}) div {words}")
+    # quotients target / (2 * k - 1) for k = 1, 2, ... that are at least half a block
+    return targets.withColumns({"blocks": blocks, "quota": F.least(F.floor(F.col("target") / words + 0.5), blocks * 2)}), words
 
-    The house of a shard is its words over the block size. Seats start from the rounded shares; as many seats as those
-    are over or under the house are taken from the smallest, or given to the highest, quotients, which is the
-    allocation by highest quotients.
-    """
-    shard = Window.partitionBy("shard")
-    seats = F.floor(F.col("share") / block_words + 0.5)
-    cells = cells.withColumn("limit", F.col("blocks") * 2).withColumn("seats", F.least(seats, F.col("limit"))).withColumn("house", F.floor(F.round(F.sum("share").over(shard), 3) / block_words + 0.5)).withColumn("over", F.sum("seats").over(shard) - F.col("house"))
-    # the seats in question: the last ones of a cell if the shard has too many, else the next ones
-    n = F.when(F.col("over") > 0, F.least("over", "seats")).otherwise(F.least(-F.col("over"), F.col("limit") - F.col("seats")))
-    step = F.when(F.col("over") > 0, -1).otherwise(1)
-    asked = cells.where("over <> 0").withColumn("n", n).where("n > 0").select("shard", "source", "share", "seats", "over", step.alias("step"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    divisor = F.when(F.col("over") > 0, 2 * (F.col("seats") - F.col("k")) + 1).otherwise(2 * (F.col("seats") + F.col("k")) - 1)
-    asked = asked.withColumn("quotient", F.col("share") / divisor)
-    order = Window.partitionBy("shard").orderBy(F.col("quotient") * F.col("step") * -1, F.col("source").asc_nulls_last(), "k")
-    change = asked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.abs("over")).groupBy(F.col("shard").alias("_shard"), F.col("source").alias("_source")).agg(F.sum("step").alias("_change"))
-    out = cells.join(change, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return out.select("shard", "source", "blocks", (F.col("seats") + F.coalesce("_change", F.lit(0))).alias("quota"))
+
+#: Shards that are summed up together.
+GROUP = 1024
+
+
+def _origins(cells: DataFrame) -> DataFrame:
+    """_shard, _source and origin of cells(shard, source, words): the words of the source in all shards before."""
+    cells = cells.withColumn("_group", F.expr(f"shard div {GROUP}"))
+    before = Window.partitionBy("source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = cells.groupBy("source", "_group").agg(F.sum("words").alias("words")).select(F.col("source").alias("_source"), F.col("_group").alias("_of"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("source", "_group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_more", F.coalesce(F.sum("words").over(within), F.lit(0)))
+    cells = cells.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_group") == F.col("_of")))
+    return cells.select(F.col("shard").alias("_shard"), "_source", (F.col("_base") + F.col("_more")).alias("origin"))
 
 
 def _seed(column: Column, seed: int) -> Column:
@@ -75,31 +82,29 @@ def _seed(column: Column, seed: int) -> Column:
 
 
 def _given(at: str, block_words: int) -> str:
-    """SQL: words that the picks take of the first `at` words of the cell."""
+    """SQL: words that the picks take of the first `at` words of the source."""
     j = f"({at} div {block_words})"
     upto = f"((({j} + offset) * rest) div blocks)"
     after = f"((({j} + 1 + offset) * rest) div blocks)"
     return f"(({upto} - ((offset * rest) div blocks)) * {block_words} + ({after} - {upto}) * ({at} % {block_words}))"
 
 
-def _placed(docs: DataFrame, sized: DataFrame, block_words: int, shard_rows: int, seed: int, weights: tuple[int, ...], share_pct: int, max_repeat: int) -> DataFrame:
-    """sized(doc_id, source, size, key, ...) with target, taken and what take() needs to know of the cell."""
+def _placed(docs: DataFrame, sized: DataFrame, block_words: int, shard_rows: int, seed: int, weights: tuple[int, ...], share_pct: int, max_repeat: int) -> tuple[DataFrame, int]:
+    """sized(doc_id, source, size, key, ...) with target, taken and what take() needs to know, and the words of a block."""
     targets = C.staged(source_targets(sized, weights, share_pct, max_repeat))
+    quotas, words = seats(targets, block_words)
+    offset = F.conv(F.substring(_seed(F.coalesce("source", F.lit("-")), seed), 1, 8), 16, 10).cast("long")
+    some = F.greatest("blocks", F.lit(1))
+    quotas = quotas.select(F.col("source").alias("_s"), "source_size", "target", some.alias("blocks"), F.expr("case when blocks > 0 then quota div blocks else 0 end").alias("passes"), F.expr("case when blocks > 0 then quota % blocks else 0 end").alias("rest"), (offset % some).alias("offset"))
     shards = max(1, -(-sized.count() // shard_rows))
     sized = sized.withColumn("shard", F.conv(F.substring("key", 1, 12), 16, 10).cast("long") % shards)
-    cells = sized.groupBy("shard", "source").agg(F.sum("size").alias("words"))
-    cells = cells.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    cells = cells.withColumn("blocks", F.expr(f"(words + {block_words - 1}) div {block_words}")).withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0))
-    quotas = shard_quotas(cells.select("shard", "source", "blocks", "share"), block_words)
-    passes = F.expr("case when blocks > 0 then quota div blocks else 0 end")
-    rest = F.expr("case when blocks > 0 then quota % blocks else 0 end")
-    offset = F.conv(F.substring(_seed(F.concat_ws(":", F.col("shard"), F.coalesce("source", F.lit("-"))), seed), 1, 8), 16, 10).cast("long")
-    quotas = quotas.select(F.col("shard").alias("_shard"), F.col("source").alias("_source"), F.greatest("blocks", F.lit(1)).alias("blocks"), passes.alias("passes"), rest.alias("rest"), (offset % F.greatest("blocks", F.lit(1))).alias("offset"))
+    origins = _origins(sized.groupBy("shard", "source").agg(F.sum("size").alias("words")))
     stream = Window.partitionBy("shard", "source").orderBy("key", "doc_id", "size", "tie")
-    rows = sized.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
-    rows = rows.join(quotas, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_shard", "_source")
-    rows = rows.withColumn("taken", F.expr(f"passes * size + {_given('end', block_words)} - {_given('begin', block_words)}"))
-    return rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = sized.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(origins, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_shard", "_source")
+    rows = rows.withColumn("end", F.col("end") + F.col("origin")).withColumn("begin", F.col("end") - F.col("size"))
+    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return rows.withColumn("taken", F.expr(f"passes * size + {_given('end', words)} - {_given('begin', words)}")), words
 
 
 def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
@@ -111,7 +116,7 @@ def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
 
 def mix(docs: DataFrame, block_words: int = 16, shard_rows: int = 500, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_repeat: int = 2) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document."""
-    rows = _placed(docs, _sized(docs, seed), block_words, shard_rows, seed, weights, share_pct, max_repeat)
+    rows, _ = _placed(docs, _sized(docs, seed), block_words, shard_rows, seed, weights, share_pct, max_repeat)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -121,8 +126,9 @@ def take(docs: DataFrame, block_words: int = 64, shard_rows: int = 500, seed: in
     A partly picked document keeps its picked words, joined by single spaces; n_chars, if there, is set anew.
     """
     sized = _sized(docs, seed, F.struct(*docs.columns).alias("given"))
-    rows = _placed(docs, sized, block_words, shard_rows, seed, weights, share_pct, max_repeat).where("taken > 0").withColumn("text", F.col("given.text").cast("string"))
-    picked = F.expr(f"array_join(filter(regexp_extract_all(text, '{WORDS}', 0), (w, i) -> {_given('(begin + i + 1)', block_words)} - {_given('(begin + i)', block_words)} > 0), ' ')".replace("\\", "\\\\"))
+    rows, words = _placed(docs, sized, block_words, shard_rows, seed, weights, share_pct, max_repeat)
+    rows = rows.where("taken > 0").withColumn("text", F.col("given.text").cast("string"))
+    picked = F.expr(f"array_join(filter(regexp_extract_all(text, '{WORDS}', 0), (w, i) -> {_given('(begin + i + 1)', words)} - {_given('(begin + i)', words)} > 0), ' ')".replace("\\", "\\\\"))
     copies = F.expr("case when passes > 0 then sequence(1, int(passes)) else array() end || case when taken > passes * size then array(0) else array() end")
     rows = rows.withColumn("copy", F.explode(copies)).withColumn("words", F.when((F.col("copy") > 0) | (F.col("taken") - F.col("passes") * F.col("size") == F.col("size")), F.col("text")).otherwise(picked))
     out = {"text": F.col("words")} | ({"n_chars": F.length("words").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})

@@ -150,8 +150,8 @@ FROM texts LEFT JOIN made USING (doc_id)
 
 
 def _given(at: str) -> str:
-    j = f"({at} // 16)"
-    return f"((({j} + shift) * rest // blocks - shift * rest // blocks) * 16 + (({j} + 1 + shift) * rest // blocks - ({j} + shift) * rest // blocks) * ({at} % 16))"
+    j = f"({at} // block)"
+    return f"((({j} + shift) * rest // blocks - shift * rest // blocks) * block + (({j} + 1 + shift) * rest // blocks - ({j} + shift) * rest // blocks) * ({at} % block))"
 
 
 OP10 = f"""
@@ -168,26 +168,17 @@ levels AS (
   WINDOW o AS (ORDER BY cap / weight, source NULLS LAST), p AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 opened AS (SELECT min(place) AS first_open, arg_min(level, place) AS open_level FROM levels WHERE level * weight <= cap),
 targets AS (SELECT source, source_size, CASE WHEN place >= first_open THEN open_level * weight ELSE cap::DOUBLE END AS target FROM levels CROSS JOIN opened),
-summed AS (SELECT shard, source, sum(size)::BIGINT AS words FROM sized GROUP BY shard, source),
-cells AS (
-  SELECT shard, c.source, (words + 15) // 16 AS blocks, CASE WHEN source_size > 0 THEN target * words / source_size ELSE 0.0::DOUBLE END AS share
-  FROM summed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
-seated AS (SELECT *, least(floor(share / 16 + 0.5)::BIGINT, 2 * blocks) AS seats FROM cells),
-housed AS (SELECT *, (sum(seats) OVER s - floor(round(sum(share) OVER s, 3) / 16 + 0.5))::BIGINT AS excess FROM seated WINDOW s AS (PARTITION BY shard)),
-asked AS (
-  SELECT *, unnest(range(1, CASE WHEN excess > 0 THEN least(excess, seats) ELSE least(-excess, 2 * blocks - seats) END + 1)) AS k FROM housed WHERE excess <> 0),
-changed AS (
-  SELECT shard, source, excess FROM asked
-  QUALIFY row_number() OVER (PARTITION BY shard ORDER BY CASE WHEN excess > 0 THEN share / (2 * (seats - k) + 1) ELSE -share / (2 * (seats + k) - 1) END, source NULLS LAST, k) <= abs(excess)),
-changes AS (SELECT shard, source, sum(-sign(excess)) AS change FROM changed GROUP BY shard, source),
-quotas AS (
-  SELECT h.shard, h.source, h.blocks AS own_blocks, greatest(h.blocks, 1) AS blocks, (h.seats + coalesce(change, 0))::BIGINT AS quota,
-    ('0x' || substr(md5('1:' || h.shard || ':' || coalesce(h.source, '-')), 1, 8))::BIGINT % greatest(h.blocks, 1) AS shift
-  FROM housed h LEFT JOIN changes g ON h.shard = g.shard AND h.source IS NOT DISTINCT FROM g.source),
-shared AS (SELECT *, CASE WHEN own_blocks > 0 THEN quota // blocks ELSE 0 END AS passes, CASE WHEN own_blocks > 0 THEN quota % blocks ELSE 0 END AS rest FROM quotas),
-placed AS (SELECT *, (sum(size) OVER (PARTITION BY shard, source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM sized)
-SELECT p.doc_id, p.size, t.source_size, t.target, (passes * size + {_given("upto")} - {_given("(upto - size)")})::BIGINT AS taken
-FROM placed p JOIN shared q ON p.shard = q.shard AND p.source IS NOT DISTINCT FROM q.source JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+blocked AS (SELECT greatest(1, least(16, floor(min(target) FILTER (target > 0) / 16)))::BIGINT AS block FROM targets),
+seated AS (
+  SELECT source, source_size, target, block, (source_size + block - 1) // block AS own_blocks, least(floor(target / block + 0.5)::BIGINT, 2 * ((source_size + block - 1) // block)) AS quota
+  FROM targets CROSS JOIN blocked),
+shared AS (
+  SELECT *, greatest(own_blocks, 1) AS blocks, CASE WHEN own_blocks > 0 THEN quota // own_blocks ELSE 0 END AS passes, CASE WHEN own_blocks > 0 THEN quota % own_blocks ELSE 0 END AS rest,
+    ('0x' || substr(md5('1:' || coalesce(source, '-')), 1, 8))::BIGINT % greatest(own_blocks, 1) AS shift
+  FROM seated),
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY shard, key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM sized)
+SELECT p.doc_id, p.size, source_size, target, (passes * size + {_given("upto")} - {_given("(upto - size)")})::BIGINT AS taken
+FROM placed p JOIN shared q ON p.source IS NOT DISTINCT FROM q.source
 """
 
 

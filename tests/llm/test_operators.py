@@ -301,11 +301,61 @@ def test_mixing(spark, docs):
 
 
 def test_quotas_go_by_highest_quotients(spark):
-    shares = [7.3, 3.1, 9.9, 0.4, 5.5]
-    cells = spark.createDataFrame([(0, f"s{i}", 100, v) for i, v in enumerate(shares)], "shard long, source string, blocks long, share double")
-    got = [r.quota for r in mixing.shard_quotas(cells, 2).orderBy("source").collect()]
-    seats, house = [0] * 5, int(sum(shares) / 2 + 0.5)
-    for _ in range(house):
-        k = max(range(5), key=lambda i: (shares[i] / (2 * seats[i] + 1), -i))
+    goals = [7.3, 3.1, 9.9, 0.4, 5.5, 64.0]
+    rows = spark.createDataFrame([(f"s{i}", 100, v) for i, v in enumerate(goals)], "source string, source_size long, target double")
+    quotas, words = mixing.seats(rows, 2, finest=0.1)
+    got = [r.quota for r in quotas.orderBy("source").collect()]
+    seats = [0] * len(goals)
+    for _ in range(sum(got)):
+        k = max(range(len(goals)), key=lambda i: (goals[i] / (2 * seats[i] + 1), -i))
         seats[k] += 1
-    assert got == seats
+    assert words == 2 and got == seats
+    assert mixing.seats(rows, 50)[1] == 1 and mixing.seats(rows.where("target > 60"), 50)[1] == 4
+
+
+def _off(rows):
+    """Source sizes and by how many words each source is off its target; no document may exceed twice its size."""
+    taken, target, size = {}, {}, {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"]
+        key = r.doc_id // 1_000_000
+        taken[key], target[key], size[key] = taken.get(key, 0) + r.taken, r.target, r.source_size
+    return {k: (taken[k] - target[k], target[k], size[k]) for k in taken}
+
+
+def test_a_small_source_beside_large_ones_gets_its_words(spark):
+    rows = [(k * 1_000_000 + i, f"s{k}", "one two three" if k == 2 else "w " * (i % 90 + 30)) for k, n in enumerate((3000, 3000, 80)) for i in range(n)]
+    off = _off(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(8)).collect())
+    assert off[2][1:] == (480.0, 240) and all(abs(d) <= 16 for d, _, _ in off.values())
+
+
+def test_very_many_small_sources_get_their_words(spark):
+    rnd = random.Random(1)
+    rows = [(k * 1_000_000 + i, f"source {k:05}", "w " * rnd.randint(3, 7)) for k in range(4000) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, shard_rows=100).collect()
+    off = _off(got)
+    assert len(off) == 4000 and all(abs(d) <= 1 for d, _, _ in off.values())
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7), shard_rows=100).collect()))
+
+
+def test_blocks_lie_end_to_end_over_all_shards(spark):
+    """Against plain Python: documents of a source in the order of shard and key, blocks at even steps from the offset."""
+    import hashlib
+
+    rnd = random.Random(2)
+    rows = [(i, f"s{i % 3}", "w " * rnd.randint(0, 60)) for i in range(400)]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(docs, block_words=8, shard_rows=20).collect()}
+    for s in range(3):
+        own = sorted((int(md5(f"1:{i}")[:12], 16) % 20, md5(f"1:{i}"), i, len(t.split())) for i, source, t in rows if source == f"s{s}")
+        stream = [i for *_, i, n in own for _ in range(n)]
+        blocks, target = -(-len(stream) // 8), got[own[0][2]].target
+        passes, rest = divmod(min(int(target / 8 + 0.5), 2 * blocks), blocks)
+        offset = int(md5(f"1:s{s}")[:8], 16) % blocks
+        taken = dict.fromkeys((i for *_, i, _ in own), 0)
+        for at, i in enumerate(stream):
+            j = at // 8 + offset
+            taken[i] += passes + ((j + 1) * rest // blocks - j * rest // blocks)
+        assert taken == {i: got[i].taken for i in taken}
