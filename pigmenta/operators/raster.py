@@ -1,23 +1,25 @@
 """Operators on pixels(image_id, y, x, r, g, b, a): tone, dither, matching, denoising, resampling.
 
-Tone, dither and resampling are Column expressions, denoising is windows within an image, so pixels of different images
-never meet. Matching needs no shuffle: Arrow batches are compared with the palette, which has at most 256 colours. It is
-an operator of its own in the plan and not an expression, so that no later filter makes Spark search twice.
+Tone, dither and resampling are Column expressions; denoising works in tiles with a margin. Matching needs no shuffle:
+Arrow batches are searched with the palette, which has at most 256 colours. It is an operator of its own in the plan and
+not an expression, so that no later filter makes Spark search twice. Error diffusion is a stream of sorted rows.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import color, tables
+from .tiles import TILE, Tile, map_tiles
 
 ALPHA_CUT = 8
 SAMPLES = 20_000
@@ -134,14 +136,106 @@ def nearest_levels(levels: np.ndarray, colors: list[str] | str, metric: str = "s
     return out
 
 
+#: Levels of a channel that a cell of the colour cube spans, and cells of an edge.
+CELL, CELLS = 8, 32
+
+
+class Search:
+    """Nearest colours of a palette, by cells of the colour cube.
+
+    A cell keeps the colours that can be nearest to anything in it: those whose least distance to the cell is not above
+    the smallest of all greatest distances. Cells are worked out when they are first met, so a search among 256 colours
+    looks at a few. Candidates stay in order and a later one must be nearer, so of equals the first is found.
+    """
+
+    def __init__(self, rgb: tuple[tuple[int, int, int], ...], metric: str):
+        self.metric, self.rgb = metric, np.array(rgb, dtype=np.int64)
+        self.table = _oklab_table(self.rgb.astype(float)) if metric == "oklab" else self.rgb
+        self.known = np.zeros(CELLS**3, dtype=bool)
+        self.count = np.zeros(CELLS**3, dtype=np.int64)
+        self.found = np.zeros((CELLS**3, min(8, len(self.rgb))), dtype=np.int16)
+        self.one: dict[int, int] = {}
+
+    def _bounds(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For boxes of levels: the least and the greatest distance to each colour, or beyond."""
+        if self.metric == "oklab":  # cone responses grow with every level; what is linear in them has bounds by sign
+            ends = [np.cbrt(_linear(v.astype(float)) @ np.array(color.LINEAR_TO_LMS).T) for v in (low, high)]
+            m = np.array(color.LMS_TO_LAB)
+            up, down = np.maximum(m, 0), np.minimum(m, 0)
+            low, high = ends[0] @ up.T + ends[1] @ down.T, ends[1] @ up.T + ends[0] @ down.T
+        low, high, at = low[:, None, :], high[:, None, :], self.table[None]
+        least = np.maximum(np.maximum(low - at, at - high), 0) ** 2
+        most = np.maximum(np.abs(low - at), np.abs(high - at)) ** 2
+        if self.metric == "redmean":
+            s0, s1 = low[..., 0] + at[..., 0], high[..., 0] + at[..., 0]
+            weigh = lambda d, s, t: (1024 + s) * d[..., 0] + 2048 * d[..., 1] + (1534 - t) * d[..., 2]
+            return weigh(least, s0, s1), weigh(most, s1, s0)
+        return least.sum(axis=2), most.sum(axis=2)
+
+    def _learn(self, cells: np.ndarray) -> None:
+        cells = cells[~self.known[cells]]
+        for part in np.array_split(cells, max(1, len(cells) * len(self.rgb) // 500_000)):
+            low = np.stack([part // CELLS**2, part // CELLS % CELLS, part % CELLS], axis=1) * CELL
+            least, most = self._bounds(low, low + CELL - 1)
+            near = least <= most.min(axis=1, keepdims=True) + (1e-9 if self.metric == "oklab" else 0)
+            count = near.sum(axis=1)
+            if len(count) and count.max() > self.found.shape[1]:
+                self.found = np.pad(self.found, ((0, 0), (0, int(count.max()) - self.found.shape[1])))
+            box, of = np.nonzero(near)
+            self.found[part[box], np.arange(len(box)) - np.repeat(np.cumsum(count) - count, count)] = of
+            self.count[part], self.known[part] = count, True
+
+    def find(self, levels: np.ndarray) -> np.ndarray:
+        """The number of the nearest colour for rows of whole levels r, g, b."""
+        code, back = np.unique((levels[:, 0] << 16) | (levels[:, 1] << 8) | levels[:, 2], return_inverse=True)
+        levels = np.stack([code >> 16, code >> 8 & 255, code & 255], axis=1)
+        cell = (levels[:, 0] // CELL * CELLS + levels[:, 1] // CELL) * CELLS + levels[:, 2] // CELL
+        self._learn(np.unique(cell))
+        at = _oklab_table(levels.astype(float)) if self.metric == "oklab" else levels
+        out, least = np.zeros(len(code), dtype=np.int32), np.full(len(code), np.inf)
+        rows, k = np.arange(len(code)), 0
+        while len(rows := rows[self.count[cell[rows]] > k]):
+            of = self.found[cell[rows], k]
+            d0, d1, d2 = (at[rows, c] - self.table[of, c] for c in range(3))
+            if self.metric == "redmean":
+                s = levels[rows, 0] + self.rgb[of, 0]
+                d = (1024 + s) * d0 * d0 + 2048 * d1 * d1 + (1534 - s) * d2 * d2
+            else:
+                d = d0 * d0 + d1 * d1 + d2 * d2
+            near = d < least[rows]
+            out[rows[near]], least[rows[near]] = of[near], d[near]
+            k += 1
+        return out[back.reshape(-1)]
+
+    def find_one(self, r: int, g: int, b: int) -> int:
+        """find() for one colour, with a bounded memory."""
+        code = r << 16 | g << 8 | b
+        if (known := self.one.get(code)) is None:
+            if len(self.one) >= 1 << 18:
+                self.one.clear()
+            known = self.one[code] = int(self.find(np.array([[r, g, b]]))[0])
+        return known
+
+
+@lru_cache(8)
+def _search(rgb: tuple[tuple[int, int, int], ...], metric: str) -> Search:
+    return Search(rgb, metric)
+
+
+def search(colors: list[str] | str, metric: str) -> Search:
+    """The search of a palette, kept by the process, with the cells it knows."""
+    return _search(tuple(tables.rgb_list(colors)), metric)
+
+
 def _matcher(colors: list[str] | str, metric: str, r: int, g: int, b: int, a: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = search(colors, metric)
         for batch in batches:
             alpha = batch.column(a).fill_null(0).to_numpy(zero_copy_only=False)
             shown = alpha > 0
             levels = np.stack([np.clip(batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)[shown], 0, 255).astype(np.int64) for c in (r, g, b)], axis=1)
             idx = np.zeros(len(batch), dtype=np.int32)
-            idx[shown] = nearest_levels(levels, colors, metric)
+            idx[shown] = known.find(levels)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(idx, mask=~shown)], names=[*batch.schema.names, "idx"])
 
     return run
@@ -174,90 +268,152 @@ def paint(mapped: DataFrame, colors: list[str] | str) -> DataFrame:
     return mapped.select(*POS, *[F.when(F.col("idx").isNull(), 0).otherwise(at[n]).alias(n) for n in "rgb"], F.when(F.col("idx").isNull(), 0).otherwise(255).alias("a"))
 
 
-def _oklab_table(rgb: np.ndarray) -> np.ndarray:
+def _linear(rgb: np.ndarray) -> np.ndarray:
     c = np.clip(rgb, 0, 255) / 255.0
-    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
-    return np.cbrt(c @ np.array(color.LINEAR_TO_LMS).T) @ np.array(color.LMS_TO_LAB).T
-
+    return np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
 
-def nearest_of(rgb: np.ndarray, metric: str):
-    """A function that finds the nearest of a few colours for one pixel, for sequential use."""
-    p = np.asarray(rgb, dtype=float)
-    lab = _oklab_table(p)
-    known: dict[tuple, int] = {}
-
-    def find(r: float, g: float, b: float) -> int:
-        q = (int(min(max(r, 0), 255)), int(min(max(g, 0), 255)), int(min(max(b, 0), 255)))
-        if q not in known:
-            if metric == "oklab":
-                d = ((lab - _oklab_table(np.array([q], dtype=float))) ** 2).sum(axis=1)
-            else:
-                e = (p - q) ** 2
-                s = (p[:, 0] + q[0]) / 2
-                d = (2 + s / 256) * e[:, 0] + 4 * e[:, 1] + (2 + (255 - s) / 256) * e[:, 2] if metric == "redmean" else e.sum(axis=1)
-            known[q] = int(np.argmin(d))
-        return known[q]
 
-    return find
+def _oklab_table(rgb: np.ndarray) -> np.ndarray:
+    return np.cbrt(_linear(rgb) @ np.array(color.LINEAR_TO_LMS).T) @ np.array(color.LMS_TO_LAB).T
 
 
-def diffuse(image: np.ndarray, shown: np.ndarray, rgb: np.ndarray, metric: str, amount: float) -> np.ndarray:
-    """Palette numbers, -1 where not shown, with Floyd-Steinberg error diffusion, every other row backwards.
+class Diffusion:
+    """Floyd-Steinberg error diffusion of one image, a row at a time, every other row backwards.
 
-    Transparent pixels give no error on and lose what they got.
+    It keeps one row of errors in single precision. Transparent pixels give no error on and lose what they got; errors
+    end at a row that isn't there.
     """
-    h, w, _ = image.shape
-    find, out = nearest_of(rgb, metric), np.full((h, w), -1)
-    carry = np.zeros((w + 2, 3), dtype=np.float32)
-    for y in range(h):
-        below, step = np.zeros_like(carry), -1 if y % 2 else 1
-        for x in range(w)[::step]:
-            if not shown[y, x]:
+
+    def __init__(self, colors: list[str] | str, metric: str, amount: float):
+        self.find, self.amount = search(colors, metric).find_one, amount
+        self.rgb = [tuple(map(float, c)) for c in tables.rgb_list(colors)]
+        self.y, self.carry = None, array("f")
+
+    def row(self, y: int, xs: list[int], levels: list[list[float]], shown: list[bool]) -> list[int]:
+        """Palette numbers of a row's pixels, which come in order of x; 0 where not shown."""
+        width = 3 * (xs[-1] + 3)
+        carry = self.carry if self.y == y - 1 else array("f")
+        carry.extend([0.0] * (width - len(carry)))
+        below, out = array("f", bytes(4 * len(carry))), [0] * len(xs)
+        step = -3 if y % 2 else 3
+        for i in range(len(xs))[:: -1 if y % 2 else 1]:
+            if not shown[i]:
                 continue
-            v = image[y, x] + carry[x + 1]
-            k = out[y, x] = find(*v)
-            e = (v - rgb[k]) * amount
-            carry[x + 1 + step] += e * (7 / 16)
-            below[x + 1 - step] += e * (3 / 16)
-            below[x + 1] += e * (5 / 16)
-            below[x + 1 + step] += e * (1 / 16)
-        carry = below
-    return out
+            at = 3 * (xs[i] + 1)
+            v = [levels[c][i] + carry[at + c] for c in range(3)]
+            k = out[i] = self.find(*(0 if u < 0 else 255 if u > 255 else int(u) for u in v))
+            for c, u, w in zip(range(at, at + 3), v, self.rgb[k], strict=True):
+                e = (u - w) * self.amount
+                carry[c + step] += e * 0.4375
+                below[c - step] += e * 0.1875
+                below[c] += e * 0.3125
+                below[c + step] += e * 0.0625
+        self.y, self.carry = y, below
+        return out
+
+
+def _diffuser(colors: list[str] | str, metric: str, amount: float, schema: pa.Schema, emit: int = 1 << 16):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, at, held, made, size = None, None, [], [], 0
+
+        def finish() -> None:
+            """Works out the row that is complete, whatever batches it came in."""
+            nonlocal size
+            one = pa.concat_tables(held).combine_chunks()
+            x = one["x"].to_numpy()
+            one = one.filter(pa.array(np.concatenate([[True], x[1:] != x[:-1]])))  # a pixel that is there twice counts once
+            x = one["x"].to_pylist()
+            alpha = [v > 0 for v in one["a"].fill_null(0).to_pylist()]
+            idx = at.row(one["y"][0].as_py(), x, [one[c].fill_null(0).cast(pa.float64()).to_pylist() for c in "rgb"], alpha)
+            made.append(pa.Table.from_arrays([one["image_id"], one["y"], one["x"], pa.array(idx, mask=~np.array(alpha), type=pa.int32())], schema=schema))
+            size += len(x)
 
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            ids, ys = table["image_id"].to_numpy(), table["y"].to_numpy()
+            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (ys[1:] != ys[:-1])) + 1).tolist(), len(ids)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and (held[0]["image_id"][0].as_py(), held[0]["y"][0].as_py()) != (ids[lo], ys[lo]):
+                    finish()
+                    held = []
+                    if size >= emit:
+                        yield from pa.concat_tables(made).to_batches()
+                        made, size = [], 0
+                if image != ids[lo]:
+                    image, at = ids[lo], Diffusion(colors, metric, amount)
+                held.append(table.slice(lo, hi - lo))
+        if held:
+            finish()
+        if made:
+            yield from pa.concat_tables(made).to_batches()
 
-def grid(pdf: pd.DataFrame, columns: list[str], fill: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The columns of one image as an array, and the places of its rows."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    out = np.full((int(y.max()) + 1, int(x.max()) + 1, len(columns)), fill, dtype=float)
-    out[y, x] = pdf[columns].to_numpy(dtype=float, na_value=fill)
-    return out, y, x
+    return run
 
 
 def diffused(pixels: DataFrame, colors: list[str] | str, metric: str = "srgb", amount: float = 1.0) -> DataFrame:
-    """image_id, y, x, idx with error diffusion. It is sequential within an image, so an image is one group."""
-    rgb = np.array(tables.rgb_list(colors), dtype=float)
+    """image_id, y, x, idx with error diffusion.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, y, x = grid(pdf, ["r", "g", "b", "a"])
-        idx = diffuse(v[..., :3], v[..., 3] > 0, rgb, metric, amount)[y, x]
-        return pd.DataFrame({"image_id": pdf["image_id"], "y": y, "x": x, "idx": pd.array(np.where(idx < 0, 0, idx), dtype="Int32")}).assign(idx=lambda d: d["idx"].mask(idx < 0))
+    It is sequential within an image: an image's pixels are sorted into one task, which streams them and holds a row.
+    """
+    schema = pa.schema([("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("idx", pa.int32())])
+    rows = pixels.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), *"rgba")
+    rows = rows.repartition("image_id").sortWithinPartitions(*POS)
+    return rows.mapInArrow(_diffuser(colors, metric, amount, schema), "image_id long, y int, x int, idx int")
 
-    return pixels.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, idx int")
 
+def window_median(v: np.ndarray, shown: np.ndarray, radius: int, rows: range) -> np.ndarray:
+    """The upper median of shown values over square windows, for some rows; 0 where none is shown.
 
-def denoise(pixels: DataFrame, radius: int) -> DataFrame:
+    Columns keep histograms of the rows in reach, which gain one value and lose one as the window moves down; a window's
+    histogram is a difference of their sums from the left. The work doesn't grow with the radius.
+    """
+    h, w = v.shape
+    low = int(v[shown].min()) if shown.any() else 0
+    bins = int(v[shown].max()) - low + 1 if shown.any() else 1
+    columns, at = np.zeros((w, bins), dtype=np.int32), np.arange(w)
+    left, right = np.maximum(at - radius, 0), np.minimum(at + radius + 1, w)
+    out = np.zeros((len(rows), w), dtype=v.dtype)
+    sums = np.zeros((w + 1, bins), dtype=np.int32)
+    last = rows.start - radius  # rows before this are in the histograms
+    last = max(last, 0)
+    for k, y in enumerate(rows):
+        while last < min(y + radius + 1, h):
+            columns[at[shown[last]], v[last, shown[last]] - low] += 1
+            last += 1
+        gone = y - radius - 1
+        if gone >= max(rows.start - radius, 0):
+            columns[at[shown[gone]], v[gone, shown[gone]] - low] -= 1
+        np.cumsum(columns, axis=0, out=sums[1:])
+        upto = np.cumsum(sums[right] - sums[left], axis=1)
+        out[k] = np.argmax(upto > (upto[:, -1:] // 2), axis=1) + low
+        out[k, upto[:, -1] == 0] = 0
+    return out
+
+
+_PIXELS = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("y", "x", "r", "g", "b", "a"))])
+
+
+def denoise(pixels: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """The upper median of each channel over the opaque pixels of a square window; alpha stays."""
     if not radius:
         return pixels
-    across = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-radius, radius)
-    down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-radius, radius)
-    rgb = F.when(F.col("a") > 0, F.struct("r", "g", "b"))
-    out = pixels.withColumn("_row", F.collect_list(rgb).over(across)).withColumn("_all", F.flatten(F.collect_list("_row").over(down)))
 
-    def middle(c: str) -> Column:
-        return F.get(F.array_sort(F.transform("_all", lambda p: p[c])), F.floor(F.size("_all") / 2).cast("int"))
+    def run(t: Tile) -> pa.Table:
+        alpha = t.grid("a", 0)
+        shown = t.here & (alpha > 0)
+        own = np.flatnonzero(t.own.any(axis=1))
+        grids = {"a": alpha}
+        for c in "rgb":
+            v = t.grid(c, 0)
+            if len(own):
+                v[own[0] : own[-1] + 1] = window_median(v.copy(), shown, radius, range(int(own[0]), int(own[-1]) + 1))
+            grids[c] = np.where(shown, v, 0)
+        return t.rows(_PIXELS, **grids)
 
-    return out.withColumns({c: F.when(F.col("a") == 0, 0).otherwise(middle(c)) for c in "rgb"}).drop("_row", "_all")
+    rows = pixels.select("image_id", *[F.col(c).cast("int") for c in ("y", "x", "r", "g", "b", "a")])
+    return map_tiles(rows, ["r", "g", "b", "a"], run, "image_id long, y int, x int, r int, g int, b int, a int", tile, radius)
 
 
 def work_size(width: Column, height: Column, pixel: int, longest: int | None = None) -> Column:
@@ -269,16 +425,30 @@ def work_size(width: Column, height: Column, pixel: int, longest: int | None = N
     return F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"))
 
 
+def _overlaps(at: str, size: Column, to: Column) -> Column:
+    """The places of the new size that a pixel's edge overlaps, and by how much, in parts of 1 / (size * to)."""
+    low, high = F.col(at) * to, (F.col(at) + 1) * to
+    span = F.sequence(F.floor(low / size).cast("int"), F.floor((high - 1) / size).cast("int"))
+    return F.transform(span, lambda o: F.struct(o.alias("o"), (F.least(high, (o + 1) * size) - F.greatest(low, o * size)).cast("long").alias("w")))
+
+
 def downscale(pixels: DataFrame, images: DataFrame, pixel: int, smooth: bool = True, longest: int | None = None) -> DataFrame:
-    """Pixels at the work size. smooth: the alpha-weighted mean of each block; else its middle pixel."""
+    """Pixels at the work size. smooth: means weighted by alpha and by the share of each pixel in a block; else its middle.
+
+    Edges of blocks cut pixels where the sizes don't divide: such a pixel gives to every block it overlaps, by area, in
+    whole numbers, so that blocks sum up to the image.
+    """
     size = images.select("image_id", "width", "height", work_size(F.col("width"), F.col("height"), pixel, longest).alias("to"))
-    placed = pixels.join(size, "image_id").withColumn("oy", F.floor((F.col("y") + 0.5) * F.col("to.h") / F.col("height")).cast("int")).withColumn("ox", F.floor((F.col("x") + 0.5) * F.col("to.w") / F.col("width")).cast("int"))
+    placed = pixels.join(size, "image_id")
     if not smooth:
+        placed = placed.withColumns({"oy": F.floor((F.col("y") + 0.5) * F.col("to.h") / F.col("height")).cast("int"), "ox": F.floor((F.col("x") + 0.5) * F.col("to.w") / F.col("width")).cast("int")})
         cy, cx = F.floor((F.col("oy") + 0.5) * F.col("height") / F.col("to.h")), F.floor((F.col("ox") + 0.5) * F.col("width") / F.col("to.w"))
         return placed.where((F.col("y") == cy) & (F.col("x") == cx)).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), "r", "g", "b", "a")
-    total = F.sum("a")
-    means = [F.coalesce(color.half_up(F.sum(F.col(c) * F.col("a")) / F.nullif(total, F.lit(0))), F.lit(0)).cast("int").alias(c) for c in "rgb"]
-    return placed.groupBy("image_id", "oy", "ox").agg(*means, color.half_up(F.avg("a")).cast("int").alias("a")).withColumnsRenamed({"oy": "y", "ox": "x"})
+    placed = placed.withColumn("_y", F.explode(_overlaps("y", F.col("height"), F.col("to.h")))).withColumn("_x", F.explode(_overlaps("x", F.col("width"), F.col("to.w"))))
+    share = F.col("_y.w") * F.col("_x.w")
+    total = F.sum(share * F.col("a"))
+    means = [F.coalesce(color.half_up(F.sum(F.col(c) * share * F.col("a")) / F.nullif(total, F.lit(0))), F.lit(0)).cast("int").alias(c) for c in "rgb"]
+    return placed.groupBy("image_id", F.col("_y.o").alias("y"), F.col("_x.o").alias("x")).agg(*means, color.half_up(total / F.sum(share)).cast("int").alias("a"))
 
 
 def upscale(pixels: DataFrame, factor: int) -> DataFrame:

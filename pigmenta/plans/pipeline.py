@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extract, palettes, raster, regions
+from .cache import denoised
 
 #: The longest edge of previews and of the image that colours are extracted from.
 PREVIEW = 1200
@@ -84,17 +85,22 @@ def scaled_area(v: int, scale: Column) -> int | Column:
     return F.greatest(F.lit(1), F.floor(v * scale + 0.5)).cast("int") if v > 0 else 0
 
 
-def render(pixels: DataFrame, images: DataFrame, colors: list[str] | str, o: Options, preview: int | None = None) -> DataFrame:
-    """Finished pixels. preview: the longest edge; areas are scaled by each image's own share."""
-    rows = pixels
-    if o.pixel != 1 or preview:
-        rows = raster.downscale(pixels, images, o.pixel, o.smooth, preview)
+def render(pixels: DataFrame, images: DataFrame, colors: list[str] | str, o: Options, preview: int | None = None, cache: str | None = None) -> DataFrame:
+    """Finished pixels. preview: the longest edge; areas are scaled by each image's own share.
+
+    cache: a folder where denoised pixels are kept for renders of the same images at the same size.
+    """
+    if cache and o.denoise:
+        rows = denoised(pixels, images, o.pixel, o.smooth, preview, o.denoise, cache)
+    else:
+        rows = raster.downscale(pixels, images, o.pixel, o.smooth, preview) if o.pixel != 1 or preview else pixels
+        rows = raster.denoise(rows, o.denoise)
     scales = area_scales(images, o.pixel, preview) if preview else None
 
     def area(v: int, labels: DataFrame) -> tuple[int | Column, DataFrame]:
         return (v, labels) if scales is None or v <= 0 else (scaled_area(v, F.col("scale")), labels.join(scales, "image_id"))
 
-    mapped = map_pixels(raster.denoise(rows, o.denoise), colors, o)
+    mapped = map_pixels(rows, colors, o)
     near = o.tolerance * regions.MOST_DISTANCE
     if o.smooth_stipple:
         mapped = regions.smooth_stipple(mapped, colors, near)
@@ -112,9 +118,9 @@ def render(pixels: DataFrame, images: DataFrame, colors: list[str] | str, o: Opt
     return raster.upscale(out, o.export_scale)
 
 
-def export(pixels: DataFrame, images: DataFrame, colors: list[str] | str, o: Options) -> DataFrame:
+def export(pixels: DataFrame, images: DataFrame, colors: list[str] | str, o: Options, cache: str | None = None) -> DataFrame:
     """Pixels to save: rendered at full size if the options say so, else as in the preview; then upscaled."""
-    return render(pixels, images, colors, o, None if o.export_full else PREVIEW)
+    return render(pixels, images, colors, o, None if o.export_full else PREVIEW, cache)
 
 
 def extract_colors(pixels: DataFrame, images: DataFrame, count: int, scheme: str | None = None, shift: float = 1.0, onto: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,11 @@ def _px(flat: bool = False) -> str:
       CASE WHEN o_custkey % 23 = 0 THEN 0 ELSE 255 END AS a FROM orders)"""
 
 
-def _pal(name: str) -> str:
+#: 252 colours, 7 levels of red, 6 of green and 6 of blue.
+WIDE = [f"#{r * 42:02x}{g * 51:02x}{b * 51:02x}" for r in range(7) for g in range(6) for b in range(6)]
+
+
+def _pal(name: str | list[str]) -> str:
     return "pal(idx, r, g, b) AS (VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(tables.rgb_list(name))) + ")"
 
 
@@ -77,7 +81,7 @@ _SRGB = "((p.r - c.r) * (p.r - c.r) + (p.g - c.g) * (p.g - c.g) + (p.b - c.b) *
 _REDMEAN = "((1024 + p.r + c.r) * (p.r - c.r) * (p.r - c.r) + 2048 * (p.g - c.g) * (p.g - c.g) + (1534 - p.r - c.r) * (p.b - c.b) * (p.b - c.b))"
 
 
-def _mapped(palette: str, distance: str = _SRGB, flat: bool = False) -> str:
+def _mapped(palette: str | list[str], distance: str = _SRGB, flat: bool = False) -> str:
     return f"WITH {_px(flat)}, {_pal(palette)}, mapped AS (SELECT p.image_id, p.y, p.x, CASE WHEN p.a >= 8 THEN min({distance} * 256 + c.idx) % 256 END AS idx FROM px p CROSS JOIN pal c GROUP BY p.image_id, p.y, p.x, p.a)"
 
 
@@ -104,6 +108,12 @@ def match_redmean(spark, sf_dir):
     return _usage(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), SWEETIE, "redmean"))
 
 
+@_register(_mapped(WIDE) + _USAGE)
+def match_wide(spark, sf_dir):
+    """A palette of 252 colours."""
+    return _usage(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), WIDE))
+
+
 @_register(f"WITH {_px()}, {_pal(SWEETIE)}, mapped AS (SELECT p.image_id, p.y, p.x, arg_min(c.idx, {{'d': (p.ll - c.ll) * (p.ll - c.ll) + (p.la - c.la) * (p.la - c.la) + (p.lb - c.lb) * (p.lb - c.lb), 'i': c.idx}}) AS idx FROM {_lab('px')} p CROSS JOIN {_lab('pal')} c WHERE p.a >= 8 GROUP BY p.image_id, p.y, p.x)" + _USAGE)
 def match_oklab(spark, sf_dir):
     return _usage(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), SWEETIE, "oklab"))
@@ -231,6 +241,17 @@ def downscale_mean(spark, sf_dir):
     return raster.downscale(raster_pixels(spark, sf_dir), raster_images(spark, sf_dir), 5)
 
 
+def _shared(at: str, size: int, to: int) -> str:
+    """SQL: places of the new size that each of `size` pixels overlaps, and by how much."""
+    return f"(SELECT a.i AS {at}, b.i AS o{at}, least((a.i + 1) * {to}, (b.i + 1) * {size}) - greatest(a.i * {to}, b.i * {size}) AS w{at} FROM range({size}) a(i) JOIN range({to}) b(i) ON a.i * {to} < (b.i + 1) * {size} AND b.i * {size} < (a.i + 1) * {to})"
+
+
+@_register(f"WITH {_px()}, placed AS (SELECT * FROM px JOIN {_shared('y', 30, 8)} USING (y) JOIN {_shared('x', 50, 13)} USING (x)) SELECT image_id, oy AS y, ox AS x, {', '.join(f'coalesce(floor(sum({c} * wy * wx * a) / nullif(sum(wy * wx * a), 0)::DOUBLE + 0.5), 0)::INT AS {c}' for c in 'rgb')}, floor(sum(wy * wx * a) / sum(wy * wx)::DOUBLE + 0.5)::INT AS a FROM placed GROUP BY image_id, oy, ox")
+def downscale_shared(spark, sf_dir):
+    """Sizes that don't divide: 50 * 30 to 13 * 8."""
+    return raster.downscale(raster_pixels(spark, sf_dir), raster_images(spark, sf_dir), 4)
+
+
 @_register(f"WITH {_px()} SELECT image_id, count(*) * 9 AS n, sum(9 * r)::BIGINT AS r, sum((9 * y + 3) * 3)::BIGINT AS y, sum((9 * x + 3) * 3)::BIGINT AS x FROM px GROUP BY image_id")
 def upscale_nearest(spark, sf_dir):
     return raster.upscale(raster_pixels(spark, sf_dir), 3).groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in "ryx"])
@@ -421,6 +442,8 @@ def render_images(spark, sf_dir):
     return pipeline.render(raster_pixels(spark, sf_dir), raster_images(spark, sf_dir), SWEETIE, o)
 
 
-@_register()
+@_register(f"WITH {_px()} SELECT image_id, count(*) AS n, {', '.join(f'sum({c} * (y * 50 + x))::BIGINT AS {c}' for c in 'rgba')} FROM px GROUP BY image_id")
 def png_images(spark, sf_dir):
-    return image_files.to_png(raster_pixels(spark, sf_dir)).select("image_id", F.octet_length("png").alias("n_bytes"), F.hex(F.substring("png", 2, 3)).alias("magic"))
+    """Images written as PNG and read back, with the sum of each channel by place."""
+    written = image_files.to_png(raster_pixels(spark, sf_dir)).select("image_id", F.col("png").alias("content"))
+    return image_files.png_pixels(written).groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum((F.col(c) * (F.col("y") * 50 + F.col("x"))).cast("long")).alias(c) for c in "rgba"])

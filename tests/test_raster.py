@@ -81,8 +81,20 @@ def test_matching_agrees_with_the_sequential_form(spark, metric):
     image = rng.integers(0, 256, (6, 7, 3))
     df = pixels(spark, [[(*map(int, v), 255) for v in row] for row in image])
     got = as_grid(raster.match(df, "Sweetie 16", metric), "idx", (6, 7))
-    find = raster.nearest_of(np.array(tables.rgb_list("Sweetie 16")), metric)
-    assert got == [[find(*v) for v in row] for row in image]
+    assert got == [[scanned(v, tables.rgb_list("Sweetie 16"), metric) for v in row.tolist()] for row in image]
+
+
+def scanned(v, rgb, metric):
+    """The first of the nearest colours, one distance at a time."""
+    lab = lambda c: raster._oklab_table(np.array([c], dtype=float))[0]
+
+    def far(c):
+        if metric == "oklab":
+            return float(((lab(v) - lab(c)) ** 2).sum())
+        d, s = [x - y for x, y in zip(v, c, strict=True)], v[0] + c[0]
+        return (1024 + s) * d[0] ** 2 + 2048 * d[1] ** 2 + (1534 - s) * d[2] ** 2 if metric == "redmean" else sum(x * x for x in d)
+
+    return min(range(len(rgb)), key=lambda i: (far(rgb[i]), i))
 
 
 def test_cells_follow_their_first_pixel(spark):
@@ -322,8 +334,11 @@ def test_kinds_of_input(spark):
 def test_kept_tables_and_picture_files(spark, tmp_path):
     rows = spark.createDataFrame([("p", ["#010101"])], "name string, colors array<string>")
     assert store.kept(spark, str(tmp_path), store.CURRENT) is None
-    assert store.keep(rows, str(tmp_path), store.CURRENT) and store.kept(spark, str(tmp_path), store.CURRENT).collect() == rows.collect()
-    assert not store.keep(rows, "nothing://here", store.CURRENT)
+    store.keep(rows, str(tmp_path), store.CURRENT)
+    assert store.kept(spark, str(tmp_path), store.CURRENT).collect() == rows.collect()
+    for bad in (lambda: store.keep(rows, "nothing://here", store.CURRENT), lambda: store.kept(spark, "nothing://here", store.CURRENT)):
+        with pytest.raises(Exception, match="nothing"):
+            bad()
     image = [[(1, 2, 3, 255), (4, 5, 6, 0)]]
     names = spark.createDataFrame([(0, "My Photo", "PICO-8")], "image_id long, source string, palette string")
     store.write_pngs(pixels(spark, image), names, str(tmp_path / "out"))
