@@ -16,8 +16,7 @@ lines AS (
   SELECT doc_id, host, line, len(w) AS words, regexp_replace(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS key
   FROM worded WHERE len(w) > 0),
 doubled AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-sets AS (SELECT doc_id, string_agg(DISTINCT key, chr(10) ORDER BY key) AS line_set FROM lines GROUP BY doc_id),
-held AS (SELECT host, key, count(DISTINCT line_set) AS documents FROM lines JOIN sets USING (doc_id) GROUP BY host, key HAVING count(DISTINCT line_set) > 20),
+held AS (SELECT lines.host, key, count(DISTINCT s) AS documents FROM lines JOIN texts USING (doc_id) GROUP BY lines.host, key HAVING count(DISTINCT s) > 20),
 hosts AS (SELECT host, count(*) AS host_documents FROM texts GROUP BY host),
 common AS (SELECT h.host, key FROM held h JOIN hosts o ON h.host IS NOT DISTINCT FROM o.host WHERE documents > 0.005 * host_documents),
 removed AS (SELECT doc_id, sum(words) AS removed_words FROM lines l JOIN common c ON l.key = c.key AND l.host IS NOT DISTINCT FROM c.host GROUP BY doc_id),

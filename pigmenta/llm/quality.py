@@ -5,8 +5,8 @@ documents that hold a line are counted; lines above the limits are boilerplate.
 document of which too much is boilerplate is depleted. clean() rejects those that fail and removes the boilerplate
 lines of the others; the base rules are judged before lines are removed.
 
-Copies must not condemn a text: documents with the same set of lines count as one document for a line. Any other
-document that holds a line counts, however many lines it shares with others.
+Copies must not condemn a text: documents with the same whole text, byte for byte, count as one document for a line.
+Any other document counts, however many lines it shares with others, also if it differs in a number alone.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; rows that
 repeat a doc_id are judged together with the sum of their removed words; an empty table gives no rows; other columns
@@ -28,7 +28,7 @@ from . import common as C
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _NORMAL = np.where((np.arange(256) >= 48) & (np.arange(256) <= 57), 48, C.LOWER).astype(np.uint8)
 
-SCAN = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_set long, line_hash array<long>, line_words array<int>"
+SCAN = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long, line_hash array<long>, line_words array<int>"
 
 
 def _repeated(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -84,16 +84,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (key[1:] != key[:-1]) | (line_doc[1:] != line_doc[:-1])
             size = np.add.reduceat(size, np.flatnonzero(new)) if len(key) else size
             counts = np.bincount(line_doc[new], minlength=n)
-            at = np.concatenate([[0], np.cumsum(counts)])
-            line_set = C.hash_runs(key[new].view(np.uint64), at[:-1], at[1:], C.SEEDS[0])[0]
+            text_key = C.hash_bytes(eights, s.offs[:-1], s.offs[1:], C.SEEDS[1])[0]
             code_points = s.per_text(C.WORD[s.data] & ((s.data & 0xC0) != 0x80))
             head = batch.slice(s.lo, n)
             yield pa.RecordBatch.from_arrays(
                 [
                     head.column(0), head.column(1), pa.array(np.bincount(doc, minlength=n)), pa.array(code_points), pa.array(s.per_text(_SYMBOL[s.data])),
-                    pa.array(dup), pa.array(repeat), C.signed(line_set), C.to_lists(pa.array(key[new]), counts), C.to_lists(pa.array(size.astype(np.int32)), counts),
+                    pa.array(dup), pa.array(repeat), C.signed(text_key), C.to_lists(pa.array(key[new]), counts), C.to_lists(pa.array(size.astype(np.int32)), counts),
                 ],
-                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "line_hash", "line_words"],
+                names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "line_hash", "line_words"],
             )
 
 
@@ -104,8 +103,8 @@ def _scanned(docs: DataFrame, host: str) -> DataFrame:
 
 def _boilerplate(scan: DataFrame, min_documents: int, share: float) -> DataFrame:
     """of_doc, host, line and words of the boilerplate lines of each document."""
-    lines = scan.select("doc_id", "host", "line_set", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("doc_id", "host", "line_set", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
-    held = lines.select("host", "line", "line_set").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
+    lines = scan.select("doc_id", "host", "text_key", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("doc_id", "host", "text_key", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
+    held = lines.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
     hosts = scan.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_documents"))
     common = held.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("documents") > share * F.col("host_documents")).select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
     return lines.join(common, (F.col("line") == F.col("of_line")) & F.col("host").eqNullSafe(F.col("of_host"))).select(F.col("doc_id").alias("of_doc"), "host", "line", "words")
@@ -113,7 +112,7 @@ def _boilerplate(scan: DataFrame, min_documents: int, share: float) -> DataFrame
 
 def _judged(scan: DataFrame, removed: DataFrame, max_removed_pct: int) -> DataFrame:
     """The scan with the verdicts; removed has of_doc and removed_words."""
-    out = scan.drop("line_set", "line_hash", "line_words", "host").join(removed, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").drop("of_doc").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = scan.drop("text_key", "line_hash", "line_words", "host").join(removed, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").drop("of_doc").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = 100 * F.col("removed_words") > max_removed_pct * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted)

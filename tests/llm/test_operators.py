@@ -62,6 +62,16 @@ def test_common_lines_are_removed_but_copies_are_not(spark):
     assert all(got[i].kept and got[i].removed_words == 0 for i in range(41, 101))
 
 
+@pytest.mark.parametrize("mark", ["{}", "letter {}"])
+def test_pages_that_differ_in_a_number_are_documents(spark, mark):
+    menu = "\n".join(f"{' '.join(WORDS[k : k + 6])}" for k in range(0, 72, 6))
+    own = lambda i: mark.format(i if mark == "{}" else "".join(chr(97 + int(c)) for c in str(i)))
+    rows = spark.createDataFrame([(i, f"{menu}\nprice {own(i)} only", "h") for i in range(500)], "doc_id long, text string, source string")
+    got = quality.line_quality(rows).collect()
+    assert sum(r.depleted for r in got) == 500 and all(r.removed_words >= 72 for r in got)
+    assert quality.clean(rows).count() == 0
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_tokens(spark, docs, tmp_path, encoding):
     from tokenizers import Tokenizer

@@ -73,7 +73,7 @@ def brute_quality(rows):
     for r, own in zip(rows, lines, strict=True):
         hosts[r[3]] = hosts.get(r[3], 0) + 1
         for line in own:
-            held.setdefault((r[3], key(line)), set()).add(frozenset(map(key, own)))
+            held.setdefault((r[3], key(line)), set()).add(r[1])
     common = {x for x, sets in held.items() if len(sets) > 20 and len(sets) > 0.005 * hosts[x[0]]}
     verdict, removed = {}, {}
     for r, own in zip(rows, lines, strict=True):
