@@ -14,17 +14,17 @@ the hash of their text; an empty table gives files without rows; null doc_ids co
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,29 +37,33 @@ _WHOLE = re.compile("[\x00-\x09\x0b-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2
 _ODD = np.isin(np.arange(256), [*range(10), *range(11, 32), 60, 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 #: Letters that are one piece of byte-level BPE, and punctuation that is the next one.
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)")
+#: The same, where a space or the end of the text follows.
+_END = "([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,!?;:]+)( |$)"
 _print = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _rest = iter(range(256, 512))
 #: Byte-level BPE writes each byte as a character: printable ones as themselves, the others from 256 on.
 BYTE_CHARS = {b: b if b in _print else next(_rest) for b in range(256)}
-_TAIL = itemgetter(slice(1, None))
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The encoder of this worker, by the digest of its tokenizer: one at a time.
 _worker: dict[str, Encoder] = {}
 #: Bytes of pieces and ids that make a generation of an encoder's memory, some overhead of each piece included.
-GENERATION_BYTES, PIECE_BYTES = 64 << 20, 200
+GENERATION_BYTES, PIECE_BYTES = 128 << 20, 200
 FILE = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
-def _runs(text: str) -> bool:
-    """Whether spaces or line breaks stand together, or at an end."""
-    return not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
-
-
 def _bytes(ids: list[int]) -> bytes:
     """Ids as little-endian 32-bit integers; for few ids quicker than an array."""
     return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else np.array(ids, dtype="<u4").tobytes()
 
 
+def splits(model: str) -> bool:
+    """Whether a tokenizer's file is byte-level BPE that splits as encode_array does: texts of others are encoded whole."""
+    said = json.loads(model)
+    before = said.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(plain and not said.get("normalizer") and said.get("model", {}).get("type") == "BPE" and not said["model"].get("ignore_merges"))
+
+
 class Encoder:
     """A tokenizer that remembers the ids of pieces of text.
 
@@ -123,42 +127,77 @@ class Encoder:
             for (_, name), lo, hi in zip(part, [0, *(cut * 4 + 4).tolist()], [*(cut * 4).tolist(), len(raw)], strict=True):
                 put(name, prefix + raw[lo:hi])
 
-    def encode(self, texts: list[str], chunked: bool = True, odd: bool = True) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers.
+    def encode(self, texts: list[str], chunked: bool = True) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        ids, counts = self.encode_array(pa.array(texts, pa.string()), chunked, b"")
+        ends = np.cumsum(counts)
+        return [ids[lo:hi].tobytes() for lo, hi in zip(ends - counts, ends, strict=True)]
+
+    def encode_array(self, texts: pa.Array, chunked: bool, end: bytes, odd: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the ids of end, and how many each has.
 
         Byte-level BPE first splits before a space or line break between other characters, so the ids of a text are
         the ids of its pieces (a word with the space or break before it) in order, and a piece that has been seen needs
         no second encoding. chunked is for such tokenizers alone. odd: whether any text may have bytes of _ODD.
+        Arrow cuts texts into pieces and finds the different ones; the rest is done once for each of these.
         """
         if self.size > GENERATION_BYTES:
             self.known, self.older, self.size = {}, self.known, 0
-        known, line = self.known, self.line
-        whole = [not chunked or len(line) != 1 or _runs(x) or (odd and _WHOLE.search(x) is not None) for x in texts]
+        cut = pa.array(np.full(len(texts), chunked and len(self.line) == 1))
+        for run in ("  ", "\n\n", " \n", "\n "):
+            cut = pc.and_not(cut, pc.match_substring(texts, run))
+        for at in (pc.starts_with, pc.ends_with):
+            for c in " \n":
+                cut = pc.and_not(cut, at(texts, c))
+        cut = pc.and_not(cut, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        if odd:
+            for i in np.flatnonzero(cut):
+                cut[i] = _WHOLE.search(texts[i].as_py()) is None
         # a space for all spaces, a line break kept at the head of its word; the first word has neither
-        pieces = [[] if w else x.replace("\n", " \n").split(" ") for x, w in zip(texts, whole, strict=True)]
-        flat = list(chain.from_iterable(map(_TAIL, pieces)))
-        older, new = self.older, []
-        for x in set(flat).difference(known):
+        spaced = pc.replace_substring(texts.filter(pa.array(cut)), "\n", " \n")
+        # punctuation that ends a piece is one of its own, under a mark that such texts don't have
+        pieces = pc.split_pattern(pc.replace_substring_regex(spaced, _END, "\\1 \x01\\2\\3"), " ")
+        flat, n = pieces.flatten(), pieces.value_lengths().to_numpy().astype(np.int64)
+        first = np.zeros(len(flat), dtype=bool)
+        first[np.cumsum(n) - n] = True
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        entries = self._ids(rest.dictionary.to_pylist())
+        shared, heads = len(entries), flat.filter(pa.array(first)).to_pylist()
+        entries += [self._get("\1" + x) or self._put("\1" + x, self._plain(x)) for x in heads]
+        entries += [self._plain(x) for x in texts.filter(pa.array(~cut)).to_pylist()]
+        entries.append(end)
+        # the entries of each text in order, end last
+        pieces_of = np.ones(len(texts), dtype=np.int64)
+        pieces_of[cut] = n
+        last = np.cumsum(pieces_of + 1) - 1
+        entry = np.full(int(last[-1]) + 1 if len(last) else 0, -1, dtype=np.int64)
+        entry[last] = len(entries) - 1
+        starts = last - pieces_of
+        entry[starts[cut]] = shared + np.arange(len(heads))
+        entry[starts[~cut]] = shared + len(heads) + np.arange(int((~cut).sum()))
+        entry[entry < 0] = rest.indices.to_numpy()
+        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        values, offs = np.frombuffer(b"".join(entries), dtype="<i4"), np.cumsum(size) - size
+        count = size[entry]
+        at, k = C.spread(count)
+        return values[offs[entry][at] + k], np.add.reduceat(count, starts) if len(starts) else count
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, from memory or learnt."""
+        known, older, new = self.known, self.older, []
+        for x in pieces if not known else [x for x in pieces if x not in known]:
             if (ids := older.get(x)) is not None:
                 self._put(x, ids)
             else:
                 new.append(x)
         heads = [x for x in new if x[0] == "\n"]
-        words = [x for x in new if x[0] != "\n"]
+        words = [x for x in new if x[0] not in "\n\x01"]
+        for x in new:
+            if x[0] == "\x01":
+                self._put(x, self._plain(x[1:]))
         self._learn(words, " ", b"", words)
-        self._learn([x[1:] for x in heads], "", np.array(line, dtype="<u4").tobytes(), heads)
-        ids = list(map(known.__getitem__, flat))
-        out, at = [], 0
-        for x, w, p in zip(texts, whole, pieces, strict=True):
-            if w:
-                out.append(self._plain(x))
-                continue
-            first = self._get("\1" + p[0])
-            if first is None:
-                first = self._put("\1" + p[0], self._plain(p[0]))
-            out.append(first + b"".join(ids[at : at + len(p) - 1]))
-            at += len(p) - 1
-        return out
+        self._learn([x[1:] for x in heads], "", np.array(self.line, dtype="<u4").tobytes(), heads)
+        return list(map(known.__getitem__, pieces))
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -172,20 +211,17 @@ def _encoder(shared, digest: str, end_id: int, chunked: bool):
         encoder = _worker[digest]
         before, end = 0, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for s in C.slices(batch.column(2), 1 << 20):
-                texts = [x or "" for x in batch.column(2).slice(s.lo, len(s)).to_pylist()]
-                ids = [x + end for x in encoder.encode(texts, chunked, bool(_ODD[s.data].any()))]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for s in C.slices(batch.column(2), 4 << 20):
+                head = batch.slice(s.lo, len(s))
+                flat, counts = encoder.encode_array(head.column(2).fill_null(""), chunked, end, bool(_ODD[s.data].any()))
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                head = batch.slice(s.lo, len(s))
-                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(starts), pa.array(counts), C.to_lists(flat, counts)], names=["part", "doc_id", "start_in_part", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(starts), pa.array(counts), C.to_lists(pa.array(flat), counts)], names=["part", "doc_id", "start_in_part", "n_tokens", "ids"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, chunked: bool = True) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
     """Writes the token files of docs in ascending doc_id order. encoding: 'dictionary' or 'delta'.
 
     tokenizer: the path of a tokenizer's file on the driver, which sends its content, some megabytes, to the tasks.
@@ -195,13 +231,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, en
     spark = docs.sparkSession
     C.bounded(spark)
     model = Path(tokenizer).read_text(encoding="utf-8")
-    coder = _encoder(spark.sparkContext.broadcast(model), hashlib.sha256(model.encode()).hexdigest(), end_id, chunked)
+    coder = _encoder(spark.sparkContext.broadcast(model), hashlib.sha256(model.encode()).hexdigest(), end_id, splits(model))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange(C.ranges(texts), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = texts.repartitionByRange(C.ranges(texts), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(coder, FILE)
     (
         rows.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
-        .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.dictionary.page.size", 1 << 20).option("parquet.column.index.enabled", "true").parquet(path)
+        .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.dictionary.page.size", 1 << 20).parquet(path)
     )
 
 

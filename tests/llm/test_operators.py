@@ -91,7 +91,7 @@ def test_pieces_equal_whole_texts():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(tokenizer_path()))
-    parts = ["a", "Bc", "é", " ", "\n", "'s", "1", "23", ".", ",", "  ", "\t", "日", "ж", "<|endoftext|>", "!", "_", "🙂", "\r", "\xa0"]
+    parts = ["a", "Bc", "é", "to,", "be. ", " ", "\n", "'s", "1", "23", ".", ",", "  ", "\t", "日", "ж", "<|endoftext|>", "!", "_", "🙂", "\r", "\xa0"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(2000)]
     got = tokens.Encoder(open(tokenizer_path(), encoding="utf-8").read()).encode(texts)
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
@@ -369,3 +369,20 @@ def test_blocks_lie_end_to_end_over_all_shards(spark):
             j = at // 8 + offset
             taken[i] += passes + ((j + 1) * rest // blocks - j * rest // blocks)
         assert taken == {i: got[i].taken for i in taken}
+
+
+def test_only_byte_level_tokenizers_are_split(tmp_path):
+    from pathlib import Path
+
+    model = Path(tokenizer_path()).read_text(encoding="utf-8")
+    assert tokens.splits(model) and not tokens.splits(model.replace('"add_prefix_space":false', '"add_prefix_space":true', 1))
+    assert not tokens.splits(Path(tokenizer_path("word_bpe_49k.json")).read_text(encoding="utf-8"))
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, file = str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json")
+    t, texts = Tokenizer.from_file(file), ["Two words, here.", "a  b\nc", "", "don't"]
+    tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, file)
+    assert [r.ids for r in tokens.read_ids(spark, path).orderBy("doc_id").collect()] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
