@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, tables
+from . import links
 
 # A wider step of hue starts a family, a wider step of chroma a ramp.
 HUE_GAP, CHROMA_GAP = 22.0, 0.045
@@ -165,3 +166,12 @@ def file_name(source: Column, palette: Column, extension: str) -> Column:
         return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit(other))
 
     return F.concat(part(source, "image"), F.lit("_"), part(palette, "palette"), F.lit(f".{extension}"))
+
+
+def merge_maps(palettes: DataFrame, threshold: float) -> DataFrame:
+    """palette_id, idx, becomes: for each colour the first one of its palette that it is linked to by near colours."""
+    near = pairwise(palettes).where(F.col("distance") <= threshold)
+    top = links.tops(near.select(F.xxhash64("palette_id").alias("image_id"), F.col("i").alias("a"), F.col("j").alias("b")))
+    top = top.select(F.col("image_id").alias("_of"), F.col("node").cast("int").alias("_node"), F.col("top").cast("int").alias("_top"))
+    rows = palettes.join(top, (F.xxhash64("palette_id") == F.col("_of")) & (F.col("idx") == F.col("_node")), "left")
+    return rows.select("palette_id", "idx", F.coalesce("_top", "idx").alias("becomes"))

@@ -174,19 +174,41 @@ def smooth_stipple(spark, sf_dir):
     return _usage(regions.smooth_stipple(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), SWEETIE), SWEETIE, 0.24))
 
 
-@_register(f"WITH RECURSIVE {_pal(SWEETIE)}, {_NEAR}, reach(i, j) AS (SELECT idx, idx FROM pal UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j WHERE n.d <= 0.15) SELECT i AS idx, min(j) AS becomes FROM reach GROUP BY i")
-def merge_map(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(regions.merge_map(SWEETIE, 0.15))), "idx int, becomes int")
-
-
-def _labels_sql() -> str:
-    return _mapped(SWEETIE, flat=True).replace("WITH ", "WITH RECURSIVE ", 1) + """, step(image_id, p, q) AS (SELECT a.image_id, a.y * 50 + a.x, b.y * 50 + b.x FROM mapped a JOIN mapped b ON a.image_id = b.image_id AND a.idx = b.idx AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
+#: CTEs from mapped to labels.
+_LABELS = """, step(image_id, p, q) AS (SELECT a.image_id, a.y * 50 + a.x, b.y * 50 + b.x FROM mapped a JOIN mapped b ON a.image_id = b.image_id AND a.idx = b.idx AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
       heads AS (SELECT image_id, y * 50 + x AS p FROM mapped m WHERE idx IS NOT NULL AND NOT EXISTS (SELECT 1 FROM step s WHERE s.image_id = m.image_id AND s.p = m.y * 50 + m.x AND s.q < s.p)),
       reach(image_id, head, p) AS (SELECT image_id, p, p FROM heads UNION SELECT r.image_id, r.head, s.q FROM reach r JOIN step s ON s.image_id = r.image_id AND s.p = r.p),
       least_of AS (SELECT image_id, p, min(head) AS head FROM reach GROUP BY image_id, p),
       labels AS (SELECT m.image_id, m.y, m.x, m.idx, CASE WHEN l.head IS NOT NULL THEN dense_rank() OVER (PARTITION BY m.image_id ORDER BY l.head NULLS LAST) - 1 END AS label FROM mapped m LEFT JOIN least_of l ON l.image_id = m.image_id AND l.p = m.y * 50 + m.x)"""
 
 
+def _labels_sql() -> str:
+    return _mapped(SWEETIE, flat=True).replace("WITH ", "WITH RECURSIVE ", 1) + _LABELS
+
+
+def _absorbed(most: int, near: float) -> str:
+    """CTEs from labels to became: image_id, label, the region that it is part of, and the colours of all regions."""
+    return f""", near_rows AS (SELECT i, list(d <= {near!r} ORDER BY j) AS ok FROM near GROUP BY i), close AS (SELECT list(ok ORDER BY i) AS ok FROM near_rows),
+      areas AS (SELECT image_id, label, min(idx) AS idx, count(*) AS area FROM labels WHERE label IS NOT NULL GROUP BY image_id, label),
+      sides AS (SELECT a.image_id, a.label, b.label AS other, (a.y * 50 + a.x) * 4 + CASE WHEN b.x < a.x THEN 0 WHEN b.x > a.x THEN 1 WHEN b.y < a.y THEN 2 ELSE 3 END AS place
+        FROM labels a JOIN labels b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)) WHERE a.label <> b.label),
+      contacts AS (SELECT image_id, label, other, count(*) AS n, max(place) AS last FROM sides GROUP BY image_id, label, other),
+      met AS (SELECT image_id, label, list({{'other': other, 'n': n, 'last': last}}) AS met FROM contacts GROUP BY image_id, label),
+      turns AS MATERIALIZED (SELECT a.image_id, a.label, coalesce(met, []) AS met, row_number() OVER (PARTITION BY a.image_id ORDER BY area, a.label) AS k FROM areas a LEFT JOIN met USING (image_id, label) WHERE area <= {most}),
+      at_turn(image_id, k, root, area, idx) AS (
+        SELECT image_id, 0::BIGINT, list(label::BIGINT ORDER BY label), list(area::BIGINT ORDER BY label), list(idx ORDER BY label) FROM areas GROUP BY image_id
+        UNION ALL
+        SELECT image_id, k, CASE WHEN joins THEN list_transform(root, lambda x: CASE WHEN x = label THEN best ELSE x END) ELSE root END,
+          CASE WHEN joins THEN list_transform(area, lambda v, i: CASE WHEN i = best + 1 THEN v + area[label + 1] ELSE v END) ELSE area END, idx
+        FROM (
+          SELECT *, coalesce(area[label + 1] <= {most} AND ok[idx[label + 1] + 1][idx[best + 1] + 1], false) AS joins FROM (
+            SELECT image_id, k, root, area, idx, label, ok, list_sort(list_transform(ends, lambda e: {{'n': -list_sum(list_transform(list_filter(met, lambda m: root[m.other + 1] = e), lambda m: m.n)), 'last': list_max(list_transform(list_filter(met, lambda m: root[m.other + 1] = e), lambda m: m.last)), 'e': e}}))[1].e AS best FROM (
+              SELECT s.image_id, t.k, root, area, idx, t.label, met, ok, list_filter(list_distinct(list_transform(met, lambda m: root[m.other + 1])), lambda e: e <> t.label) AS ends
+              FROM at_turn s JOIN turns t ON t.image_id = s.image_id AND t.k = s.k + 1 CROSS JOIN close) a) b) c),
+      ended AS (SELECT image_id, root, idx FROM at_turn QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k DESC) = 1),
+      became AS (SELECT image_id, unnest(range(len(root))) AS label, unnest(root) AS root, idx FROM ended)"""
+
+
 def _labels(spark, sf_dir) -> DataFrame:
     return regions.label_regions(raster.match(raster.opaque(raster_pixels(spark, sf_dir, flat=True)), SWEETIE))
 
@@ -206,26 +228,7 @@ def outline_pixels(spark, sf_dir):
     return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.sum((F.col("y") * 50 + F.col("x")).cast("long")).alias("places"))
 
 
-@_register(_labels_sql() + f""", {_NEAR}, near_rows AS (SELECT i, list(d <= 0.2 ORDER BY j) AS ok FROM near GROUP BY i), close AS (SELECT list(ok ORDER BY i) AS ok FROM near_rows),
-      areas AS (SELECT image_id, label, min(idx) AS idx, count(*) AS area FROM labels WHERE label IS NOT NULL GROUP BY image_id, label),
-      sides AS (SELECT a.image_id, a.label, b.label AS other, (a.y * 50 + a.x) * 4 + CASE WHEN b.x < a.x THEN 0 WHEN b.x > a.x THEN 1 WHEN b.y < a.y THEN 2 ELSE 3 END AS place
-        FROM labels a JOIN labels b ON a.image_id = b.image_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)) WHERE a.label <> b.label),
-      contacts AS (SELECT image_id, label, other, count(*) AS n, max(place) AS last FROM sides GROUP BY image_id, label, other),
-      met AS (SELECT image_id, label, list({{'other': other, 'n': n, 'last': last}}) AS met FROM contacts GROUP BY image_id, label),
-      turns AS MATERIALIZED (SELECT a.image_id, a.label, coalesce(met, []) AS met, row_number() OVER (PARTITION BY a.image_id ORDER BY area, a.label) AS k FROM areas a LEFT JOIN met USING (image_id, label) WHERE area <= 8),
-      at_turn(image_id, k, root, area, idx) AS (
-        SELECT image_id, 0::BIGINT, list(label::BIGINT ORDER BY label), list(area::BIGINT ORDER BY label), list(idx ORDER BY label) FROM areas GROUP BY image_id
-        UNION ALL
-        SELECT image_id, k, CASE WHEN joins THEN list_transform(root, lambda x: CASE WHEN x = label THEN best ELSE x END) ELSE root END,
-          CASE WHEN joins THEN list_transform(area, lambda v, i: CASE WHEN i = best + 1 THEN v + area[label + 1] ELSE v END) ELSE area END, idx
-        FROM (
-          SELECT *, coalesce(area[label + 1] <= 8 AND ok[idx[label + 1] + 1][idx[best + 1] + 1], false) AS joins FROM (
-            SELECT image_id, k, root, area, idx, label, ok, list_sort(list_transform(ends, lambda e: {{'n': -list_sum(list_transform(list_filter(met, lambda m: root[m.other + 1] = e), lambda m: m.n)), 'last': list_max(list_transform(list_filter(met, lambda m: root[m.other + 1] = e), lambda m: m.last)), 'e': e}}))[1].e AS best FROM (
-              SELECT s.image_id, t.k, root, area, idx, t.label, met, ok, list_filter(list_distinct(list_transform(met, lambda m: root[m.other + 1])), lambda e: e <> t.label) AS ends
-              FROM at_turn s JOIN turns t ON t.image_id = s.image_id AND t.k = s.k + 1 CROSS JOIN close) a) b) c),
-      ended AS (SELECT image_id, root, idx FROM at_turn QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k DESC) = 1),
-      became AS (SELECT image_id, unnest(range(len(root))) AS label, unnest(root) AS root, idx FROM ended)
-      SELECT l.image_id, b.root AS label, any_value(b.idx[b.root + 1]) AS idx, count(*) AS area FROM labels l JOIN became b ON b.image_id = l.image_id AND b.label = l.label GROUP BY l.image_id, b.root""")
+@_register(_labels_sql() + f", {_NEAR}" + _absorbed(8, 0.2) + " SELECT l.image_id, b.root AS label, any_value(b.idx[b.root + 1]) AS idx, count(*) AS area FROM labels l JOIN became b ON b.image_id = l.image_id AND b.label = l.label GROUP BY l.image_id, b.root")
 def absorb_regions(spark, sf_dir):
     rows = regions.absorb_small(_labels(spark, sf_dir), SWEETIE, 8, 0.2)
     return rows.where("label is not null").groupBy("image_id", "label").agg(F.first("idx").alias("idx"), F.count("*").alias("area"))
@@ -286,18 +289,25 @@ def theory_palette(spark, sf_dir):
     return extract.theory_palette(_samples(spark, sf_dir), 24, "triadic")
 
 
-def _built_in(spark: SparkSession) -> DataFrame:
+_RGB_OF_PART = ("(p_partkey * 7) % 256", "(p_partkey * 13) % 256", "(p_size * 5) % 256")
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in palettes, and palettes of sixteen colours made from parts."""
     rows = [(name, i, h) for name, colors in tables.PALETTES.items() for i, h in enumerate(colors)]
-    return spark.createDataFrame(rows, "palette_id string, idx int, hex string")
+    own = F.concat(F.lit("part "), F.expr("p_partkey div 16")).alias("palette_id")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(own, F.expr("cast(p_partkey % 16 as int)").alias("idx"), color.to_hex(*[F.expr(e).cast("int") for e in _RGB_OF_PART]).alias("hex"))
+    return spark.createDataFrame(rows, "palette_id string, idx int, hex string").unionByName(parts)
 
 
-def _built_in_sql() -> str:
+def _library_sql() -> str:
     rows = ", ".join(f"('{n}', {i}, '{h}')" for n, c in tables.PALETTES.items() for i, h in enumerate(c))
     part = lambda k: f"(instr('0123456789abcdef', hex[{k}]) - 1) * 16 + instr('0123456789abcdef', hex[{k + 1}]) - 1"
-    return f"lib(palette_id, idx, hex) AS (VALUES {rows}), rgb AS (SELECT *, {part(2)} AS r, {part(4)} AS g, {part(6)} AS b FROM lib)"
+    of_part = " || ".join(f"lpad(to_hex(({e})::INT), 2, '0')" for e in _RGB_OF_PART)
+    return f"given(palette_id, idx, hex) AS (VALUES {rows}), lib AS (SELECT * FROM given UNION ALL SELECT 'part ' || p_partkey // 16, (p_partkey % 16)::INT, '#' || lower({of_part}) FROM part), rgb AS (SELECT *, {part(2)} AS r, {part(4)} AS g, {part(6)} AS b FROM lib)"
 
 
-@_register(f"""WITH {_built_in_sql()}, lch AS (SELECT palette_id, idx, hex, ll AS l, sqrt(la * la + lb * lb) AS c, degrees(atan2(lb, la)) AS t FROM {_lab('rgb')}),
+@_register(f"""WITH {_library_sql()}, lch AS (SELECT palette_id, idx, hex, ll AS l, sqrt(la * la + lb * lb) AS c, degrees(atan2(lb, la)) AS t FROM {_lab('rgb')}),
       hued AS (SELECT *, CASE WHEN t < 0 THEN t + 360 ELSE t END AS h FROM lch WHERE c >= {color.NEUTRAL_CHROMA}),
       gaps AS (SELECT *, row_number() OVER w AS n, coalesce(lead(h) OVER w, min(h) OVER (PARTITION BY palette_id) + 360) - h AS gap FROM hued WINDOW w AS (PARTITION BY palette_id ORDER BY h, idx)),
       cut AS (SELECT palette_id, arg_max(n, {{'g': gap, 'n': -n}}) AS cut FROM gaps GROUP BY palette_id),
@@ -309,45 +319,57 @@ def _built_in_sql() -> str:
       ramps AS (SELECT palette_id, idx, hex, 1 AS k, mean, sum(step) OVER (PARTITION BY palette_id, family ORDER BY c, turn) AS ramp, l FROM steps UNION ALL SELECT palette_id, idx, hex, 0, 0, 0, l FROM lch WHERE c < {color.NEUTRAL_CHROMA})
       SELECT palette_id, idx, hex, row_number() OVER (PARTITION BY palette_id ORDER BY k, mean, ramp, l, idx) - 1 AS place FROM ramps""")
 def sort_ramps(spark, sf_dir):
-    return palettes.sort_into_ramps(_built_in(spark))
+    return palettes.sort_into_ramps(_library(spark, sf_dir))
 
 
-@_register(f"WITH {_built_in_sql()}, d AS (SELECT p.palette_id, p.idx, min({_SRGB}) AS d FROM rgb p JOIN rgb c ON p.palette_id = c.palette_id AND p.idx <> c.idx GROUP BY ALL) SELECT palette_id, round(avg(sqrt(d)), 9) AS mean_spacing FROM d GROUP BY palette_id")
+@_register(f"WITH {_library_sql()}, d AS (SELECT p.palette_id, p.idx, min({_SRGB}) AS d FROM rgb p JOIN rgb c ON p.palette_id = c.palette_id AND p.idx <> c.idx GROUP BY ALL) SELECT palette_id, round(avg(sqrt(d)), 9) AS mean_spacing FROM d GROUP BY palette_id")
 def palette_spacing(spark, sf_dir):
-    return palettes.mean_spacing(_built_in(spark)).withColumn("mean_spacing", F.round("mean_spacing", 9))
+    return palettes.mean_spacing(_library(spark, sf_dir)).withColumn("mean_spacing", F.round("mean_spacing", 9))
 
 
-@_register(f"WITH {_built_in_sql()}, lab AS (SELECT * FROM {_lab('rgb')}) SELECT p.palette_id, p.idx AS i, c.idx AS j, round(sqrt(pow(p.la - c.la, 2) + pow(p.lb - c.lb, 2) + pow(p.ll - c.ll, 2)), 9) AS distance FROM lab p JOIN lab c ON p.palette_id = c.palette_id AND p.idx < c.idx")
+@_register(f"WITH {_library_sql()}, lab AS (SELECT * FROM {_lab('rgb')}) SELECT p.palette_id, p.idx AS i, c.idx AS j, round(sqrt(pow(p.la - c.la, 2) + pow(p.lb - c.lb, 2) + pow(p.ll - c.ll, 2)), 9) AS distance FROM lab p JOIN lab c ON p.palette_id = c.palette_id AND p.idx < c.idx")
 def palette_distances(spark, sf_dir):
-    return palettes.pairwise(_built_in(spark)).withColumn("distance", F.round("distance", 9))
+    return palettes.pairwise(_library(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
 
 
-@_register(f"WITH {_built_in_sql()} SELECT palette_id, arg_min(hex, {{'l': ll, 'i': idx}}) AS hex FROM {_lab('rgb')} GROUP BY palette_id")
+@_register(f"WITH {_library_sql()} SELECT palette_id, arg_min(hex, {{'l': ll, 'i': idx}}) AS hex FROM {_lab('rgb')} GROUP BY palette_id")
 def darkest_color(spark, sf_dir):
-    return palettes.darkest(_built_in(spark))
+    return palettes.darkest(_library(spark, sf_dir))
 
 
-@_register(f"WITH {_built_in_sql()} SELECT palette_id, string_agg(upper(hex[2:]), chr(10) ORDER BY idx) || chr(10) AS text FROM lib GROUP BY palette_id")
+@_register(f"WITH RECURSIVE {_library_sql()}, near AS (SELECT a.palette_id, a.idx AS i, b.idx AS j FROM {_lab('rgb')} a JOIN {_lab('rgb')} b ON a.palette_id = b.palette_id WHERE sqrt(pow(a.ll - b.ll, 2) + pow(a.la - b.la, 2) + pow(a.lb - b.lb, 2)) <= 0.1), reach(palette_id, i, j) AS (SELECT palette_id, idx, idx FROM lib UNION SELECT r.palette_id, r.i, n.j FROM reach r JOIN near n ON n.palette_id = r.palette_id AND n.i = r.j) SELECT palette_id, i AS idx, min(j) AS becomes FROM reach GROUP BY palette_id, i")
+def merge_map(spark, sf_dir):
+    """For each colour of each palette the first one that it is linked to by near colours."""
+    return palettes.merge_maps(_library(spark, sf_dir), 0.1)
+
+
+@_register(f"WITH {_library_sql()} SELECT palette_id, string_agg(upper(hex[2:]), chr(10) ORDER BY idx) || chr(10) AS text FROM lib GROUP BY palette_id")
 def hex_files(spark, sf_dir):
-    return palettes.as_arrays(_built_in(spark)).select("palette_id", palettes.to_hex_file(F.col("colors")).alias("text"))
+    return palettes.as_arrays(_library(spark, sf_dir)).select("palette_id", palettes.to_hex_file(F.col("colors")).alias("text"))
 
 
-@_register(f"WITH {_built_in_sql()} SELECT palette_id, 'GIMP Palette' || chr(10) || 'Name: ' || palette_id || chr(10) || 'Columns: 0' || chr(10) || '#' || chr(10) || string_agg(lpad(r::VARCHAR, 3, ' ') || ' ' || lpad(g::VARCHAR, 3, ' ') || ' ' || lpad(b::VARCHAR, 3, ' ') || chr(9) || upper(hex), chr(10) ORDER BY idx) || chr(10) AS text FROM rgb GROUP BY palette_id")
+@_register(f"WITH {_library_sql()} SELECT palette_id, 'GIMP Palette' || chr(10) || 'Name: ' || palette_id || chr(10) || 'Columns: 0' || chr(10) || '#' || chr(10) || string_agg(lpad(r::VARCHAR, 3, ' ') || ' ' || lpad(g::VARCHAR, 3, ' ') || ' ' || lpad(b::VARCHAR, 3, ' ') || chr(9) || upper(hex), chr(10) ORDER BY idx) || chr(10) AS text FROM rgb GROUP BY palette_id")
 def gimp_files(spark, sf_dir):
-    return palettes.as_arrays(_built_in(spark)).select("palette_id", palettes.to_gimp_file(F.col("palette_id"), F.col("colors")).alias("text"))
+    return palettes.as_arrays(_library(spark, sf_dir)).select("palette_id", palettes.to_gimp_file(F.col("palette_id"), F.col("colors")).alias("text"))
 
 
-@_register("SELECT i AS idx, '#' || repeat(lower(lpad(to_hex(floor(i * 255 / 15.0 + 0.5)::INT), 2, '0')), 3) AS hex FROM range(16) t(i)")
-def greyscale_ramp(spark, sf_dir):
-    return tables.greyscale(spark, 16)
+def _ramp_usage(pal: str) -> str:
+    """SQL: usage of the colours of a palette that is made by a rule."""
+    return f"WITH {_px()}, pal AS ({pal}), mapped AS (SELECT p.image_id, p.y, p.x, CASE WHEN p.a >= 8 THEN min({_SRGB} * 256 + c.idx) % 256 END AS idx FROM px p CROSS JOIN pal c GROUP BY p.image_id, p.y, p.x, p.a) SELECT m.image_id, m.idx, '#' || lower(lpad(to_hex(c.r), 2, '0') || lpad(to_hex(c.g), 2, '0') || lpad(to_hex(c.b), 2, '0')) AS hex, count(*) AS n FROM mapped m JOIN pal c ON c.idx = m.idx GROUP BY ALL"
 
 
-@_register("SELECT i AS idx, '#' || lower(lpad(to_hex(i // 36 * 51), 2, '0') || lpad(to_hex(i // 6 % 6 * 51), 2, '0') || lpad(to_hex(i % 6 * 51), 2, '0')) AS hex FROM range(216) t(i)")
-def web_safe_cube(spark, sf_dir):
-    return tables.web_safe(spark)
+@_register(_ramp_usage("SELECT i AS idx, floor(i * 255 / 15.0 + 0.5)::INT AS r, floor(i * 255 / 15.0 + 0.5)::INT AS g, floor(i * 255 / 15.0 + 0.5)::INT AS b FROM range(16) t(i)"))
+def greyscale_ramp(spark, sf_dir):
+    """Images in sixteen greys."""
+    rows = _usage(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), "Grayscale 16"))
+    return rows.join(tables.greyscale(spark, 16), "idx").select("image_id", "idx", "hex", "n")
 
 
-_RGB_OF_PART = ("(p_partkey * 7) % 256", "(p_partkey * 13) % 256", "(p_size * 5) % 256")
+@_register(_ramp_usage("SELECT i AS idx, (i // 36 * 51)::INT AS r, (i // 6 % 6 * 51)::INT AS g, (i % 6 * 51)::INT AS b FROM range(216) t(i)"))
+def web_safe_cube(spark, sf_dir):
+    """Images in the colours of the cube."""
+    rows = _usage(raster.match(raster.opaque(raster_pixels(spark, sf_dir)), "Web Safe 216"))
+    return rows.join(tables.web_safe(spark), "idx").select("image_id", "idx", "hex", "n")
 
 
 @_register(f"WITH one AS (SELECT p_partkey // 8 AS palette_id, p_partkey, '#' || lower({' || '.join(f'''lpad(to_hex(({e})::INT), 2, '0')''' for e in _RGB_OF_PART)}) AS hex FROM part), firsts AS (SELECT palette_id, hex, min(p_partkey) AS k FROM one GROUP BY ALL) SELECT palette_id, string_agg(hex, ',' ORDER BY k) AS colors FROM firsts GROUP BY palette_id")
@@ -378,9 +400,16 @@ _DEFAULTS = ", ".join(f"('{k}', '{v}')" for k, v in pipeline.Options().settings(
 _PRESETS = ", ".join(f"('{i}', '{k}', '{v}')" for (i, _), s in tables.PRESETS.items() for k, v in s.items())
 
 
-@_register(f"WITH base(setting, value) AS (VALUES {_DEFAULTS}), own(id, setting, value) AS (VALUES {_PRESETS}) SELECT p.id, b.setting, coalesce(o.value, b.value) AS value FROM (SELECT DISTINCT id FROM own) p CROSS JOIN base b LEFT JOIN own o ON o.id = p.id AND o.setting = b.setting")
+_ASKED = [i for i, _ in tables.PRESETS] + ["1", "2", "3"]
+
+
+@_register(f"WITH base(setting, value) AS (VALUES {_DEFAULTS}), built(id, setting, value) AS (VALUES {_PRESETS}), own AS (SELECT * FROM built UNION ALL SELECT s_suppkey::VARCHAR, 'pm-speck', s_nationkey::VARCHAR FROM supplier UNION ALL SELECT s_suppkey::VARCHAR, 'pm-dither', CASE WHEN s_acctbal < 0 THEN 'none' ELSE 'fs' END FROM supplier) SELECT p.id, b.setting, coalesce(o.value, b.value) AS value FROM (SELECT DISTINCT id FROM own WHERE id IN ({', '.join(f"'{i}'" for i in _ASKED)})) p CROSS JOIN base b LEFT JOIN own o ON o.id = p.id AND o.setting = b.setting")
 def layered_presets(spark, sf_dir):
-    rows = [presets.applied(tables.presets(spark), i, pipeline.Options().settings()).select(F.lit(i).alias("id"), F.explode("settings").alias("setting", "value")) for i, _ in tables.PRESETS]
+    """Settings of the built-in presets and of some that suppliers have saved, over the defaults."""
+    own = F.create_map(F.lit("pm-speck"), F.col("s_nationkey").cast("string"), F.lit("pm-dither"), F.when(F.col("s_acctbal") < 0, "none").otherwise("fs"))
+    saved = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), own.alias("settings"))
+    known = tables.presets(spark).unionByName(saved)
+    rows = [presets.applied(known, i, pipeline.Options().settings()).select(F.lit(i).alias("id"), F.explode("settings").alias("setting", "value")) for i in _ASKED]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -419,21 +448,21 @@ def import_backup(spark, sf_dir):
     return merged.select("name", F.element_at("settings", "pm-speck").alias("speck"), "status")
 
 
-@_register(f"WITH {_built_in_sql()} SELECT palette_id, string_agg(hex, ',' ORDER BY idx) AS colors FROM lib WHERE idx < 8 GROUP BY palette_id")
+@_register(f"WITH {_library_sql()} SELECT palette_id, string_agg(hex, ',' ORDER BY idx) AS colors FROM lib WHERE idx < 8 GROUP BY palette_id")
 def palette_strips(spark, sf_dir):
-    return palettes.strips(_built_in(spark)).select("palette_id", F.array_join("colors", ",").alias("colors"))
+    return palettes.strips(_library(spark, sf_dir)).select("palette_id", F.array_join("colors", ",").alias("colors"))
 
 
-@_register(f"WITH {_built_in_sql()}, {_px()}, one AS (SELECT '#' || lower(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0')) AS hex FROM px WHERE image_id = 0 AND y = 3 AND x = 4 AND a > 0), ends AS (SELECT palette_id, max(idx) AS last FROM lib GROUP BY palette_id) SELECT palette_id, idx, hex FROM lib UNION ALL SELECT e.palette_id, last + 1, o.hex FROM ends e CROSS JOIN one o WHERE NOT EXISTS (SELECT 1 FROM lib l WHERE l.palette_id = e.palette_id AND l.hex = o.hex)")
+@_register(f"WITH {_library_sql()}, {_px()}, one AS (SELECT '#' || lower(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0')) AS hex FROM px WHERE image_id = 0 AND y = 3 AND x = 4 AND a > 0), ends AS (SELECT palette_id, max(idx) AS last FROM lib GROUP BY palette_id) SELECT palette_id, idx, hex FROM lib UNION ALL SELECT e.palette_id, last + 1, o.hex FROM ends e CROSS JOIN one o WHERE NOT EXISTS (SELECT 1 FROM lib l WHERE l.palette_id = e.palette_id AND l.hex = o.hex)")
 def pick_into_palettes(spark, sf_dir):
-    return palettes.pick_into(_built_in(spark), raster.pick(raster_pixels(spark, sf_dir), 0, 3, 4))
+    return palettes.pick_into(_library(spark, sf_dir), raster.pick(raster_pixels(spark, sf_dir), 0, 3, 4))
 
 
-@_register(f"WITH {_built_in_sql()}, asked AS (SELECT 'CGA 16' AS palette_id, hex FROM lib WHERE palette_id <> 'CGA 16') SELECT palette_id, hex, count(*) AS n FROM asked a WHERE EXISTS (SELECT 1 FROM lib l WHERE l.palette_id = a.palette_id AND l.hex = a.hex) GROUP BY ALL")
+@_register(f"WITH {_library_sql()}, asked AS (SELECT 'CGA 16' AS palette_id, hex FROM lib WHERE palette_id <> 'CGA 16') SELECT palette_id, hex, count(*) AS n FROM asked a WHERE EXISTS (SELECT 1 FROM lib l WHERE l.palette_id = a.palette_id AND l.hex = a.hex) GROUP BY ALL")
 def palette_members(spark, sf_dir):
     """Colours of other palettes that one palette has too."""
-    asked = _built_in(spark).where("palette_id <> 'CGA 16'").select(F.lit("CGA 16").alias("palette_id"), F.upper("hex").alias("hex"))
-    return palettes.in_palette(asked, _built_in(spark)).groupBy("palette_id", F.lower("hex").alias("hex")).agg(F.count("*").alias("n"))
+    asked = _library(spark, sf_dir).where("palette_id <> 'CGA 16'").select(F.lit("CGA 16").alias("palette_id"), F.upper("hex").alias("hex"))
+    return palettes.in_palette(asked, _library(spark, sf_dir)).groupBy("palette_id", F.lower("hex").alias("hex")).agg(F.count("*").alias("n"))
 
 
 @_register()
