@@ -106,13 +106,17 @@ def label_regions(mapped: DataFrame, tile: int = TILE, one_task: int = links.ONE
     """
     rows = staged(map_tiles(mapped, ["idx"], _parts, "image_id long, y int, x int, idx int, part long", tile))
     shown = rows.where("part is not null")
-    seams = []
-    for c, other in (("x", "y"), ("y", "x")):
-        before = shown.where(F.col(c) % tile == tile - 1).select("image_id", other, (F.col(c) + 1).alias(c), "idx", F.col("part").alias("b"))
-        after = shown.where((F.col(c) % tile == 0) & (F.col(c) > 0)).select("image_id", "y", "x", "idx", F.col("part").alias("a"))
-        seams.append(after.join(before, [*POS, "idx"]).select("image_id", "a", "b"))
-    top = links.tops(seams[0].unionByName(seams[1]), one_task).withColumnRenamed("node", "part")
-    parts = shown.where(F.col("part") == _place(F.col("y"), F.col("x"))).select("image_id", "part").join(top, ["image_id", "part"], "left")
+    parts = shown.where(F.col("part") == _place(F.col("y"), F.col("x"))).select("image_id", "part")
+    if rows.where((F.col("y") >= tile) | (F.col("x") >= tile)).isEmpty():  # a look at the statistics of the files
+        top = None
+    else:
+        seams = []
+        for c, other in (("x", "y"), ("y", "x")):
+            before = shown.where(F.col(c) % tile == tile - 1).select("image_id", other, (F.col(c) + 1).alias(c), "idx", F.col("part").alias("b"))
+            after = shown.where((F.col(c) % tile == 0) & (F.col(c) > 0)).select("image_id", "y", "x", "idx", F.col("part").alias("a"))
+            seams.append(after.join(before, [*POS, "idx"]).select("image_id", "a", "b"))
+        top = links.tops(seams[0].unionByName(seams[1]), one_task).withColumnRenamed("node", "part")
+    parts = parts.withColumn("top", F.col("part")) if top is None else parts.join(top, ["image_id", "part"], "left")
     parts = parts.withColumn("top", F.coalesce("top", "part"))
     heads = parts.where("part = top").select("image_id", "top", F.shiftright("top", 32).alias("line"))
     lines = heads.groupBy("image_id", "line").agg(F.count("*").alias("n"))
