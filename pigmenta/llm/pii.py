@@ -9,8 +9,8 @@ how reliable each labeler is and how likely each vector is to be personal data.
 logistic regression is fitted for each kind on features of spans (votes, lengths, shares of characters, hashed
 character shapes and context words); it alone decides on the looser proposals.
 
-What reaches the driver is bounded: counts by vote vector (3**4 a kind), the gazetteer_rows most common gazetteer keys,
-and fit_rows spans a kind that the classifier is fitted on, picked by hash. Everything else covers all spans.
+What reaches the driver is bounded: counts by vote vector (3**4 a kind), and the features of fit_rows spans a kind that
+the classifier is fitted on, picked by hash. Everything else covers all spans, whole: gazetteer keys are joined to them.
 
 Defined cases: a null or empty text has no spans; proposals that overlap a base span are dropped; of proposals that
 overlap each other the likeliest stays; rows that repeat a doc_id are searched each by itself; an empty table gives no
@@ -79,8 +79,10 @@ _KEY_FORM = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", re.I)
 _DIGEST_NAMED = re.compile(r"\b(?:commit|revision|rev|sha-?(?:1|224|256|384|512)?(?:sum)?|md5(?:sum)?|checksum|digest|hash|etag|blob|tree|parent)[\"']?(?:\s+(?:is|of|id))?[\s:=#@(\[\"']*$", re.I)
 VOTES = 4
-#: Characters of a span that are kept for its votes and features, and of the text before it.
-EXCERPT, BEFORE = 256, 40
+#: Characters of the text before a span that labelers see.
+BEFORE = 40
+#: Spans that must share a key to make it one of the corpus gazetteer.
+SHARED = 3
 
 
 def luhn(digits: str) -> bool:
@@ -181,10 +183,6 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _excerpt(text: str, lo: int, hi: int) -> str:
-    return text[lo:hi] if hi - lo <= EXCERPT else text[lo : lo + EXCERPT // 2] + text[hi - EXCERPT // 2 : hi]
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -193,7 +191,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loose = [x for x in loose_spans(text) if all(x[2] <= b[0] or b[2] <= x[0] for b in base)]
             spans = []
             for (lo, k, hi), own in [*((x, True) for x in base), *((x, False) for x in loose)]:
-                span = _excerpt(text, lo, hi)
+                span = text[lo:hi]
                 spans.append({"start": lo, "kind": k, "end": hi, "base": own, "span": span, "before": text[max(0, lo - BEFORE) : lo], "after": text[hi : hi + 1], "key": key_of(k, span)})
             rows.append((*(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), spans))
         kinds = (*(pa.int64() for _ in BASE), pa.string(), SPANS)
@@ -244,8 +242,8 @@ def features(vector: int, span: str, before: str, after: str) -> np.ndarray:
     n = max(1, len(span))
     x[at + 11 : at + 15] = [sum(map(f, span)) / n for f in (str.isdigit, str.isupper, str.islower, str.isspace)]
     shape = re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", span)))
-    for i in range(len(shape) - 2):
-        x[at + 15 + _hashed(shape[i : i + 3])] += 1 / n
+    for three, times in Counter(map("".join, zip(shape, shape[1:], shape[2:], strict=False))).items():
+        x[at + 15 + _hashed(three)] += times / n
     for word in re.findall(r"\w+", before.lower())[-3:]:
         x[at + 15 + _HASHED + _hashed(word)] += 0.3
     x[-1] = 1
@@ -261,22 +259,45 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, rounds: int = 400, rate: f
     return w
 
 
-def _voter(gazetteer: frozenset[tuple[int, str]]):
-    """Adds votes, an array beside spans."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """The base columns and all proposed spans of each row of docs, staged, under a number of its own."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, SCAN)
+    return C.staged(rows.withColumn("row", F.monotonically_increasing_id()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [[votes(s["kind"], s["span"], s["before"], s["base"], (s["kind"], s["key"]) in gazetteer) for s in spans] for spans in b.column(b.schema.get_field_index("spans")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, "votes"])
 
-    return run
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds votes, an array beside spans, by the gazetteer keys in common, which goes."""
+    for b in batches:
+        spans, common = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("spans", "common"))
+        found = []
+        for own, keys in zip(spans, common, strict=True):
+            known = {(x["kind"], x["key"]) for x in keys or ()}
+            found.append([votes(s["kind"], s["span"], s["before"], s["base"], (s["kind"], s["key"]) in known) for s in own])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "votes"])
+
+
+def voted(scan: DataFrame) -> DataFrame:
+    """scan with votes. The corpus gazetteer has every key that SHARED spans have; each row is joined to those of its own."""
+    shared = scan.select(F.explode("spans").alias("s")).select("s.kind", "s.key", "s.base").where((F.col("base") | (F.col("kind") >= len(BASE))) & (F.col("key") != ""))
+    gazetteer = shared.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("kind", "key")
+    keys = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["key"].alias("key"))))
+    common = scan.select("row", F.explode(keys).alias("k")).select("row", "k.*").join(gazetteer, ["kind", "key"])
+    common = common.groupBy("row").agg(F.collect_list(F.struct("kind", "key")).alias("common"))
+    rows = scan.join(common, "row", "left").select(*scan.columns, "common")
+    return rows.mapInArrow(_vote, f"{SCAN}, row long, votes array<int>")
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = [features(*row).tobytes() for row in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["kind", "votes", "x"])
 
 
 def _decide(weights: dict[int, np.ndarray], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, added = [], []
-            for spans, vs in zip(b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True):
+            for spans, vs in zip(b.column(6).to_pylist(), b.column(8).to_pylist(), strict=True):
                 kept = [(s["start"], s["kind"], s["end"]) for s in spans if s["base"]]
                 own = len(kept)
                 scored = []
@@ -296,30 +317,28 @@ def _decide(weights: dict[int, np.ndarray], threshold: float):
     return run
 
 
-def find_personal_data(docs: DataFrame, threshold: float = 0.9, gazetteer_rows: int = 20_000, fit_rows: int = 4000) -> DataFrame:
+def find_personal_data(docs: DataFrame, threshold: float = 0.9, fit_rows: int = 4000) -> DataFrame:
     """doc_id, the counts and digest of base spans, the numbers of added secrets, names and spans, of all spans, and
     all spans as kind:start:end.
 
-    fit_rows: spans of each kind that the classifier is fitted on. gazetteer_rows: keys of the corpus gazetteer, which
-    has those that three spans at least share.
+    fit_rows: spans of each kind that the classifier is fitted on; it decides on all.
     """
     C.bounded(docs.sparkSession)
-    scan = C.staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, SCAN))
-    each = scan.select(F.explode("spans").alias("s")).select("s.*")
-    keys = each.where(F.col("base") | (F.col("kind") >= len(BASE))).where("key <> ''").groupBy("kind", "key").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "kind", "key").limit(gazetteer_rows)
-    gazetteer = frozenset((r.kind, r.key) for r in keys.collect())
-    voted = C.staged(scan.mapInArrow(_voter(gazetteer), f"{SCAN}, votes array<int>"))
-    pairs = voted.select("doc_id", F.explode(F.arrays_zip("spans", "votes")).alias("p")).select("doc_id", "p.spans.*", "p.votes")
+    rows = C.staged(voted(scanned(docs)))
+    pairs = rows.select("row", "doc_id", F.explode(F.arrays_zip("spans", "votes")).alias("p")).select("row", "doc_id", "p.spans.*", "p.votes")
     counts = pairs.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    order = F.xxhash64("span", "before", "doc_id", "start")
-    picked = [pairs.where(F.col("kind") == k).orderBy(order).limit(fit_rows).select("kind", "votes", "span", "before", "after") for k in sorted({r.kind for r in counts})]
-    rows = reduce(DataFrame.unionAll, picked).collect() if picked else []
+    placed = pairs.select("row", "kind", "start", F.xxhash64("span", "before", "doc_id", "start").alias("order"))
+    picked = [placed.where(F.col("kind") == k).orderBy("order", "row").limit(fit_rows).drop("order") for k in sorted({r.kind for r in counts})]
+    fitted = []
+    if picked:
+        chosen = pairs.join(F.broadcast(reduce(DataFrame.unionAll, picked)), ["row", "kind", "start"])
+        fitted = chosen.select("kind", "votes", "span", "before", "after").mapInArrow(_featured, "kind int, votes int, x binary").collect()
     weights = {}
-    for k in {r.kind for r in rows}:
+    for k in {r.kind for r in fitted}:
         vectors, n = (np.array([r[c] for r in sorted(counts) if r.kind == k]) for c in (1, 2))
         p, _ = expectation_maximisation(vectors, n.astype(float))
-        own = [r for r in rows if r.kind == k]
+        own = [r for r in fitted if r.kind == k]
         target = dict(zip(vectors.tolist(), p, strict=True))
-        weights[k] = fit_classifier(np.stack([features(r.votes, r.span, r.before, r.after) for r in own]), np.array([target[r.votes] for r in own]))
+        weights[k] = fit_classifier(np.stack([np.frombuffer(r.x) for r in own]), np.array([target[r.votes] for r in own]))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_secret long, n_name long, n_added long, n_spans long, spans string"
-    return voted.mapInArrow(_decide(weights, threshold), schema)
+    return rows.mapInArrow(_decide(weights, threshold), schema)

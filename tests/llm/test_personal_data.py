@@ -114,3 +114,23 @@ def test_named_digests_are_no_secrets_and_long_secrets_are(spark):
     assert sum(got[i].n_secret == 1 for i in range(len(digests), len(texts))) >= 0.9 * len(keys)
     long = [i for i in range(len(digests), len(texts)) if len(texts[i]) > 3000]
     assert all(int(got[i].spans.split(":")[2]) - int(got[i].spans.split(":")[1]) == 3000 for i in long if got[i].n_secret)
+
+
+def test_the_gazetteer_has_every_shared_key(spark):
+    # more keys than the 20,000 that were kept once; names come last among keys as common
+    mails = [f"a{i % 3}@host{i // 3}.example" for i in range(60_300)]
+    names = [f"please call and ask for {n} Miller now" for n in ("Zora", "Zora", "Zora", "Zelda", "Zelda")]
+    texts = [" ".join(mails[i : i + 300]) for i in range(0, len(mails), 300)] + names
+    rows = pii.voted(pii.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    found = [(s.kind, s.span, v // 3 % 3) for r in rows for s, v in zip(r.spans, r.votes, strict=True)]
+    assert len(found) == len(mails) + len(names)
+    assert all(known == 2 for kind, _, known in found if kind == 0)
+    assert sorted(x for x in found if x[0] == 5) == [(5, "Zelda Miller", 1)] * 2 + [(5, "Zora Miller", 2)] * 3
+
+
+def test_labelers_see_whole_spans(spark):
+    middle = "".join(chr(97 + i * 7 % 26) + str(i * i % 10) for i in range(400))
+    text = "token " + "a1" * 128 + middle + "a1" * 128
+    rows = pii.voted(pii.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    (span,), (vote,) = rows[0].spans, rows[0].votes
+    assert span.span == text[6:] and vote // 9 % 3 == 2  # both ends alone are of two characters
