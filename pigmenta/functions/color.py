@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # The published OKLab matrices.
 LINEAR_TO_LMS = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
@@ -134,36 +137,58 @@ def _inside(rgb: Column) -> Column:
     return ok
 
 
-def fit_to_gamut(l: Column, c: Column, h: Column) -> Column:  # noqa: E741
-    """struct(r, g, b) at this lightness and hue, with the chroma halved in on, sixteen times, until sRGB holds it."""
+#: Linear light of the levels between which a channel counts as inside, 0.001 and 254.999.
+_LIGHT = (0.001 / 255 / 12.92, ((254.999 / 255 + 0.055) / 1.055) ** 2.4)
+
 
-    def fit(p: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("lo"), p["c"].alias("hi"))
+def _light(l: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:  # noqa: E741
+    """The linear light of rows of OKLab colours."""
+    cones = [v * v * v for v in _times(LAB_TO_LMS, [l, a, b])]
+    return _times(LMS_TO_LINEAR, cones)
 
-        def halve(s: Column, _: Column) -> Column:
-            def step(mid: Column) -> Column:
-                return F.when(let(_at(p["l"], mid, p["h"]), _inside), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
-            return let((s["lo"] + s["hi"]) / 2, step)
+def _fitted(l: np.ndarray, c: np.ndarray, h: np.ndarray) -> list[np.ndarray]:  # noqa: E741
+    """fit_to_gamut of rows; only those that sRGB doesn't hold are halved."""
+    cos, sin = np.cos(np.radians(h)), np.sin(np.radians(h))
+    inside = lambda light: np.all([(v > _LIGHT[0]) & (v < _LIGHT[1]) for v in light], axis=0)
+    light = _light(l, cos * c, sin * c)
+    far = np.flatnonzero(~inside(light))
+    l, cos, sin, lo, hi = l[far], cos[far], sin[far], np.zeros(len(far)), c[far]  # noqa: E741
+    for _ in range(16):
+        mid = (lo + hi) / 2
+        ok = inside(_light(l, cos * mid, sin * mid))
+        lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+    for v, w in zip(light, _light(l, cos * lo, sin * lo), strict=True):
+        v[far] = w
+    return [np.clip(np.where(v <= 0.0031308, v * 12.92, np.power(np.fmax(v, 0.0), 1 / 2.4) * 1.055 - 0.055) * 255.0, 0.0, 255.0) for v in light]
 
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, halve)["lo"]
-        return let(_at(p["l"], p["c"], p["h"]), lambda v: F.when(_inside(v), v).otherwise(_at(p["l"], found, p["h"])))
 
-    return let(F.struct(l.cast("double").alias("l"), c.cast("double").alias("c"), h.cast("double").alias("h")), fit)
+@F.arrow_udf(returnType=StructType([StructField(n, DoubleType()) for n in "rgb"]))
+def _fit(l: pa.Array, c: pa.Array, h: pa.Array) -> pa.Array:  # noqa: E741
+    columns = [x.to_numpy(zero_copy_only=False).astype(float) for x in (l, c, h)]
+    return pa.StructArray.from_arrays([pa.array(v) for v in _fitted(*columns)], names=list("rgb"))
+
+
+def fit_to_gamut(l: Column, c: Column, h: Column) -> Column:  # noqa: E741
+    """struct(r, g, b) at this lightness and hue, with the chroma halved in on, sixteen times, until sRGB holds it.
+
+    Arrow batches are worked out at once: as an expression it would be interpreted for each row and each halving. So it
+    has no place in the lambda of a higher-order function.
+    """
+    return _fit(l.cast("double"), c.cast("double"), h.cast("double"))
 
 
 def ramp_color(i: Column, steps: Column, base_hue: Column, peak: Column, lo: Column, hi: Column, shift: Column | float) -> Column:
     """Colour i of a ramp: chroma peaks in the middle; the hue cools toward shadows and warms toward highlights."""
 
-    def at(t: Column) -> Column:
-        floor = F.lit(SHADOW_CHROMA) + (HIGHLIGHT_CHROMA - SHADOW_CHROMA) * t
-        c = peak * (floor + (1 - floor) * F.pow(F.greatest(F.sin(t * math.pi), F.lit(0.0)), F.lit(SHOULDER)))
-        drift = (t - 0.5) * 2
-        to = F.when(drift < 0, SHADOW_HUE).otherwise(HIGHLIGHT_HUE)
-        h = base_hue + hue_step(base_hue, to) * F.abs(drift) * (MOST_DRIFT / 180) * shift
-        return let(fit_to_gamut(lo + (hi - lo) * t, c, h), lambda v: to_hex(v["r"], v["g"], v["b"]))
-
-    return let(F.when(steps == 1, 0.5).otherwise(i / (steps - 1)), at)
+    t = F.when(steps == 1, 0.5).otherwise(i / (steps - 1))
+    floor = F.lit(SHADOW_CHROMA) + (HIGHLIGHT_CHROMA - SHADOW_CHROMA) * t
+    c = peak * (floor + (1 - floor) * F.pow(F.greatest(F.sin(t * math.pi), F.lit(0.0)), F.lit(SHOULDER)))
+    drift = (t - 0.5) * 2
+    to = F.when(drift < 0, SHADOW_HUE).otherwise(HIGHLIGHT_HUE)
+    h = base_hue + hue_step(base_hue, to) * F.abs(drift) * (MOST_DRIFT / 180) * shift
+    v = fit_to_gamut(lo + (hi - lo) * t, c, h)
+    return to_hex(v["r"], v["g"], v["b"])
 
 
 def count_label(n: Column, one: str, many: str) -> Column:

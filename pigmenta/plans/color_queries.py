@@ -48,7 +48,9 @@ def _fitted(source: str) -> str:
 def _part_colors(spark, sf_dir: str) -> DataFrame:
     r, g, b = (F.expr(e).cast("int") for e in _RGB_OF_PART)
     lab = color.oklab(r, g, b)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name", "p_brand", "p_type", color.to_hex(r, g, b).alias("hex"), lab.alias("lab")).withColumns({"c": color.chroma(F.col("lab")), "h": color.hue(F.col("lab"))})
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name", "p_brand", "p_type")
+    parts = parts.repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # one small file: deal its rows out
+    return parts.select("*", color.to_hex(r, g, b).alias("hex"), lab.alias("lab")).withColumns({"c": color.chroma(F.col("lab")), "h": color.hue(F.col("lab"))})
 
 
 @_register(f"WITH RECURSIVE {_PARTS}, asked AS (SELECT p_partkey AS id, ll AS l, c * 1.4::DOUBLE AS c, h FROM parts), {_fitted('asked')} SELECT f.id AS p_partkey, f.hex, fits, round(CASE WHEN fmod(264 - h, 360) > 180 THEN fmod(264 - h, 360) - 360 WHEN fmod(264 - h, 360) < -180 THEN fmod(264 - h, 360) + 360 ELSE fmod(264 - h, 360) END, 6) AS step FROM fitted f JOIN asked a ON a.id = f.id")

@@ -254,3 +254,31 @@ def test_ramps_by_theory(spark, scheme, count, shift):
     rows = extract.theory_palette(raster.sample(frame(spark, images), size), count, scheme, shift).collect()
     for k, image in enumerate(images):
         assert [r.hex for r in sorted(rows, key=lambda r: r.idx) if r.palette_id == k] == ramps([p[:3] for row in image for p in row], count, scheme, shift)
+
+
+def test_colours_are_fitted_by_the_batch(spark):
+    rng = np.random.default_rng(8)
+    l, c, h = rng.random(400), rng.random(400) * 0.4, rng.random(400) * 360
+    rows = spark.createDataFrame([(*map(float, v),) for v in zip(l, c, h, strict=True)], "l double, c double, h double")
+    fitted = rows.select("l", "c", "h", color.fit_to_gamut(F.col("l"), F.col("c"), F.col("h")).alias("v"))
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan  # no loop that is interpreted for each row
+
+    def at(l, c, h):  # noqa: E741
+        lab = l, math.cos(math.radians(h)) * c, math.sin(math.radians(h)) * c
+        cones = [sum(x * y for x, y in zip(m, lab, strict=True)) ** 3 for m in color.LAB_TO_LMS]
+        light = [sum(x * y for x, y in zip(m, cones, strict=True)) for m in color.LMS_TO_LINEAR]
+        return [min(255, max(0, 255 * (v * 12.92 if v <= 0.0031308 else max(v, 0) ** (1 / 2.4) * 1.055 - 0.055))) for v in light]
+
+    def inside(v):
+        return all(0.001 < x < 254.999 for x in v)
+
+    for r in fitted.collect():
+        want, lo, hi = at(r.l, r.c, r.h), 0.0, r.c
+        if not inside(want):
+            for _ in range(16):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if inside(at(r.l, mid, r.h)) else (lo, mid)
+            want = at(r.l, lo, r.h)
+        assert np.allclose(tuple(r.v), want, atol=1e-9, rtol=0)
+    assert [tuple(r.v) for r in spark.createDataFrame([(None, 0.1, 2.0)], "l double, c double, h double").select(color.fit_to_gamut(F.col("l"), F.col("c"), F.col("h")).alias("v")).collect()] == [(0.0, 0.0, 0.0)]
