@@ -282,3 +282,11 @@ def test_colours_are_fitted_by_the_batch(spark):
             want = at(r.l, lo, r.h)
         assert np.allclose(tuple(r.v), want, atol=1e-9, rtol=0)
     assert [tuple(r.v) for r in spark.createDataFrame([(None, 0.1, 2.0)], "l double, c double, h double").select(color.fit_to_gamut(F.col("l"), F.col("c"), F.col("h")).alias("v")).collect()] == [(0.0, 0.0, 0.0)]
+
+
+def test_ramps_are_fitted_by_the_batch_and_once_a_colour(spark):
+    rows = spark.createDataFrame([(float(h), 0.05 + h / 2000) for h in range(0, 360, 9)], "h double, c double")
+    ramp = rows.select(color.ramp_color(F.lit(1), F.lit(4), F.col("h"), F.col("c"), F.lit(0.2), F.lit(0.9), 1.0).alias("hex"))
+    plan = ramp._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan and plan.split("ArrowEvalPython [")[1].split("\n")[0].count("_fit(") == 1
+    assert ramp.where("hex rlike '^#[0-9a-f]{6}$'").count() == 40
