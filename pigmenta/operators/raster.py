@@ -312,42 +312,148 @@ class Diffusion:
         return out
 
 
-def _diffuser(colors: list[str] | str, metric: str, amount: float, schema: pa.Schema, emit: int = 1 << 16):
+#: Pixels of the grid in which images are diffused together, and of an image that is a stream of rows of its own.
+TOGETHER, ALONE = 1 << 20, 1 << 17
+
+
+def _diffuse_together(image: np.ndarray, y: np.ndarray, x: np.ndarray, levels: np.ndarray, shown: np.ndarray, known: Search, memo: np.ndarray, amount: float) -> np.ndarray:
+    """Diffusion of many whole images, a pixel of each at a time, with the same arithmetic.
+
+    image: the number of each pixel's image, from 0 on; levels: one row a channel. memo: colours that are known, -1 else.
+    Places that an image doesn't have count as transparent ones.
+    """
+    n = int(image[-1]) + 1
+    first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+    row = y - (np.minimum.reduceat(y, first) // 2 * 2)[image]  # odd rows stay odd
+    col = x - np.minimum.reduceat(x, first)[image]
+    h, w = int(row.max()) + 1, int(col.max()) + 1
+    v, on = np.zeros((h, w, 3, n)), np.zeros((h, w, n), dtype=bool)
+    v[row, col, :, image], on[row, col, image] = levels.T, shown
+    some = on.any(axis=2)
+    rgb, out = known.rgb.T.astype(float), np.zeros((h, w, n), dtype=np.int32)
+    below = np.zeros((w + 2, 3, n), dtype=np.float32)
+    for r in range(h):
+        carry, below = below, np.zeros_like(below)
+        d = -1 if r % 2 else 1
+        for c in np.flatnonzero(some[r])[::d].tolist():
+            u = v[r, c] + carry[c + 1]
+            q = np.clip(u, 0, 255).astype(np.int64)
+            code = q[0] << 16 | q[1] << 8 | q[2]
+            k = memo[code]
+            if (new := np.flatnonzero(k < 0)).size:
+                k[new] = memo[code[new]] = known.find(q[:, new].T)
+            e = (u - rgb[:, k]) * amount * on[r, c]
+            out[r, c] = k
+            carry[c + 1 + d] += e * 0.4375
+            below[c + 1 - d] += e * 0.1875
+            below[c + 1] += e * 0.3125
+            below[c + 1 + d] += e * 0.0625
+    return out[row, col, image]
+
+
+def _levels_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    levels = np.stack([table[c].fill_null(0).cast(pa.float64()).to_numpy() for c in "rgb"])
+    return levels, table["a"].fill_null(0).to_numpy() > 0
+
+
+def _mapped_rows(table: pa.Table, idx: np.ndarray, shown: np.ndarray, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([table["image_id"], table["y"], table["x"], pa.array(idx, mask=~shown, type=pa.int32())], schema=schema)
+
+
+class _Stream:
+    """Diffusion of one image whose sorted pixels come in parts; what is held is a row."""
+
+    def __init__(self, at: Diffusion, schema: pa.Schema):
+        self.at, self.schema, self.held = at, schema, []
+
+    def finish(self) -> list[pa.Table]:
+        """The row that is complete, whatever parts it came in."""
+        if not self.held:
+            return []
+        one = pa.concat_tables(self.held).combine_chunks()
+        self.held = []
+        x = one["x"].to_numpy()
+        one = one.filter(pa.array(np.concatenate([[True], x[1:] != x[:-1]])))  # a pixel that is there twice counts once
+        levels, shown = _levels_of(one)
+        idx = self.at.row(one["y"][0].as_py(), one["x"].to_pylist(), levels.tolist(), shown.tolist())
+        return [_mapped_rows(one, np.array(idx), shown, self.schema)]
+
+    def push(self, part: pa.Table) -> list[pa.Table]:
+        out, ys = [], part["y"].to_numpy()
+        edges = [0, *(np.flatnonzero(ys[1:] != ys[:-1]) + 1).tolist(), len(ys)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if self.held and self.held[0]["y"][0].as_py() != ys[lo]:
+                out += self.finish()
+            self.held.append(part.slice(lo, hi - lo))
+        return out
+
+
+def _diffuser(colors: list[str] | str, metric: str, amount: float, schema: pa.Schema, emit: int = 1 << 16, together: int = TOGETHER, alone: int = ALONE):
+    """Images of up to `alone` places wait until there are `together` pixels of them; a larger one goes row by row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        image, at, held, made, size = None, None, [], [], 0
-
-        def finish() -> None:
-            """Works out the row that is complete, whatever batches it came in."""
-            nonlocal size
-            one = pa.concat_tables(held).combine_chunks()
-            x = one["x"].to_numpy()
-            one = one.filter(pa.array(np.concatenate([[True], x[1:] != x[:-1]])))  # a pixel that is there twice counts once
-            x = one["x"].to_pylist()
-            alpha = [v > 0 for v in one["a"].fill_null(0).to_pylist()]
-            idx = at.row(one["y"][0].as_py(), x, [one[c].fill_null(0).cast(pa.float64()).to_pylist() for c in "rgb"], alpha)
-            made.append(pa.Table.from_arrays([one["image_id"], one["y"], one["x"], pa.array(idx, mask=~np.array(alpha), type=pa.int32())], schema=schema))
-            size += len(x)
+        known, memo = search(colors, metric), np.full(1 << 24, -1, dtype=np.int16)
+        waiting, size = [], 0  # whole small images
+        own, box, stream, image, done = [], [], None, None, []  # the present image, while it is small
+
+        def small() -> Iterator[pa.RecordBatch]:
+            """Small images, in grids of at most `together` places, or of one image."""
+            part = pa.concat_tables(waiting).combine_chunks()
+            place = np.stack([part[c].to_numpy() for c in ("image_id", "y", "x")])
+            fresh = np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(axis=0)])  # a pixel that is there twice counts once
+            part, (ids, y, x) = part.filter(pa.array(fresh)), place[:, fresh]
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            ends = np.append(starts[1:], len(ids))
+            high, wide = ((np.maximum.reduceat(v, starts) - np.minimum.reduceat(v, starts) + 2).tolist() for v in (y, x))
+            lo = 0
+            while lo < len(starts):
+                hi, h, w = lo + 1, high[lo], wide[lo]
+                while hi < len(starts) and max(h, high[hi]) * max(w, wide[hi]) * (hi + 1 - lo) <= together:
+                    hi, h, w = hi + 1, max(h, high[hi]), max(w, wide[hi])
+                at = slice(int(starts[lo]), int(ends[hi - 1]))
+                one = part.slice(at.start, at.stop - at.start)
+                levels, shown = _levels_of(one)
+                number = np.repeat(np.arange(hi - lo), ends[lo:hi] - starts[lo:hi])
+                idx = _diffuse_together(number, y[at], x[at], levels, shown, known, memo, amount)
+                yield from _mapped_rows(one, idx, shown, schema).to_batches()
+                lo = hi
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            ids, ys = table["image_id"].to_numpy(), table["y"].to_numpy()
-            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (ys[1:] != ys[:-1])) + 1).tolist(), len(ids)]
+            ids, y, x = (table[c].to_numpy() for c in ("image_id", "y", "x"))
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if lo == hi:
                     continue
-                if held and (held[0]["image_id"][0].as_py(), held[0]["y"][0].as_py()) != (ids[lo], ys[lo]):
-                    finish()
-                    held = []
-                    if size >= emit:
-                        yield from pa.concat_tables(made).to_batches()
-                        made, size = [], 0
                 if image != ids[lo]:
-                    image, at = ids[lo], Diffusion(colors, metric, amount)
-                held.append(table.slice(lo, hi - lo))
-        if held:
-            finish()
-        if made:
-            yield from pa.concat_tables(made).to_batches()
+                    done += stream.finish() if stream else []
+                    waiting += own
+                    size += sum(map(len, own))
+                    own, box, stream, image = [], [], None, ids[lo]
+                    if size >= together:
+                        yield from small()
+                        waiting, size = [], 0
+                part = table.slice(lo, hi - lo)
+                if stream is None:
+                    own.append(part)
+                    ends = [int(v) for c in (y[lo:hi], x[lo:hi]) for v in (c.min(), c.max())]
+                    box = [f(a, b) for f, a, b in zip((min, max, min, max), box or ends, ends, strict=True)]
+                    if (box[1] - box[0] + 2) * (box[3] - box[2] + 2) <= alone and sum(map(len, own)) <= alone:
+                        continue
+                    stream, parts, own = _Stream(Diffusion(colors, metric, amount), schema), own, []
+                else:
+                    parts = [part]
+                for part in parts:
+                    done += stream.push(part)
+                if sum(map(len, done)) >= emit:
+                    yield from pa.concat_tables(done).to_batches()
+                    done = []
+        done += stream.finish() if stream else []
+        if done:
+            yield from pa.concat_tables(done).to_batches()
+        waiting += own
+        if waiting:
+            yield from small()
 
     return run
 
@@ -355,7 +461,8 @@ def _diffuser(colors: list[str] | str, metric: str, amount: float, schema: pa.Sc
 def diffused(pixels: DataFrame, colors: list[str] | str, metric: str = "srgb", amount: float = 1.0) -> DataFrame:
     """image_id, y, x, idx with error diffusion.
 
-    It is sequential within an image: an image's pixels are sorted into one task, which streams them and holds a row.
+    It is sequential within an image: an image's pixels are sorted into one task. Small images are worked out beside each
+    other, a pixel of each at a time; larger ones are streamed, and a row is held.
     """
     schema = pa.schema([("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("idx", pa.int32())])
     rows = pixels.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), *"rgba")

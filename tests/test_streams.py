@@ -227,6 +227,44 @@ def test_diffusion_of_rows_that_end_within_batches(spark, batch):
     assert got["idx"].to_pylist() == want and got["image_id"].to_pylist() == [k for k in range(3) for _ in range(54)]
 
 
+@pytest.mark.parametrize("together,alone", [(1 << 20, 1 << 17), (150, 80), (150, 0), (1, 60)])
+def test_diffusion_of_images_beside_each_other(together, alone):
+    """Images of several sizes and first rows, with pixels that aren't there or are there twice, together or row by row."""
+    rng = np.random.default_rng(6)
+    want, parts = {}, []
+    rgb = np.array(tables.rgb_list("Sweetie 16"), dtype=float)
+    for k, (h, w, top) in enumerate([(6, 9, 0), (3, 4, 1), (7, 5, 2), (1, 1, 0), (9, 9, 3), (2, 12, 0)]):
+        v, shown, there = rng.integers(0, 256, (h + top, w, 3)), rng.random((h + top, w)) > 0.2, rng.random((h + top, w)) > 0.1
+        there[:top], there[top, 0] = False, True
+        idx = reference_diffusion(v.astype(float), shown & there, rgb, 0.9)
+        y, x = np.nonzero(there)
+        want |= {(k, a, b): None if idx[a, b] < 0 else int(idx[a, b]) for a, b in zip(y.tolist(), x.tolist(), strict=True)}
+        again = np.sort(np.concatenate([np.arange(len(y)), [0, len(y) // 2]]))
+        y, x = y[again], x[again]
+        parts.append(pa.Table.from_pydict({"image_id": np.full(len(y), k), "y": y.astype(np.int32), "x": x.astype(np.int32)} | {c: v[y, x, i] for i, c in enumerate("rgb")} | {"a": np.where(shown[y, x], 255, 0)}))
+    schema = pa.schema([("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("idx", pa.int32())])
+    for batch in (7, 1000):
+        cut = pa.concat_tables(parts).combine_chunks().to_batches(batch)
+        got = pa.Table.from_batches(raster._diffuser("Sweetie 16", "srgb", 0.9, schema, 20, together, alone)(iter(cut)), schema).to_pylist()
+        assert len(got) == len(want) and {(r["image_id"], r["y"], r["x"]): r["idx"] for r in got} == want
+
+
+def test_diffusion_of_many_images_takes_little_longer_than_of_few():
+    schema = pa.schema([("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("idx", pa.int32())])
+    took = []
+    for n in (20, 200):
+        k, place = np.divmod(np.arange(n * 600), 600)
+        rows = {"image_id": k, "y": (place // 30).astype(np.int32), "x": (place % 30).astype(np.int32)} | {c: k * 7 % 50 + place % 30 * 6 for c in "rgb"} | {"a": np.full(len(k), 255)}
+        batches = pa.Table.from_pydict(rows).to_batches(10_000)
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert sum(map(len, raster._diffuser("Sweetie 16", "srgb", 1.0, schema)(iter(batches)))) == n * 600
+            best.append(time.perf_counter() - began)
+        took.append(min(best))
+    assert took[1] < 5 * took[0]
+
+
 def test_a_second_palette_needs_no_second_median(spark, tmp_path):
     rng = random.Random(2)
     image = [[(*(rng.randrange(256) for _ in range(3)), 255) for _ in range(9)] for _ in range(7)]
