@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import color, tables
 from . import links
@@ -168,10 +174,79 @@ def file_name(source: Column, palette: Column, extension: str) -> Column:
     return F.concat(part(source, "image"), F.lit("_"), part(palette, "palette"), F.lit(f".{extension}"))
 
 
+def _near_links(lab: np.ndarray, size: np.ndarray, threshold: float, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links a < b of colours whose distance is up to the threshold, within runs of size[k] rows of lab, one run a palette.
+
+    at_once: about how many distances are worked out at a time.
+    """
+    first = np.repeat(np.cumsum(size) - size, size)  # of each row, where its palette begins
+    later = np.repeat(np.cumsum(size), size) - np.arange(len(first)) - 1  # and how many follow it there
+    out = [(np.zeros(0, dtype=np.int64),) * 2]
+    lo, upto = 0, np.cumsum(later)
+    while lo < len(later):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + at_once, side="right")))
+        a = np.repeat(np.arange(lo, hi), later[lo:hi])
+        b = np.arange(len(a)) - np.repeat(np.cumsum(later[lo:hi]) - later[lo:hi], later[lo:hi]) + a + 1
+        dl, da, db = ((lab[a, k] - lab[b, k]) ** 2 for k in range(3))
+        near = np.sqrt(dl + da + db) <= threshold
+        out.append((a[near], b[near]))
+        lo = hi
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return a, b
+
+
+def _merger(threshold: float, schema: pa.Schema):
+    """Of rows sorted by palette and idx, what each colour becomes; the palettes of a batch are worked out at once."""
+
+    def merged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        names = rows["palette_id"].combine_chunks().dictionary_encode() if rows.num_rows else None
+        of = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        idx = rows["idx"].to_numpy().astype(np.int64)
+        lab = np.stack([rows[c].to_numpy().astype(float) for c in ("l", "a", "b")], axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        a, b = _near_links(lab, np.diff(np.append(starts, len(of))), threshold)
+        apart = idx[a] != idx[b]
+        # rows of one idx are one colour of their palette
+        same = np.flatnonzero((of[1:] == of[:-1]) & (idx[1:] == idx[:-1]))
+        top = links.connected(len(of), np.concatenate([a[apart], same]), np.concatenate([b[apart], same + 1]))
+        yield from pa.Table.from_arrays([rows["palette_id"], rows["idx"], pa.array(idx[top], schema.field("becomes").type)], schema=schema).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # rows of the palette that isn't known to be whole
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            last = table["palette_id"][-1].as_py()
+            if table["palette_id"][0].as_py() == last:
+                if held and held[0]["palette_id"][0].as_py() != last:
+                    yield from merged(pa.concat_tables(held))
+                    held = []
+                held.append(table)
+                continue
+            names = table["palette_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(names != names[-1])[-1]) + 1
+            yield from merged(pa.concat_tables([*held, table.slice(0, cut)]))
+            held = [table.slice(cut)]
+        if held:
+            yield from merged(pa.concat_tables(held))
+
+    return run
+
+
 def merge_maps(palettes: DataFrame, threshold: float) -> DataFrame:
-    """palette_id, idx, becomes: for each colour the first one of its palette that it is linked to by near colours."""
-    near = pairwise(palettes).where(F.col("distance") <= threshold)
-    top = links.tops(near.select(F.xxhash64("palette_id").alias("image_id"), F.col("i").alias("a"), F.col("j").alias("b")))
-    top = top.select(F.col("image_id").alias("_of"), F.col("node").cast("int").alias("_node"), F.col("top").cast("int").alias("_top"))
-    rows = palettes.join(top, (F.xxhash64("palette_id") == F.col("_of")) & (F.col("idx") == F.col("_node")), "left")
-    return rows.select("palette_id", "idx", F.coalesce("_top", "idx").alias("becomes"))
+    """palette_id, idx, becomes: for each colour the first one of its palette that it is linked to by near colours.
+
+    A palette's colours, at most 256, are sorted into one task and compared in batches of whole palettes: no pair of
+    colours is a row. Longer ones are compared in parts. Rows without a palette or a place are linked with nothing.
+    """
+    whole = F.col("palette_id").isNotNull() & F.col("idx").isNotNull()
+    linked = palettes.where(whole).select("palette_id", "idx", "hex").repartition("palette_id")  # dealt out before the colours are worked out
+    lab = color.let(color.from_hex(F.col("hex")), lambda v: color.oklab(v["r"], v["g"], v["b"]))
+    linked = linked.select("palette_id", "idx", lab.alias("_v")).select("palette_id", "idx", *[F.col(f"_v.{c}").alias(c) for c in "lab"])
+    linked = linked.sortWithinPartitions("palette_id", "idx")
+    fields = [palettes.schema["palette_id"], palettes.schema["idx"], StructField("becomes", palettes.schema["idx"].dataType)]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields])
+    out = linked.mapInArrow(_merger(threshold, to_arrow_schema(schema)), schema)
+    return out.unionByName(palettes.where(~whole).select("palette_id", "idx", F.col("idx").alias("becomes")))

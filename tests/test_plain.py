@@ -290,3 +290,46 @@ def test_ramps_are_fitted_by_the_batch_and_once_a_colour(spark):
     plan = ramp._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan and plan.split("ArrowEvalPython [")[1].split("\n")[0].count("_fit(") == 1
     assert ramp.where("hex rlike '^#[0-9a-f]{6}$'").count() == 40
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_near_colours_in_parts(at_once):
+    lab, size = np.random.default_rng(9).random((60, 3)), np.array([1, 20, 2, 37])
+    a, b = palettes._near_links(lab, size, 0.4, at_once)
+    of = np.repeat(np.arange(4), size)
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if of[i] == of[j] and math.dist(lab[i], lab[j]) <= 0.4]
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_merge_maps_follow_links_within_palettes(spark):
+    rng = random.Random(4)
+    rows = [(f"p{k}", i, f"#{rng.randrange(60, 110):02x}{rng.randrange(60, 110):02x}64") for k in range(30) for i in rng.sample(range(40), k % 9 + 1)]
+    rows += [("p8", 3, "#000001"), ("p8", 3, "#ffffff"), ("long", 0, "#000000")] + [("long", i, f"#{i % 256:02x}{i // 256 * 90:02x}00") for i in range(1, 600)] + [(None, 0, "#101010"), (None, 1, "#111111"), ("none", None, "#101010")]
+    frame = spark.createDataFrame(rows, "palette_id string, idx int, hex string")
+    got = sorted(map(tuple, palettes.merge_maps(frame, 0.03).collect()), key=str)
+
+    lab = {h: raster._oklab_table(np.array([[int(h[i : i + 2], 16) for i in (1, 3, 5)]], dtype=float))[0].tolist() for _, _, h in rows}
+    want = []
+    for name in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == name]
+        links = {r[1]: {r[1]} for r in own}
+        if name is not None and name != "none":
+            for x in own:
+                for y in own:
+                    if x[1] < y[1] and math.dist(lab[x[2]], lab[y[2]]) <= 0.03:
+                        links[x[1]].add(y[1])
+                        links[y[1]].add(x[1])
+        for _, i, _ in own:
+            seen, todo = set(), [i]
+            while todo:
+                if (k := todo.pop()) not in seen:
+                    seen.add(k)
+                    todo += links[k]
+            want.append((name, i, min(seen, key=lambda v: -1 if v is None else v)))
+    assert got == sorted(want, key=str)
+
+
+def test_merge_maps_make_no_rows_of_pairs(spark):
+    frame = spark.createDataFrame([("p", 0, "#000000"), ("p", 1, "#010101")], "palette_id string, idx int, hex string")
+    plan = palettes.merge_maps(frame, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
