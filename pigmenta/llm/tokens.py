@@ -161,7 +161,7 @@ class Encoder:
         first = np.zeros(len(flat), dtype=bool)
         first[np.cumsum(n) - n] = True
         rest = flat.filter(pa.array(~first)).dictionary_encode()
-        entries = self._ids(rest.dictionary.to_pylist())
+        entries = self._ids(rest.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist makes a scalar of each first
         shared, heads = len(entries), flat.filter(pa.array(first)).to_pylist()
         entries += [self._get("\1" + x) or self._put("\1" + x, self._plain(x)) for x in heads]
         entries += [self._plain(x) for x in texts.filter(pa.array(~cut)).to_pylist()]
@@ -176,11 +176,15 @@ class Encoder:
         entry[starts[cut]] = shared + np.arange(len(heads))
         entry[starts[~cut]] = shared + len(heads) + np.arange(int((~cut).sum()))
         entry[entry < 0] = rest.indices.to_numpy()
-        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
-        values, offs = np.frombuffer(b"".join(entries), dtype="<i4"), np.cumsum(size) - size
-        count = size[entry]
-        at, k = C.spread(count)
-        return values[offs[entry][at] + k], np.add.reduceat(count, starts) if len(starts) else count
+        size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries))
+        count = size[entry] // 4
+        # Arrow lays the ids of all entries end to end, by entries and not by ids
+        offs = np.zeros(len(entries) + 1, dtype=np.int64)
+        np.cumsum(size, out=offs[1:])
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(entries), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(entries))])
+        values = whole.take(pa.array(entry)).buffers()[2]
+        ids = np.frombuffer(values, dtype="<i4", count=int(count.sum())) if values is not None else np.zeros(0, dtype="<i4")
+        return ids, np.add.reduceat(count, starts) if len(starts) else count
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of different pieces, from memory or learnt."""
