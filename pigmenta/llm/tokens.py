@@ -17,33 +17,32 @@ import hashlib
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: What makes a text go to the tokenizer whole, besides runs of spaces or line breaks: rare white space, control
-#: characters, and what may be a special token.
+#: What makes a text go to the tokenizer whole: rare white space, control characters, and what may be a special token.
 _WHOLE = re.compile("[\x00-\x09\x0b-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<[|]")
-#: Bytes that rare white space, control characters and '<' can begin with; without them only spaces and breaks matter.
+#: Bytes that rare white space, control characters and '<' can begin with.
 _ODD = np.isin(np.arange(256), [*range(10), *range(11, 32), 60, 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
-#: Letters that are one piece of byte-level BPE, and punctuation that is the next one.
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)")
-#: The same, where a space or the end of the text follows.
-_END = "([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,!?;:]+)( |$)"
+#: Classes of bytes. Byte-level BPE splits between letters, digits and marks; apostrophes and most of Unicode are other.
+_SPACE, _BREAK, _LETTER, _DIGIT, _MARK, _OTHER = range(6)
+_CLASS = np.array([_SPACE if b == 32 else _BREAK if b == 10 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK if 32 < b < 127 and b != 39 else _OTHER for b in range(128)] + [_OTHER] * 128, dtype=np.uint8)
+#: How the tokenizer takes a piece: as one run of a class, by its own rules, or as a whole text.
+_RUN, _RULES, _TEXT = range(3)
 _print = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _rest = iter(range(256, 512))
 #: Byte-level BPE writes each byte as a character: printable ones as themselves, the others from 256 on.
-BYTE_CHARS = {b: b if b in _print else next(_rest) for b in range(256)}
-_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+BYTE_CHARS = np.array([b if b in _print else next(_rest) for b in range(256)], dtype="<u2")
+#: New pieces that are encoded at once: runs, and those that go by the tokenizer's rules.
+RUNS_AT_ONCE, LINES_AT_ONCE = 1000, 200
 #: The encoder of this worker, by the digest of its tokenizer: one at a time.
 _worker: dict[str, Encoder] = {}
 #: Bytes of pieces and ids that make a generation of an encoder's memory, some overhead of each piece included.
@@ -51,9 +50,41 @@ GENERATION_BYTES, PIECE_BYTES = 128 << 20, 200
 FILE = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
-def _bytes(ids: list[int]) -> bytes:
-    """Ids as little-endian 32-bit integers; for few ids quicker than an array."""
-    return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else np.array(ids, dtype="<u4").tobytes()
+def _cut(data: np.ndarray, offs: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of texts start, and how the tokenizer takes each.
+
+    data and offs: the bytes of the texts, and where each starts. Texts that aren't cut are one piece. Of a run of spaces
+    and line breaks all but the last are a piece, or all at the end of a text; the last is the head of the word that
+    follows if it is a space, else a piece.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # the letters from U+00C0 to U+00FF; the signs of multiplication and division are none
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    blank, edge = kind <= _BREAK, np.zeros(len(data) + 1, dtype=bool)
+    edge[offs] = True
+    outer = edge[:-1].copy()
+    outer[1:] |= (blank[1:] & ~blank[:-1]) | ((kind[:-1] == _BREAK) & ~blank[1:])
+    last = np.flatnonzero(blank[1:-1] & blank[:-2] & ~blank[2:]) + 1
+    outer[last[~edge[last + 1]]] = True
+    inner = (kind[1:] != kind[:-1]) & ~blank[1:] & ~blank[:-1]
+    inner &= ~outer[1:]
+    rules = np.zeros(0, dtype=np.int64)
+    other = np.flatnonzero(kind == _OTHER)
+    if len(other):
+        words, change = np.flatnonzero(outer), np.flatnonzero(inner)
+        hard = np.zeros(len(words), dtype=bool)
+        hard[np.searchsorted(words, other, side="right") - 1] = True
+        inner[change[hard[np.searchsorted(words, change, side="right") - 1]]] = False
+        rules = words[hard]
+    outer[1:] |= inner
+    if not cut.all():
+        outer &= np.repeat(cut, np.diff(offs)) | edge[:-1]
+    at = np.flatnonzero(outer)
+    how = np.full(len(at), _RUN, dtype=np.uint8)
+    how[np.searchsorted(at, rules, side="right") - 1] = _RULES
+    how[np.searchsorted(at, offs[:-1][~cut & (np.diff(offs) > 0)])] = _TEXT
+    return at, how
 
 
 def splits(model: str) -> bool:
@@ -64,6 +95,13 @@ def splits(model: str) -> bool:
     return bool(plain and not said.get("normalizer") and said.get("model", {}).get("type") == "BPE" and not said["model"].get("ignore_merges"))
 
 
+def _gap(model: str) -> int | None:
+    """The id of byte 0 in a byte-level BPE file, if no merge has it and pieces between such bytes are encoded by themselves."""
+    said, mark = json.loads(model).get("model", {}), chr(BYTE_CHARS[0])
+    plain = said.get("type") == "BPE" and not any(said.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return said["vocab"].get(mark) if plain and not any(mark in "".join(m) for m in said["merges"]) else None
+
+
 class Encoder:
     """A tokenizer that remembers the ids of pieces of text.
 
@@ -77,55 +115,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: The model without the rules that split, and the id of byte 0, if that is merged with nothing.
+        self.runs, self.gap = Tokenizer(self.tokenizer.model), _gap(model)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.size = 0
 
-    def _put(self, name: str, ids: bytes) -> bytes:
-        self.known[name] = ids
-        self.size += len(name) + len(ids) + PIECE_BYTES
-        return ids
-
-    def _get(self, name: str) -> bytes | None:
-        ids = self.known.get(name)
-        if ids is None and (ids := self.older.get(name)) is not None:
-            self._put(name, ids)
-        return ids
-
-    def _learn(self, new: list[str], before: str, prefix: bytes, names: list[str]) -> None:
-        """Encodes new pieces: plain words by the model at once, others in one text, a line each.
-
-        The id of a line break stands only between the lines of that text. The ids of a word are shared by all pieces
-        that have it: after a space under the word itself, which is such a piece, else under a name of its own.
-        """
-        tokenizer, known, get, put = self.tokenizer, self.known, self._get, self._put
-        tokenize, other, head = tokenizer.model.tokenize, [], before.translate(BYTE_CHARS)
-        own = "" if before == " " else "\0"
-        for x, name in zip(new, names, strict=True):
-            if x.isascii() and x.isalpha():
-                word, end = x, ""
-            elif m := _PLAIN.fullmatch(x):
-                word, end = m.groups()
-            else:
-                other.append((x, name))
-                continue
-            key = own + word
-            ids = known.get(key) if word is x and not own else get(key)
-            if ids is None:
-                ids = put(key, _bytes([t.id for t in tokenize(head + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))]))
-            if end:
-                if (tail := get("\0" + end)) is None:
-                    tail = put("\0" + end, _bytes(tokenizer.encode(end, add_special_tokens=False).ids))
-                put(name, prefix + ids + tail)
-            elif own:
-                put(name, prefix + ids)
-        for k in range(0, len(other), 200):
-            part = other[k : k + 200]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join([before + x for x, _ in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.line[0])
-            raw = ids.tobytes()
-            for (_, name), lo, hi in zip(part, [0, *(cut * 4 + 4).tolist()], [*(cut * 4).tolist(), len(raw)], strict=True):
-                put(name, prefix + raw[lo:hi])
+    def _put(self, names: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(names, ids, strict=True))
+        self.size += sum(map(len, names)) + sum(map(len, ids)) + PIECE_BYTES * len(names)
 
     def encode(self, texts: list[str], chunked: bool = True) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -136,46 +134,35 @@ class Encoder:
     def encode_array(self, texts: pa.Array, chunked: bool, end: bytes, odd: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the ids of end, and how many each has.
 
-        Byte-level BPE first splits before a space or line break between other characters, so the ids of a text are
-        the ids of its pieces (a word with the space or break before it) in order, and a piece that has been seen needs
-        no second encoding. chunked is for such tokenizers alone. odd: whether any text may have bytes of _ODD.
-        Arrow cuts texts into pieces and finds the different ones; the rest is done once for each of these.
+        Byte-level BPE first splits texts into runs of letters, digits, marks or white space, a space going with the run
+        it precedes, so the ids of a text are the ids of its pieces in order, and a piece that has been seen needs no
+        second encoding. chunked is for such tokenizers alone. odd: whether any text may have bytes of _ODD.
+        Pieces are found by their bytes, and Arrow finds the different ones; the rest is done once for each of these.
         """
         if self.size > GENERATION_BYTES:
             self.known, self.older, self.size = {}, self.known, 0
-        cut = pa.array(np.full(len(texts), chunked and len(self.line) == 1))
-        for run in ("  ", "\n\n", " \n", "\n "):
-            cut = pc.and_not(cut, pc.match_substring(texts, run))
-        for at in (pc.starts_with, pc.ends_with):
-            for c in " \n":
-                cut = pc.and_not(cut, at(texts, c))
-        cut = pc.and_not(cut, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        if not len(texts):
+            return np.zeros(0, dtype="<i4"), np.zeros(0, dtype=np.int64)
+        (rows,) = C.slices(texts, 1 << 62)
+        cut = np.full(len(texts), chunked and len(self.line) == 1)
         if odd:
             for i in np.flatnonzero(cut):
                 cut[i] = _WHOLE.search(texts[i].as_py()) is None
-        # a space for all spaces, a line break kept at the head of its word; the first word has neither
-        spaced = pc.replace_substring(texts.filter(pa.array(cut)), "\n", " \n")
-        # punctuation that ends a piece is one of its own, under a mark that such texts don't have
-        pieces = pc.split_pattern(pc.replace_substring_regex(spaced, _END, "\\1 \x01\\2\\3"), " ")
-        flat, n = pieces.flatten(), pieces.value_lengths().to_numpy().astype(np.int64)
-        first = np.zeros(len(flat), dtype=bool)
-        first[np.cumsum(n) - n] = True
-        rest = flat.filter(pa.array(~first)).dictionary_encode()
-        entries = self._ids(rest.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist makes a scalar of each first
-        shared, heads = len(entries), flat.filter(pa.array(first)).to_pylist()
-        entries += [self._get("\1" + x) or self._put("\1" + x, self._plain(x)) for x in heads]
-        entries += [self._plain(x) for x in texts.filter(pa.array(~cut)).to_pylist()]
+        at, how = _cut(rows.data, rows.offs, cut)
+        offs = pa.py_buffer(np.append(at, len(rows.data)))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, offs, pa.py_buffer(rows.data)]).dictionary_encode()
+        codes, names = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
+        taken = np.full(len(names), _RUN, dtype=np.uint8)
+        for k in (_RULES, _TEXT):
+            taken[codes[how == k]] = k
+        entries = self._ids(names, taken)
         entries.append(end)
         # the entries of each text in order, end last
-        pieces_of = np.ones(len(texts), dtype=np.int64)
-        pieces_of[cut] = n
-        last = np.cumsum(pieces_of + 1) - 1
-        entry = np.full(int(last[-1]) + 1 if len(last) else 0, -1, dtype=np.int64)
-        entry[last] = len(entries) - 1
-        starts = last - pieces_of
-        entry[starts[cut]] = shared + np.arange(len(heads))
-        entry[starts[~cut]] = shared + len(heads) + np.arange(int((~cut).sum()))
-        entry[entry < 0] = rest.indices.to_numpy()
+        last = np.searchsorted(at, rows.offs[1:]) + np.arange(len(texts))
+        own = np.ones(len(at) + len(texts), dtype=bool)
+        own[last] = False
+        entry = np.full(len(own), len(entries) - 1, dtype=np.int32)
+        entry[own] = codes
         size = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries))
         count = size[entry] // 4
         # Arrow lays the ids of all entries end to end, by entries and not by ids
@@ -184,24 +171,45 @@ class Encoder:
         whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(entries), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(entries))])
         values = whole.take(pa.array(entry)).buffers()[2]
         ids = np.frombuffer(values, dtype="<i4", count=int(count.sum())) if values is not None else np.zeros(0, dtype="<i4")
-        return ids, np.add.reduceat(count, starts) if len(starts) else count
+        return ids, np.add.reduceat(count, np.append(0, last[:-1] + 1))
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _ids(self, pieces: list[bytes], how: np.ndarray) -> list[bytes]:
         """The ids of different pieces, from memory or learnt."""
-        known, older, new = self.known, self.older, []
-        for x in pieces if not known else [x for x in pieces if x not in known]:
-            if (ids := older.get(x)) is not None:
-                self._put(x, ids)
+        out = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        if self.older:
+            for i, x in zip(new, map(self.older.get, [pieces[i] for i in new]), strict=True):
+                out[i] = x
+            again = [i for i in new if out[i] is not None]
+            self._put([pieces[i] for i in again], [out[i] for i in again])
+            new = [i for i in new if out[i] is None]
+        kinds = how[new].tolist()
+        for kind in (_RUN, _RULES, _TEXT):
+            own = [i for i, k in zip(new, kinds, strict=True) if k == kind]
+            names = [pieces[i] for i in own]
+            ids = [self._plain(x.decode()) for x in names] if kind == _TEXT else self._learnt(names, kind)
+            if kind != _TEXT:
+                self._put(names, ids)
+            for i, x in zip(own, ids, strict=True):
+                out[i] = x
+        return out
+
+    def _learnt(self, new: list[bytes], kind: int) -> list[bytes]:
+        """The ids of new pieces, many in one text: runs by the model alone, between bytes 0, others in a line each."""
+        if not new or (kind == _RUN and self.gap is None):
+            return [self._plain(x.decode()) for x in new]
+        out, mark, most = [], self.gap if kind == _RUN else self.line[0], RUNS_AT_ONCE if kind == _RUN else LINES_AT_ONCE
+        for k in range(0, len(new), most):
+            part = new[k : k + most]
+            if kind == _RUN:
+                text = BYTE_CHARS[np.frombuffer(b"\0".join(part), dtype=np.uint8)].tobytes().decode("utf-16-le")
             else:
-                new.append(x)
-        heads = [x for x in new if x[0] == "\n"]
-        words = [x for x in new if x[0] not in "\n\x01"]
-        for x in new:
-            if x[0] == "\x01":
-                self._put(x, self._plain(x[1:]))
-        self._learn(words, " ", b"", words)
-        self._learn([x[1:] for x in heads], "", np.array(self.line, dtype="<u4").tobytes(), heads)
-        return list(map(known.__getitem__, pieces))
+                text = b"\n".join(part).decode()
+            ids = np.array((self.runs if kind == _RUN else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(ids == mark) * 4
+            raw = ids.tobytes()
+            out += [raw[lo:hi] for lo, hi in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)]
+        return out
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
